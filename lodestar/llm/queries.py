@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .shared import table
 
 
+def op1_simhash(spark, sf_dir):
+    from .simhash import simhash
+
+    groups = simhash(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -13,7 +22,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": f"""
