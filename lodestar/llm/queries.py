@@ -14,6 +14,14 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op9_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -22,7 +30,11 @@ def op9_exact_dedup(spark, sf_dir):
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_token_counts": op4_token_counts,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE = {
     "op9_exact_dedup": f"""
