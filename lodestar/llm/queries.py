@@ -22,6 +22,14 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op5_token_store(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_store import token_store
+
+    return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -33,6 +41,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_token_store": op5_token_store,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
