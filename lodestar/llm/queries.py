@@ -30,6 +30,16 @@ def op5_token_store(spark, sf_dir):
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_chat_windows(spark, sf_dir):
+    from .chat_windows import chat_windows, read_back
+    from .shared import Scratch
+
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select -7L as conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role), '{says}' as text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(Scratch(spark, "chat").write(chat_windows(turns), "windows"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -42,6 +52,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
+    "op8_chat_windows": op8_chat_windows,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
