@@ -30,6 +30,15 @@ def op5_token_store(spark, sf_dir):
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark, sf_dir):
+    from .language_id import language_id
+
+    rest = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 3
+    docs = table(spark, sf_dir, "documents")
+    found = language_id(docs, rest(F.col("doc_id")) != 1)
+    return found.select("doc_id", (rest(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_windows(spark, sf_dir):
     from .chat_windows import chat_windows, read_back
     from .shared import Scratch
@@ -52,6 +61,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
+    "op7_language_id": op7_language_id,
     "op8_chat_windows": op8_chat_windows,
     "op9_exact_dedup": op9_exact_dedup,
 }
