@@ -30,6 +30,12 @@ def op5_token_store(spark, sf_dir):
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counted="removed_lines")
+
+
 def op7_language_id(spark, sf_dir):
     from .language_id import language_id
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_windows": op8_chat_windows,
     "op9_exact_dedup": op9_exact_dedup,

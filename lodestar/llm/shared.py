@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,22 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
 
 def signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def bitmap(hashes: DataFrame, bits: int = 26) -> np.ndarray:
+    """A bitmap over the top bits of 64-bit hashes (h): 2**bits bits, whatever the number of hashes.
+
+    A hash in the table always finds its bit set; others do now and then, so what passes is
+    always checked again. At most 2**(bits - 6) words reach the driver.
+    """
+    x = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("x"))
+    words = x.groupBy(F.shiftright("x", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) find their bit set."""
+    x = h >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return (table[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
