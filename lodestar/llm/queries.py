@@ -14,6 +14,12 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -65,6 +71,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
     "op6_line_dedup": op6_line_dedup,
