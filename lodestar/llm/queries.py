@@ -14,6 +14,13 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark, sf_dir):
+    from .quality import quality
+
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "score", "content_score", "metadata_score", "keep")
+
+
 def op3_decontaminate(spark, sf_dir):
     from .decontaminate import leaks
 
@@ -71,6 +78,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
