@@ -74,6 +74,16 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    from .pieces import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    read = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
@@ -86,6 +96,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_chat_windows": op8_chat_windows,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE = {
