@@ -13,6 +13,12 @@ walk compares a reached fingerprint only with those not reached yet. A bucket ov
 limit is passed on and split by a second covering family (each link still meets in some
 part of it), round after round, until every bucket is under the limit.
 
+A link can also ask for a second look: a sketch of 256 bits over longer shingles travels
+with the fingerprint, and both distances must be small. near_dedup() uses fingerprints of
+single words, which a few edits hardly move, to find candidates, and sketches of five-word
+shingles to decide: at a Jaccard similarity of 0.8 two sketches differ in 38 bits on
+average, unrelated ones in 128; at most 48 are accepted.
+
 Null and empty texts have no words and fingerprint 0, linked like any other. Rows with
 a null doc_id get a fingerprint, but no component. Repeated ids share a component.
 """
@@ -34,35 +40,55 @@ from .shared import Scratch, documents, slices
 #: For a byte, its bits as eight counters of eight bits.
 SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 SEED = 42
-PAIR = "edge boolean, a long, b long, key long"
-_PAIR = pa.schema([("edge", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+SKETCH = ["s0", "s1", "s2", "s3"]
+NODE = ["fp", "rep", *SKETCH]
+PAIR = "edge boolean, a long, b long, key long, s0 long, s1 long, s2 long, s3 long"
+_PAIR = pa.schema([("edge", pa.bool_()), *((c, pa.int64()) for c in ("a", "b", "key", *SKETCH))])
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(text: str | None, shingle: int, block: int = 1 << 16) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash from the first."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def bits(words: list[bytes], shingle: int, lanes: int = 1, block: int = 1 << 16) -> list[int]:
+    """`lanes` signed 64-bit parts of the fingerprint of the shingles of words; the first is over XXH64 itself."""
     if not words:
-        return 0
+        return [0] * lanes
     k = min(shingle, len(words))
     n = len(words) - k + 1
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, n, block):
         part = words[at : at + block + k - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(k))))
+        grams = map(b" ".join, zip(*(part[i:] for i in range(k)))) if k > 1 else part
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
-        packed = SPREAD[h.view(np.uint8).reshape(-1, 8)]
-        counts += np.add.reduceat(packed, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+        starts = np.arange(0, len(h), 255)
+        for lane in range(lanes):
+            h = _mixed(h) if lane else h
+            packed = SPREAD[h.view(np.uint8).reshape(-1, 8)]
+            counts[lane] += np.add.reduceat(packed, starts, axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) for documents (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int, sketch: int | None = None) -> DataFrame:
+    """(doc_id, fp, s0 to s3) for documents (doc_id, text); no sketch: zeros."""
 
     def run(batches):
         for b in slices(batches):
-            fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            rows = []
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                rows.append(bits(words, shingle) + (bits(words, sketch, 4) if sketch else [0] * 4))
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "fp", *SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long")
 
 
 def masks(radius: int, family: int = 0) -> list[int]:
@@ -75,14 +101,22 @@ def masks(radius: int, family: int = 0) -> list[int]:
     return [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() & 1) for v in range(1, tables + 1)]
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among fps."""
-    edges, rest = [], np.arange(len(fps))
+def linked(fp: np.ndarray, sk: np.ndarray, p, q, radius: int, far: int | None) -> np.ndarray:
+    """Which of the rows q are linked to p (or to each p)?"""
+    near = np.bitwise_count(fp[q] ^ fp[p]) <= radius
+    if far is not None:
+        near &= np.bitwise_count(sk[q] ^ sk[p]).sum(axis=1, dtype=np.int64) <= far
+    return near
+
+
+def forest(fp: np.ndarray, sk: np.ndarray, radius: int, far: int | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links of fingerprints (n) with sketches (n, 4), unsigned."""
+    edges, rest = [], np.arange(len(fp))
     while len(rest):
         stack, rest = [int(rest[0])], rest[1:]
         while stack and len(rest):
             p = stack.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[p]) <= radius
+            near = linked(fp, sk, p, rest, radius, far)
             if near.any():
                 hits = rest[near].tolist()
                 edges += [(p, q) for q in hits]
@@ -114,98 +148,101 @@ class Union:
         return True
 
 
-def _buckets(radius: int, limit: int):
-    """Rows (key, fp, rep) in key order; emits forest edges, and the rows of buckets over the limit."""
+def _buckets(radius: int, far: int | None, limit: int):
+    """Rows (key, fp, rep, sketch) in key order; emits forest edges, and the rows of buckets over the limit."""
+    names = ["key", *NODE]
+
+    def edges_of(found):
+        n = len(found)
+        a, b = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(5))], schema=_PAIR)
+
+    def deferred(key, fp, rep, *sk):
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, *sk))], schema=_PAIR)
 
     def run(batches):
         union = Union()
-        held = (np.empty(0, np.int64),) * 3
+        held = (np.empty(0, np.int64),) * len(names)
         passing = None
 
-        def settle(key, fp, rep):
+        def settle(cols):
             """Whole buckets only."""
-            new = np.flatnonzero(np.diff(key)) + 1
-            start = np.concatenate([[0], new])
+            key, rep = cols[0], cols[2]
+            # unsigned: of a negative number numpy would count the bits of the absolute value
+            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[3:]).view(np.uint64)
+            start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             size = np.diff(np.concatenate([start, [len(key)]]))
             found, late = [], []
-            fp = fp.view(np.uint64)  # of a negative number numpy would count the bits of the absolute value
             two = start[size == 2]
-            ok = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            found += zip(rep[ok].tolist(), rep[ok + 1].tolist())
+            two = two[linked(fp, sk, two, two + 1, radius, far)]
+            found += zip(rep[two].tolist(), rep[two + 1].tolist())
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 if n > limit:
-                    late.append((key[s : s + n], fp[s : s + n].view(np.int64), rep[s : s + n]))
+                    late.append(tuple(c[s : s + n] for c in cols))
                 else:
-                    found += ((int(rep[s + i]), int(rep[s + j])) for i, j in forest(fp[s : s + n], radius))
+                    found += ((int(rep[s + i]), int(rep[s + j])) for i, j in forest(fp[s : s + n], sk[s : s + n], radius, far))
             found = [x for x in found if union.join(*x)]
             if found:
-                a, b = map(list, zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array([True] * len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], schema=_PAIR)
+                yield edges_of(found)
             for x in late:
                 yield deferred(*x)
 
-        def deferred(key, fp, rep):
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), pa.array(fp), pa.array(rep), pa.array(key)], schema=_PAIR)
-
         for b in batches:
-            cols = tuple(np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp", "rep")))
-            key = cols[0]
-            if not len(key):
-                continue
+            cols = tuple(np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names))
             if passing is not None:
-                n = int(np.searchsorted(key != passing, True))
+                n = int(np.searchsorted(cols[0] != passing, True))
                 if n:
                     yield deferred(*(c[:n] for c in cols))
                     cols = tuple(c[n:] for c in cols)
-                    key = cols[0]
-                if not len(key):
-                    held = cols
-                    continue
-                passing = None
-            last = int(np.searchsorted(key, key[-1]))
+                passing = None if len(cols[0]) else passing
+            if not len(cols[0]):
+                held = cols
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
             if last:
-                yield from settle(*(c[:last] for c in cols))
+                yield from settle(tuple(c[:last] for c in cols))
             held = tuple(c[last:] for c in cols)
             if len(held[0]) > limit:
                 passing = int(held[0][0])
                 yield deferred(*held)
                 held = tuple(c[:0] for c in held)
         if len(held[0]):
-            yield from settle(*held)
+            yield from settle(held)
 
     return run
 
 
-def links(nodes: DataFrame, radius: int, scratch: Scratch, limit: int = 20_000) -> DataFrame:
-    """Edges (a, b) between representatives of fingerprints (fp, rep) that connect all links."""
+def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000) -> DataFrame:
+    """Edges (a, b) between the representatives of nodes that connect all links."""
     edges, level = None, 0
-    rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", "rep")
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), *NODE)
     while True:
         tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
-        spread = rows.select(F.explode(tables).alias("key"), "fp", "rep")
-        out = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, limit), PAIR)
+        spread = rows.select(F.explode(tables).alias("key"), *NODE)
+        out = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, far, limit), PAIR)
         out = scratch.write(out, f"links{level}")
         edges = out.where("edge").select("a", "b") if edges is None else edges.union(out.where("edge").select("a", "b"))
-        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"))
+        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *SKETCH)
         level += 1
         if rows.isEmpty() or level > 8:
             # over the limit after nine families: equal in nearly all bits, and so few by nature
             return edges
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp (long), component_id; one row per input row."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, sketch: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, fp (long), component_id; one row per input row. sketch: words of a shingle, bits at most."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.write(fingerprints(documents(docs, id_col, text_col), shingle), "fps")
-    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    labels = components(links(nodes, radius, scratch), scratch)
-    named = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    words, far = sketch or (None, None)
+    fps = scratch.write(fingerprints(documents(docs, id_col, text_col), shingle, words), "fps")
+    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp", *SKETCH).agg(F.min("doc_id").alias("rep")), "nodes")
+    labels = components(links(nodes, radius, scratch, far), scratch)
+    named = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", *SKETCH, F.coalesce("component", "rep").alias("component"))
+    return fps.join(named, ["fp", *SKETCH], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 1, radius: int = 5, sketch: tuple[int, int] = (5, 48)) -> DataFrame:
     """The rows of docs that are the first of their group; rows without an id all stay."""
-    groups = simhash(docs, shingle=shingle, radius=radius)
+    groups = simhash(docs, shingle=shingle, radius=radius, sketch=sketch)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
