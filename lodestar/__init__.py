@@ -1 +1,3 @@
 """Vector retrieval and training-data operators on PySpark."""
+
+__version__ = "0.1.0"
