@@ -39,36 +39,35 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _partial(rows, names: list[str], types: list[pa.DataType], most: int = 400_000):
-    """Sum up a stream of counters and emit their entries whenever they get large."""
-    held: Counter = Counter()
-    for c in rows:
-        held.update(c)
-        if len(held) > most:
-            yield _emit(held, names, types)
-            held = Counter()
-    if held:
-        yield _emit(held, names, types)
+def _emit(held: dict[str, Counter], name: str):
+    for lang, c in held.items():
+        cols = [pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["lang", name, "n"])
 
 
-def _emit(held: Counter, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    cols = [*zip(*held), list(held.values())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+def _counted(stream, name: str, most: int = 400_000):
+    """Sum up a stream of (lang, keys) and emit the counts whenever they get many."""
+    held: dict[str, Counter] = {}
+    for lang, keys in stream:
+        held.setdefault(lang, Counter()).update(keys)
+        if sum(map(len, held.values())) > most:
+            yield from _emit(held, name)
+            held = {}
+    yield from _emit(held, name)
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) of documents (text, lang)."""
 
     def run(batches):
-        def counters():
+        def stream():
             for b in slices(batches):
                 by: dict[str, list[str]] = {}
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                     by.setdefault(lang, []).extend(words_of(text))
-                for lang, ws in by.items():
-                    yield {(lang, w): n for w, n in Counter(ws).items()}
+                yield from by.items()
 
-        yield from _partial(counters(), ["lang", "word", "n"], [pa.string(), pa.string(), pa.int64()])
+        yield from _counted(stream(), "word")
 
     return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -77,17 +76,18 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, len, gram, n) over distinct words."""
 
     def run(batches):
-        def counters():
+        def stream():
             for b in batches:
-                out: Counter = Counter()
+                by: dict[str, list[str]] = {}
                 for lang, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist()):
                     s = f"\x02{w}\x03"
-                    out.update((lang, k, s[i : i + k]) for k in range(1, LONGEST + 1) for i in range(len(s) - k + 1))
-                yield out
+                    by.setdefault(lang, []).extend([s[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(s) - k + 1)])
+                yield from by.items()
 
-        yield from _partial(counters(), ["lang", "len", "gram", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()])
+        yield from _counted(stream(), "gram")
 
-    return words.select("lang", "word").mapInArrow(run, "lang string, len int, gram string, n long").groupBy("lang", "len", "gram").agg(F.sum("n").alias("n"))
+    summed = words.select("lang", "word").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return summed.select("lang", F.char_length("gram").alias("len"), "gram", "n")
 
 
 def most_frequent(counts: DataFrame, by: list[str], capacity: int) -> tuple[DataFrame, dict]:
@@ -124,6 +124,7 @@ class Model:
         self.grams = self._table(grams, lambda key: [gram_totals.get((x, len(key)), (0, 0)) for x in langs], col)
         # a character that no n-gram of the model ends with says nothing
         self.nothing = np.full(len(langs), LONGEST * STEP_BACK - 10.0)
+        self.reset()
 
     @staticmethod
     def _table(rows: list[tuple], totals, col: dict[str, int]) -> dict[str, np.ndarray]:
@@ -138,21 +139,47 @@ class Model:
             found[key] = np.log(counts + 0.5) - base[k]
         return found
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        s = f"\x02{word}\x03"
-        total = np.zeros(len(self.langs))
-        for end in range(2, len(s) + 1):
-            for k in range(min(LONGEST, end), 0, -1):
-                g = self.grams.get(s[end - k : end])
-                if g is not None:
-                    total += g + (LONGEST - k) * STEP_BACK
-                    break
-            else:
-                total += self.nothing
-        return total / (len(s) - 1)
+    def reset(self) -> None:
+        """Forget which n-gram each context takes; bounds memory, changes no score."""
+        self.context: dict[str, int] = {}
+        self.rows = np.zeros((1 << 12, len(self.langs)))
+
+    def _row(self, context: str) -> int:
+        """Number of the row of the longest known n-gram that ends the context."""
+        found = self.nothing
+        for k in range(len(context), 0, -1):
+            g = self.grams.get(context[-k:])
+            if g is not None:
+                found = g + (LONGEST - k) * STEP_BACK
+                break
+        self.context[context] = at = len(self.context)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = found
+        return at
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language, one row a word."""
+        out = np.zeros((len(words), len(self.langs)))
+        unknown, size, index = [], [], []
+        for i, w in enumerate(words):
+            known = self.words.get(w)
+            if known is not None:
+                out[i] = known
+                continue
+            s = f"\x02{w}\x03"
+            ends = [s[e - LONGEST if e > LONGEST else 0 : e] for e in range(2, len(s) + 1)]
+            unknown.append(i)
+            size.append(len(ends))
+            for c in ends:
+                at = self.context.get(c)
+                index.append(self._row(c) if at is None else at)
+        if unknown:
+            size = np.array(size)
+            out[unknown] = np.add.reduceat(self.rows[index], np.cumsum(size) - size, axis=0) / size[:, None]
+        if len(self.context) > 300_000:
+            self.reset()
+        return out
 
 
 def learn(labelled: DataFrame, scratch: Scratch, word_capacity: int = 120_000, gram_capacity: int = 160_000) -> Model:
@@ -168,7 +195,7 @@ def learn(labelled: DataFrame, scratch: Scratch, word_capacity: int = 120_000, g
     return Model(langs, as_rows(w), totals, as_rows(g), gram_totals)
 
 
-def predict(docs: DataFrame, model: Model, max_words: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, max_words: int = 400_000) -> DataFrame:
     """doc_id, lang_pred, score of documents (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,11 +208,12 @@ def predict(docs: DataFrame, model: Model, max_words: int = 300_000) -> DataFram
             every = [w for ws in found for w in ws]
             if len(row) > max_words:
                 row = {}
-            for w in set(every).difference(row):
-                if len(row) == len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                table[len(row)] = m.score(w)
-                row[w] = len(row)
+            new = list(set(every).difference(row))
+            while len(row) + len(new) > len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            if new:
+                table[len(row) : len(row) + len(new)] = m.score(new)
+                row.update(zip(new, range(len(row), len(row) + len(new))))
             size = np.fromiter(map(len, found), np.int64, len(found))
             lang, score = np.full(len(found), "und", object), np.zeros(len(found))
             if every:
