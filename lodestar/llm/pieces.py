@@ -37,7 +37,7 @@ from .shared import Scratch, documents, slices
 
 MARK = "▁"
 LONGEST = 62
-BLOCK = 1 << 12
+BLOCK = 1 << 11
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CODED = "doc_id long, ids array<int>"
 
@@ -157,7 +157,7 @@ def _units(path: str):
                 size -= len(held)
                 held.update(voc.words(t))
                 size += len(held)
-            if size > 1_000_000:
+            if size > 250_000:
                 yield from emit()
                 seen, size = {}, 0
         yield from emit()
@@ -183,11 +183,11 @@ def _blobs(batches):
 class _Words(dict):
     """Ids of words, put together from those of their units when first asked for."""
 
-    def __init__(self, voc: Vocabulary, units: dict[str, bytes]):
-        self.voc, self.units = voc, units
+    def __init__(self, voc: Vocabulary, bounds: dict[str, int | None]):
+        self.voc, self.bounds = voc, bounds
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(self.units[u] if 1 < len(u) <= LONGEST else self.voc.cut(u, None) for u in self.voc.split(word))
+        ids = b"".join(self.voc.cut(u, self.bounds[u] if 1 < len(u) <= LONGEST else None) for u in self.voc.split(word))
         self[word] = ids
         return ids
 
@@ -195,10 +195,10 @@ class _Words(dict):
 def _assemble(path: str):
     def run(blobs: pa.Table, units: pa.Table) -> pa.Table:
         voc = vocabulary(path)
-        coded: dict[str, bytes] = {}
+        bounds: dict[str, int | None] = {}
         for b in units.to_batches(max_chunksize=20_000):
-            coded.update((u, voc.cut(u, x)) for u, x in zip(b.column("unit").to_pylist(), b.column("bounds").to_pylist()))
-        table = _Words(voc, coded)
+            bounds.update(zip(b.column("unit").to_pylist(), b.column("bounds").to_pylist()))
+        table = _Words(voc, bounds)
         out = []
         for data in blobs.column("data").to_pylist():
             for part in pa.ipc.open_stream(zstandard.decompress(data)):

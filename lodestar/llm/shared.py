@@ -26,10 +26,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches to and from Python are cut by bytes, so long texts don't add up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Scratch:
     """Tables of one operator run in the shared folder; removed when the JVM ends, or by drop()."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
         self._fs(self.base)[0].deleteOnExit(self._fs(self.base)[1])
@@ -56,6 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns can't clash."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
