@@ -3,7 +3,8 @@
 Words are lower-case runs without white space, bare of punctuation at their ends. A mask
 (fixed values below) hashes the words at its ones and ignores the others, so that a
 window with substituted words in the ignored places still meets its original. Test items
-shorter than the longest mask also get a mask of all their words.
+shorter than the longest mask have masks of their own length instead, one for each choice
+of the places that the similarity lets differ.
 
 1. Test items give seeds (hash, item, position); their hashes set bits of a bitmap of
    fixed size, which is all that is broadcast.
@@ -22,6 +23,8 @@ words, then the smallest start). Contaminated rows without an id come under a nu
 from __future__ import annotations
 
 import functools
+import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +64,7 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, U)
-    h = np.full(n, U(len(mask)), U)
+    h = np.full(n, U(len(mask) << 16 | int(mask, 2)), U)  # of one mask only
     for k, off in enumerate(_offsets(mask)):
         h = (h ^ words[off : off + n]) * U(0x9E3779B97F4A7C15 + 2 * k)
         h ^= h >> U(29)
@@ -69,50 +72,57 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def test_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words array<long>) of items that are searched."""
+    """(item, item_id, words array<long>) of items that are searched; item is a key of the row."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        known, key = {}, TaskContext.get().partitionId() << 33
         for b in slices(batches):
             words = [np.array(word_hashes(t, known), U).view(np.int64) for t in b.column("text").to_pylist()]
             keep = [len(w) >= MIN_WORDS for w in words]
             ids = [i for i, k in zip(b.column("doc_id").to_pylist(), keep) if k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w for w, k in zip(words, keep) if k], pa.list_(pa.int64()))], names=["item_id", "words"])
+            keys = pa.array(range(key, key + len(ids)), pa.int64())
+            key += len(ids)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array([w for w, k in zip(words, keep) if k], pa.list_(pa.int64()))], names=["item", "item_id", "words"])
 
-    return benchmark.mapInArrow(run, "item_id long, words array<long>")
+    return benchmark.mapInArrow(run, "item long, item_id long, words array<long>")
 
 
-def masks_of(n: int) -> list[str]:
+LONGEST_MASK = max(map(len, MASKS))
+
+
+@functools.cache
+def masks_of(n: int, similarity: float) -> list[str]:
     """Masks of an item of n words."""
-    fit = [m for m in MASKS if len(m) <= n]
-    return fit if len(fit) == len(MASKS) else [*fit, "1" * n]
+    if n >= LONGEST_MASK:
+        return list(MASKS)
+    free = n - math.ceil(round(similarity * n, 9))
+    return ["".join("0" if i in gone else "1" for i in range(n)) for gone in combinations(range(n), free)]
 
 
-def seeds(items: DataFrame) -> DataFrame:
-    """(h, item_id, at) of all windows of all items."""
+def seeds(items: DataFrame, similarity: float) -> DataFrame:
+    """(h, item, at) of all windows of all items."""
 
     def run(batches):
         for b in batches:
             rows = ([], [], [])
-            for i, ws in zip(b.column("item_id").to_pylist(), b.column("words").to_pylist()):
+            for i, ws in zip(b.column("item").to_pylist(), b.column("words").to_pylist()):
                 ws = np.array(ws, np.int64).view(U)
-                for m in masks_of(len(ws)):
+                for m in masks_of(len(ws), similarity):
                     h = seed_hashes(ws, m)
                     rows[0].extend(h.view(np.int64).tolist())
                     rows[1].extend([i] * len(h))
                     rows[2].extend(range(len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], names=["h", "item_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], names=["h", "item", "at"])
 
-    return items.mapInArrow(run, "h long, item_id long, at int")
+    return items.mapInArrow(run, "h long, item long, at int")
 
 
 CLUSTER = "key long, doc_id long, start int, words array<long>, hits array<struct<h:long,at:int>>"
 _CLUSTER = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))])
 
 
-def _clusters(table, lengths: list[int], reach: int):
+def _clusters(table, masks: list[str], reach: int):
     """Clusters of hits, each with the words up to `reach` around it."""
-    masks = [*MASKS, *("1" * n for n in lengths)]
 
     def run(batches):
         key, known = TaskContext.get().partitionId() << 33, {}
@@ -157,13 +167,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = scratch.write(test_items(documents(benchmark, item_col, item_text)), "items")
     size = F.size("words")
     longest = items.agg(F.max(size)).first()[0] or 0
-    short = [r[0] for r in items.where(size < max(map(len, MASKS))).select(size).distinct().collect()]
-    planted = scratch.write(seeds(items), "seeds")
+    short = [r[0] for r in items.where(size < LONGEST_MASK).select(size).distinct().collect()]
+    planted = scratch.write(seeds(items, similarity), "seeds")
     table = spark.sparkContext.broadcast(bitmap(planted))
-    clusters = scratch.write(documents(docs, id_col, text_col).mapInArrow(_clusters(table, sorted(short), longest), CLUSTER), "clusters")
+    clusters = scratch.write(documents(docs, id_col, text_col).mapInArrow(_clusters(table, [*MASKS, *(m for n in sorted(short) for m in masks_of(n, similarity))], longest), CLUSTER), "clusters")
     hits = clusters.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.h").alias("h"), F.col("hit.at").alias("p"))
-    diagonals = hits.join(planted, "h").select("key", "item_id", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
-    pairs = diagonals.join(clusters.select("key", "doc_id", "start", F.col("words").alias("text")), "key").join(items, "item_id")
+    diagonals = hits.join(planted, "h").select("key", "item", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
+    pairs = diagonals.join(clusters.select("key", "doc_id", "start", F.col("words").alias("text")), "key").join(items, "item")
     lo = F.greatest(F.lit(0), -F.col("diagonal"))
     n = F.least(F.size("words"), F.size("text") - F.col("diagonal")) - lo
     same = F.zip_with(F.slice("words", lo + 1, n), F.slice("text", lo + F.col("diagonal") + 1, n), lambda a, b: (a == b).cast("int"))
