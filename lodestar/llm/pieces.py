@@ -1,24 +1,23 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Texts fall into words (a run of word marks with the characters up to the next mark, and
-line feeds), and words into units: a word is cut between two characters that stand side
-by side in no piece, so that no merge of the vocabulary crosses a unit. The lattice of a distinct unit is made
-relationally: its substrings of two or more characters, up to the longest piece, are
-exploded and equi-joined to the piece table, and the pieces found are grouped by unit.
+Texts fall into words that no merge of the vocabulary crosses: a run of word marks with
+the characters up to the next mark, and line feeds. The lattice of the words of a batch,
+each once, is made of relations held as Arrow and numpy columns: the substrings (word,
+start, length) of up to the longest piece are exploded length by length and equi-joined to
+the piece table on (prefix, next character), so that what is no prefix of a piece drops
+out; the pieces found are edges, grouped by word and ordered by rank.
 
 The vocabulary is of the BPE kind. A Viterbi fold over its scores finds the path of the
 highest sum, which is not what such a vocabulary means: it merges the best adjacent pair
-first. So the fold keeps the set of boundaries as bits and in each step removes the one
-inside the best edge that spans exactly two current pieces, leftmost among equals. That
-gives the library's pieces. The fold runs over Arrow batches, all units of a batch at once;
-the same fold as a higher-order aggregate took some 170 us of CPU time a unit.
+first. So the fold keeps the set of boundaries of a word as bits and in each step removes
+the one inside the best edge that spans exactly two current pieces, leftmost among equals.
+That gives the library's pieces. All words of a batch are folded in step.
 
-Units go by word, texts by blocks of ids; a block meets the units that occur in it, each
-once, in one task, so texts move once and compressed. Units of over LONGEST characters are
-merged in Python by the same rule, where they are assembled.
+The README says why the lattice is not made of Spark rows. Nothing is shuffled: a task
+encodes its own documents, and keeps the ids of words up to a limit that changes no id.
+Words of over LONGEST characters are merged one by one by the same rule.
 
-Null and empty texts have no pieces. Rows are encoded one by one, equal ones equally; rows
-without an id are dealt by the hash of their text.
+Null and empty texts have no pieces. Rows are encoded one by one, equal ones equally.
 """
 
 from __future__ import annotations
@@ -28,16 +27,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import Scratch, documents, slices
+from .shared import documents, slices
 
 MARK = "▁"
 LONGEST = 62
-BLOCK = 1 << 11
+MAX_WORDS = 500_000
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CODED = "doc_id long, ids array<int>"
 
@@ -58,16 +54,15 @@ class Vocabulary:
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         self.rank = {self.pieces[i]: order[sp.get_score(i)] for i in plain if len(self.pieces[i]) > 1}
         self.longest = max(map(len, self.ids))
-        self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        self.table = PieceTable(self)
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        self.known: dict[str, bytes] = {}
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("pieces of this vocabulary cross units")
 
-    def split(self, word: str) -> list[str]:
-        """The units of a word."""
-        inside = self.inside
-        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair[0] + pair[1] not in inside]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
-
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
@@ -76,22 +71,32 @@ class Vocabulary:
         found = (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
         return [u for u in found if u] if "" in found else found
 
-    def cut(self, unit: str, bounds: int | None) -> bytes:
-        """Ids (little-endian 16-bit) of a unit cut at the set bits; none: at every character."""
-        n = len(unit)
-        if n > LONGEST:
-            parts = self.merge(list(unit))
-        elif bounds is None:
-            parts = list(unit)
-        else:
-            at = [i for i in range(n + 1) if bounds >> i & 1]
-            parts = [unit[a:b] for a, b in zip(at, at[1:])]
+    def ids_of(self, parts: list[str]) -> bytes:
+        """Ids (little-endian 16-bit) of pieces; what is no piece is spelt in bytes."""
         out = []
         for p in parts:
             i = self.ids.get(p)
             out += [i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
         return np.array(out, "<u2").tobytes()
 
+    def learn(self, new: list[str]) -> None:
+        """Encode words that are not known yet."""
+        short = [w for w in new if len(w) <= LONGEST]
+        for w in new:
+            if len(w) > LONGEST:
+                self.known[w] = self.ids_of(self.merge(list(w)))
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            self.known.update(zip(part, encode_words(self, part)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        words = [self.words(t) for t in texts]
+        if len(self.known) > MAX_WORDS:
+            self.known = {}
+        self.learn(list(set().union(*words).difference(self.known)))
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
+
     def merge(self, parts: list[str]) -> list[str]:
         """The same rule for long units: a heap of adjacent pairs over a linked list."""
         import heapq
@@ -138,136 +143,128 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _units(path: str):
-    """The distinct units of each block, as far as one task sees it; single characters need no lattice."""
-
-    def run(batches):
-        voc = vocabulary(path)
-        seen: dict[int, set[str]] = {}
-        size = 0
-
-        def emit():
-            for block, words in seen.items():
-                units = {u for w in words for u in voc.split(w) if 1 < len(u) <= LONGEST}
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(units), pa.int64()), pa.array(list(units), pa.string())], names=["block", "unit"])
-
-        for b in slices(batches):
-            for block, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
-                held = seen.setdefault(block, set())
-                size -= len(held)
-                held.update(voc.words(t))
-                size += len(held)
-            if size > 250_000:
-                yield from emit()
-                seen, size = {}, 0
-        yield from emit()
-
-    return run
-
-
-def _blobs(batches):
-    """Ids and texts of a block, compressed, a few rows for each task."""
-    for b in slices(batches):
-        block = b.column("block").to_numpy()
-        blocks, data = [], []
-        for k in np.unique(block):
-            part = pa.record_batch([b.column("doc_id"), b.column("text")], names=["doc_id", "text"]).filter(pa.array(block == k))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as out:
-                out.write_batch(part)
-            blocks.append(int(k))
-            data.append(zstandard.compress(sink.getvalue().to_pybytes(), 3))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
-
-
-class _Words(dict):
-    """Ids of words, put together from those of their units when first asked for."""
-
-    def __init__(self, voc: Vocabulary, bounds: dict[str, int | None]):
-        self.voc, self.bounds = voc, bounds
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(self.voc.cut(u, self.bounds[u] if 1 < len(u) <= LONGEST else None) for u in self.voc.split(word))
-        self[word] = ids
-        return ids
-
-
-def _assemble(path: str):
-    def run(blobs: pa.Table, units: pa.Table) -> pa.Table:
-        voc = vocabulary(path)
-        bounds: dict[str, int | None] = {}
-        for b in units.to_batches(max_chunksize=20_000):
-            bounds.update(zip(b.column("unit").to_pylist(), b.column("bounds").to_pylist()))
-        table = _Words(voc, bounds)
-        out = []
-        for data in blobs.column("data").to_pylist():
-            for part in pa.ipc.open_stream(zstandard.decompress(data)):
-                lists = [b"".join([table[w] for w in voc.words(t)]) for t in part.column("text").to_pylist()]
-                stops = np.cumsum([0, *(len(c) // 2 for c in lists)]).astype(np.int32)
-                values = np.frombuffer(b"".join(lists), "<u2").astype(np.int32)
-                out.append(pa.table([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(values))], names=["doc_id", "ids"]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return run
-
-
-def lattice(units: DataFrame, path: str) -> DataFrame:
-    """(unit, edges): for distinct units the pieces inside, best first, each as rank, start and end in one number."""
-    spark = units.sparkSession
-    voc = vocabulary(path)
-    table = spark.createDataFrame(list(voc.rank.items()), "piece string, rank long")  # as large as the vocabulary file
-    subs = F.expr(
-        f"""explode(flatten(transform(sequence(0, char_length(unit) - 2), s ->
-              transform(sequence(s + 2, least(char_length(unit), s + {voc.longest})), q ->
-                struct(substring(unit, s + 1, q - s) as piece, s * 256 + q as at)))))"""
-    )
-    spread = units.where(f"char_length(unit) between 2 and {LONGEST}").select("unit", subs.alias("sub"))
-    edges = spread.select("unit", F.col("sub.piece").alias("piece"), F.col("sub.at").alias("at")).join(F.broadcast(table), "piece")
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.col("rank") * 65536 + F.col("at"))).alias("edges"))
-
-
-def _fold(batches):
-    """Merge the units of a batch in step: in each round every unit applies its best edge, until none has one."""
-    for b in batches:
-        lists = b.column("edges")
-        size = pc.list_value_length(lists).to_numpy()
-        code = pc.list_flatten(lists).to_numpy()
-        n = pc.utf8_length(b.column("unit")).to_numpy().astype(np.uint64)
-        one = np.uint64(1)
-        bounds = (np.uint64(2) << n) - one
-        start, end = (code >> 8 & 255).astype(np.uint64), (code & 255).astype(np.uint64)
-        ends, middle = (one << start) | (one << end), (one << end) - (np.uint64(2) << start)
-        unit = np.repeat(np.arange(b.num_rows), size)
-        while len(unit):
-            now = bounds[unit]
-            alive = (now & ends) == ends  # a lost boundary never comes back
-            ready = np.flatnonzero(alive & (np.bitwise_count(now & middle) == 1))
-            if not len(ready):
-                break
-            who, first = np.unique(unit[ready], return_index=True)  # edges of a unit are in order, best first
-            best = ready[first]
-            bounds[who] &= ~middle[best]
-            alive[best] = False
-            alive &= np.isin(unit, who)  # units without an edge to apply are done
-            unit, ends, middle = unit[alive], ends[alive], middle[alive]
-        yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(bounds.view(np.int64))], names=["unit", "bounds"])
-
-
-def fold(lattices: DataFrame) -> DataFrame:
-    """(unit, bounds): bits of the boundaries after all merges."""
-    return lattices.mapInArrow(_fold, "unit string, bounds long")
+class PieceTable:
+    """The piece table by prefixes: (prefix, next character) -> prefix, and the pieces among the prefixes.
+
+    Prefixes are numbered; 0 is the empty one. A relation with one row per prefix, sorted by key.
+    """
+
+    def __init__(self, voc: Vocabulary):
+        number = {"": 0}
+        keys: list[tuple[int, int]] = []
+        for p in voc.rank:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in number:
+                    number[p[:k]] = len(number)
+                    keys.append((number[p[: k - 1]] << 21 | ord(p[k - 1]), number[p[:k]]))
+        keys.sort()
+        self.key = np.array([k for k, _ in keys], np.int64)
+        self.to = np.array([t for _, t in keys], np.int32)
+        self.rank = np.full(len(number), -1, np.int64)
+        self.id = np.full(len(number), -1, np.int32)
+        for p, r in voc.rank.items():
+            self.rank[number[p]], self.id[number[p]] = r, voc.ids[p]
+
+    def join(self, prefix: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have a match, and the prefixes they extend to."""
+        want = prefix.astype(np.int64) << 21 | char
+        at = np.searchsorted(self.key, want)
+        at[at == len(self.key)] = 0
+        hit = np.flatnonzero(self.key[at] == want)
+        return hit, self.to[at[hit]]
+
+
+def lattice(voc: Vocabulary, chars: np.ndarray, word: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges (position, length, rank, id) of pieces of two or more characters, by word, rank and position.
+
+    chars: the characters of all words in a row; word: the word of each; last: where its word ends.
+    """
+    table = voc.table
+    at, prefix = np.arange(len(chars)), np.zeros(len(chars), np.int32)
+    found = []
+    for k in range(1, voc.longest + 1):
+        fit = at + k <= last[at]  # the substring of length k ends within the word
+        at, prefix = at[fit], prefix[fit]
+        hit, prefix = table.join(prefix, chars[at + k - 1])
+        at = at[hit]
+        if not len(at):
+            break
+        piece = np.flatnonzero(table.rank[prefix] >= 0)
+        found.append((at[piece], np.full(len(piece), k), table.rank[prefix[piece]], table.id[prefix[piece]]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    pos, length, rank, ids = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((pos, rank, word[pos]))
+    return pos[order], length[order], rank[order], ids[order]
+
+
+def fold(unit: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Boundaries of words as bits, after all merges: in each round every word applies its best edge.
+
+    Edges (unit, start, end) are ordered by unit, then best first; size: characters of each word.
+    """
+    one = np.uint64(1)
+    bounds = (np.uint64(2) << size.astype(np.uint64)) - one
+    start, end = start.astype(np.uint64), end.astype(np.uint64)
+    ends, middle = (one << start) | (one << end), (one << end) - (np.uint64(2) << start)
+    while len(unit):
+        now = bounds[unit]
+        alive = (now & ends) == ends  # a lost boundary never comes back
+        ready = np.flatnonzero(alive & (np.bitwise_count(now & middle) == 1))
+        if not len(ready):
+            break
+        mine = unit[ready]
+        first = np.concatenate([[True], mine[1:] != mine[:-1]])
+        best = ready[first]
+        bounds[unit[best]] &= ~middle[best]
+        alive[best] = False
+        busy = np.zeros(len(size), bool)
+        busy[unit[best]] = True
+        alive &= busy[unit]  # words without an edge to apply are done
+        unit, ends, middle = unit[alive], ends[alive], middle[alive]
+    return bounds
+
+
+def encode_words(voc: Vocabulary, words: list[str]) -> list[bytes]:
+    """Ids of distinct words of at most LONGEST characters."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    stop = np.cumsum(size)
+    begin = stop - size
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), size)
+    pos, length, _, ids = lattice(voc, chars, word, stop[word])
+    start = pos - begin[word[pos]]
+    bounds = fold(word[pos], start, start + length, size)
+    # a piece of two or more characters is an edge with both ends set and nothing between
+    b, one = bounds[word[pos]], np.uint64(1)
+    s, e = start.astype(np.uint64), (start + length).astype(np.uint64)
+    final = (b >> s & one).astype(bool) & (b >> e & one).astype(bool) & ((b & ((one << e) - (np.uint64(2) << s))) == 0)
+    at = voc.single[chars]
+    at[pos[final]] = ids[final]
+    cut = (bounds[word] >> (np.arange(len(chars)) - begin[word]).astype(np.uint64) & one).astype(bool)
+    spelt = np.unique(word[cut & (at < 0)])  # words with characters that are spelt in bytes
+    count = np.add.reduceat(cut, begin) if len(words) else np.zeros(0, np.int64)
+    flat = at[cut].astype("<u2").tobytes()
+    edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int64) * 2
+    out = [flat[a:z] for a, z in zip(edges.tolist(), edges[1:].tolist())]
+    for i in spelt.tolist():
+        marks = [k for k in range(len(words[i]) + 1) if int(bounds[i]) >> k & 1]
+        out[i] = voc.ids_of([words[i][a:z] for a, z in zip(marks, marks[1:])])
+    return out
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>; path names a SentencePiece vocabulary of the BPE kind."""
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.pmod(F.xxhash64("text"), F.lit(64)) - 1_000_000_000_000).cast("long")
-    rows = documents(docs, id_col, text_col).withColumn("block", block)
-    scratch = Scratch(docs.sparkSession, "pieces")
-    units = scratch.write(rows.mapInArrow(_units(path), "block long, unit string"), "units")
-    folded = fold(lattice(units.select("unit").distinct(), path))
-    known = units.join(folded, "unit", "left")
-    blobs = rows.mapInArrow(_blobs, "block long, data binary")
-    return blobs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assemble(path), CODED)
+
+    def run(batches):
+        voc = vocabulary(path)
+        for b in slices(batches, 4 << 20):
+            coded = voc.encode(b.column("text").to_pylist())
+            stops = np.cumsum([0, *(len(c) // 2 for c in coded)]).astype(np.int32)
+            values = np.frombuffer(b"".join(coded), "<u2").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(values))], names=["doc_id", "ids"])
+
+    return documents(docs, id_col, text_col).mapInArrow(run, CODED)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

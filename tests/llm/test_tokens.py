@@ -140,10 +140,18 @@ def test_pieces_of_nothing(none):
     assert encode(none, SP).count() == 0
 
 
-def test_units_and_long_units(sp):
+def test_words_and_long_words(sp):
+    """A word of a text is encoded alone as the library encodes it there."""
     voc = vocabulary(SP)
-    for word in ("▁the", "▁ende.", "x" * 400 + "ation" * 30):
-        assert "".join(voc.split(word)) == word
-    long = "the" * 60
-    ids = np.frombuffer(voc.cut(long, None), "<u2").tolist()
-    assert ids == sp.encode(long)[1:] or [voc.pieces[i] for i in ids] == sp.encode("x " + long, out_type=str)[2:] or "".join(voc.pieces[i] for i in ids) == long
+    for text in ("the end of it.", "a  b", " lead", "x\n\ny z", "é" * 70, "x" * 400 + "ation" * 30):
+        assert voc.words(text) and "".join(voc.words(text)) == "▁" + text.replace(" ", "▁")
+        assert np.frombuffer(voc.encode([text])[0], "<u2").tolist() == sp.encode(text)
+
+
+def test_small_word_limit(monkeypatch, sp):
+    from lodestar.llm import pieces
+
+    monkeypatch.setattr(pieces, "MAX_WORDS", 3)
+    t = [r[1] or "" for r in odd_rows()]
+    got = [np.frombuffer(x, "<u2").tolist() for k in range(0, len(t), 4) for x in vocabulary(SP).encode(t[k : k + 4])]
+    assert got == [sp.encode(x) for x in t]
