@@ -100,6 +100,28 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op8_chat_windows": """
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        i AS (SELECT *, row_number() OVER w - 1 AS idx, ceil(strlen(text) / 4)::BIGINT + 4 AS tokens FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        h AS (SELECT *, role = 'system' AND idx = 0 AS head FROM i),
+        n AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY idx)::BIGINT AS upto,
+                     max(CASE WHEN head THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS top,
+                     8 + length(replace(replace(replace(replace(role, '\\', '\\0'), '<', '\\1'), '[', '\\2'), chr(10), '\\3'))
+                       + length(replace(replace(replace(text, '\\', '\\0'), '<', '\\1'), '[', '\\2')) AS chars FROM h),
+        b AS (SELECT *, upto - CASE WHEN head THEN 0 ELSE tokens END AS before FROM n),
+        r AS (SELECT conv_id, idx, before AS base FROM b WHERE idx = CASE WHEN top > 0 THEN 1 ELSE 0 END
+              UNION ALL SELECT b.conv_id, b.idx, CASE WHEN b.upto - r.base > greatest(1024 - 256 - b.top, 1) THEN b.before ELSE r.base END
+                        FROM r JOIN b ON b.conv_id = r.conv_id AND b.idx = r.idx + 1),
+        s AS (SELECT conv_id, base, min(idx) AS first, max(idx) AS last FROM r GROUP BY conv_id, base
+              UNION ALL SELECT conv_id, 0, 0, 0 FROM b GROUP BY conv_id HAVING count(*) = 1 AND bool_or(head)),
+        f AS (SELECT s.conv_id, sum(b.chars)::BIGINT AS formatted_chars FROM s JOIN b ON b.conv_id = s.conv_id
+              AND (b.head OR b.idx BETWEEN s.first AND s.last OR (NOT b.head AND b.idx < s.first AND b.before >= s.base - 256)) GROUP BY s.conv_id)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+        FROM b JOIN f USING (conv_id) GROUP BY conv_id""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
