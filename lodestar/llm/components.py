@@ -11,23 +11,27 @@ from .shared import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Labels start at the smallest neighbour. A round takes the smallest label around a
-    node and then the label of that label, so that paths halve; labels are written to the
-    shared folder after each round. A hub has one label row, so joins with it split well.
+    Edges point from the larger node u to the smaller node v, and rounds turn every component
+    into a star around its smallest node. In a round each u is tied to the smallest of its v,
+    m(u), and its other v are tied to m(u) in its place; then each edge (u, v) moves on to
+    (u, m(v)). Both are one join of the edges with a row per node. The first round leaves
+    about one edge a node, however many edges there were; a hub is one row on the side of
+    m, so joins with it split well. Edges are written to the shared folder after each round.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").where("u <> v").distinct()
-    both = scratch.write(both, "edges")
-    labels = scratch.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels0")
     k = 0
+    found = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    found = scratch.write(found, "edges0")
     while True:
-        around = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(around, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("before"))
-        hop = lower.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        after = lower.join(hop, "to").select("node", F.least("to", "next").alias("label"), "before")
-        k += 1
-        after = scratch.write(after, f"labels{k}")
-        moved = after.where("label <> before").limit(1).count()
-        labels = after.select("node", "label")
-        scratch.drop(f"labels{k - 1}")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
+        least = found.groupBy("u").agg(F.min("v").alias("m"))
+        others = found.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = scratch.write(least.select("u", F.col("m").alias("v")).unionByName(others).distinct(), f"small{k}")
+        up = small.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        moved = small.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        after = scratch.write(moved.groupBy("u", "v").agg(F.max("moved").alias("moved")), f"edges{k + 1}")
+        scratch.drop(f"edges{k}")
+        scratch.drop(f"small{k}")
+        found, k = after.select("u", "v"), k + 1
+        # stars: nothing moved, so every v is a root; no u has two roots, so nothing is left to tie
+        if after.where("moved").isEmpty() and found.groupBy("u").count().where("count > 1").isEmpty():
+            roots = found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return found.toDF("node", "component").unionByName(roots)
