@@ -18,8 +18,6 @@ when no row is labelled.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -31,12 +29,17 @@ from .shared import Scratch, documents, slices
 
 LONGEST = 5
 STEP_BACK = float(np.log(0.4))
-_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and unicodedata.category(c) != "Nd")
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower case."""
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    if found and not "".join(found).isalpha():  # number signs that are no decimal digits count as word characters there
+        found = [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else [w])]
+    return found
 
 
 def _emit(held: dict[str, Counter], name: str):
