@@ -10,8 +10,11 @@ in that table the two collide, always, not just probably.
 Equal fingerprints are one row before any table is built. Tasks stream their buckets in
 key order and emit a spanning forest of each bucket, never its pairs: a breadth-first
 walk compares a reached fingerprint only with those not reached yet. A bucket over the
-limit is passed on and split by a second covering family (each link still meets in some
-part of it), round after round, until every bucket is under the limit.
+limit is passed on. Without sketches, fingerprints are distinct, and a second covering
+family splits it (each link still meets in some part of it), round after round. With
+sketches, any number of rows can have one fingerprint, which no mask over it splits; the
+rows passed on, each once, are dealt into blocks instead, and every two blocks are one
+bucket, so that all pairs are compared. What is left after MASK_LEVELS ends so, too.
 
 A link can also ask for a second look: a sketch of 256 bits over longer shingles travels
 with the fingerprint, and both distances must be small. near_dedup() uses fingerprints of
@@ -40,6 +43,9 @@ from .shared import Scratch, documents, slices
 #: For a byte, its bits as eight counters of eight bits.
 SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 SEED = 42
+#: Covering families tried on fingerprints without sketches.
+MASK_LEVELS = 9
+NO_LIMIT = 1 << 62
 SKETCH = ["s0", "s1", "s2", "s3"]
 NODE = ["fp", "rep", *SKETCH]
 PAIR = "edge boolean, a long, b long, key long, s0 long, s1 long, s2 long, s3 long"
@@ -212,20 +218,32 @@ def _buckets(radius: int, far: int | None, limit: int):
     return run
 
 
+def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (key, node) in which every two rows share a key; a key has two blocks of about limit rows."""
+    blocks = max(1, -(-rows.count() // limit))
+    mine, other = F.pmod(F.xxhash64("rep"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("mine", mine).withColumn("other", other)
+    return dealt.select(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *NODE)
+
+
 def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000) -> DataFrame:
     """Edges (a, b) between the representatives of nodes that connect all links."""
     edges, level = None, 0
     rows = nodes.select(F.lit(0).cast("long").alias("key"), *NODE)
     while True:
-        tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
-        spread = rows.select(F.explode(tables).alias("key"), *NODE)
-        out = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, far, limit), PAIR)
+        last = level == (MASK_LEVELS if far is None else 1)
+        if last:
+            # a mask can't split equal fingerprints: all pairs of the rows left, each row once
+            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), "rest"), limit)
+        else:
+            tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
+            spread = rows.select(F.explode(tables).alias("key"), *NODE)
+        out = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit), PAIR)
         out = scratch.write(out, f"links{level}")
         edges = out.where("edge").select("a", "b") if edges is None else edges.union(out.where("edge").select("a", "b"))
         rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *SKETCH)
         level += 1
-        if rows.isEmpty() or level > 8:
-            # over the limit after nine families: equal in nearly all bits, and so few by nature
+        if last or rows.isEmpty():
             return edges
 
 

@@ -119,6 +119,26 @@ def test_links_against_brute_force(spark, limit):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_links_of_one_fingerprint(spark):
+    """More nodes of one fingerprint, or of near ones, than a bucket may hold: only the sketches tell them apart."""
+    rng = np.random.default_rng(6)
+    sks = []
+    for _ in range(15):
+        x = int.from_bytes(rng.bytes(32), "little")
+        for _ in range(12):
+            sks.append(x)
+            for b in rng.choice(256, rng.integers(20, 70), replace=False):
+                x ^= 1 << int(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = [7 ^ (1 << i % 5 if i % 3 == 0 else 0) for i in range(len(sks))]
+    rows = [(f, i, *(signed(s >> 64 * k & (1 << 64) - 1) for k in range(4))) for i, (f, s) in enumerate(zip(fps, sks))]
+    nodes = spark.createDataFrame(rows, "fp long, rep long, s0 long, s1 long, s2 long, s3 long")
+    scratch = Scratch(spark, "test")
+    got = {r.node: r.component for r in components(links(nodes, 5, scratch, 48, limit=40), scratch).collect()}
+    want = roots(len(sks), [(i, j) for i in range(len(sks)) for j in range(i) if (sks[i] ^ sks[j]).bit_count() <= 48 and (fps[i] ^ fps[j]).bit_count() <= 5])
+    assert [got.get(i, i) for i in range(len(sks))] == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(500, 700)] + [(3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
