@@ -16,11 +16,12 @@ sketches, any number of rows can have one fingerprint, which no mask over it spl
 rows passed on, each once, are dealt into blocks instead, and every two blocks are one
 bucket, so that all pairs are compared. What is left after MASK_LEVELS ends so, too.
 
-A link can also ask for a second look: a sketch of 256 bits over longer shingles travels
-with the fingerprint, and both distances must be small. near_dedup() uses fingerprints of
-single words, which a few edits hardly move, to find candidates, and sketches of five-word
-shingles to decide: at a Jaccard similarity of 0.8 two sketches differ in 38 bits on
-average, unrelated ones in 128; at most 48 are accepted.
+A link can also ask for a second look: a sketch of 256 bits over the set of longer shingles
+travels with the fingerprint, and both distances must be small. near_dedup() uses
+fingerprints of single words, which a few edits hardly move, and sketches of five-word
+shingles to find candidates: at a Jaccard similarity of 0.8 two sketches differ in 39 bits
+on average, unrelated ones in 128; 56 are let through. The shingle sets themselves decide,
+see verified(): a link has an exact Jaccard similarity of 0.8 at least.
 
 Null and empty texts have no words and fingerprint 0, linked like any other. Rows with
 a null doc_id get a fingerprint, but no component. Repeated ids share a component.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, documents, slices
+from .shared import Scratch, documents, signed, slices
 
 #: For a byte, its bits as eight counters of eight bits.
 SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
@@ -47,9 +48,9 @@ SEED = 42
 MASK_LEVELS = 9
 NO_LIMIT = 1 << 62
 SKETCH = ["s0", "s1", "s2", "s3"]
-NODE = ["fp", "rep", *SKETCH]
-PAIR = "edge boolean, a long, b long, key long, s0 long, s1 long, s2 long, s3 long"
-_PAIR = pa.schema([("edge", pa.bool_()), *((c, pa.int64()) for c in ("a", "b", "key", *SKETCH))])
+NODE = ["fp", "rep", "label", *SKETCH]
+PAIR = "edge boolean, a long, b long, key long, label long, s0 long, s1 long, s2 long, s3 long"
+_PAIR = pa.schema([("edge", pa.bool_()), *((c, pa.int64()) for c in ("a", "b", "key", "label", *SKETCH))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,19 +83,37 @@ def bits(words: list[bytes], shingle: int, lanes: int = 1, block: int = 1 << 16)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """The hashes of the distinct shingles, in order."""
+    k = min(k, len(words))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(k)))) if k > 1 else words
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def sketch_of(h: np.ndarray, lanes: int = 4) -> list[int]:
+    """`lanes` signed 64-bit parts of the fingerprint of a set of hashes."""
+    out, starts = [], np.arange(0, len(h), 255)
+    for lane in range(lanes if len(h) else 0):
+        h = _mixed(h) if lane else h
+        counts = np.add.reduceat(SPREAD[h.view(np.uint8).reshape(-1, 8)], starts, axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out += np.packbits(2 * counts > len(h), bitorder="little").view(np.int64).tolist()
+    return out or [0] * lanes
+
+
 def fingerprints(docs: DataFrame, shingle: int, sketch: int | None = None) -> DataFrame:
-    """(doc_id, fp, s0 to s3) for documents (doc_id, text); no sketch: zeros."""
+    """(doc_id, fp, s0 to s3, sid) for documents (doc_id, text); sid names the set of shingles. No sketch: zeros."""
 
     def run(batches):
         for b in slices(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
-                rows.append(bits(words, shingle) + (bits(words, sketch, 4) if sketch else [0] * 4))
+                h = shingle_set(words, sketch) if sketch else None
+                rows.append(bits(words, shingle) + ([*sketch_of(h), signed(xxhash.xxh64_intdigest(h.tobytes()))] if sketch else [0] * 5))
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "fp", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "fp", *SKETCH, "sid"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long")
+    return docs.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long, sid long")
 
 
 def masks(radius: int, family: int = 0) -> list[int]:
@@ -131,6 +150,15 @@ def forest(fp: np.ndarray, sk: np.ndarray, radius: int, far: int | None = None)
     return edges
 
 
+def across(fp: np.ndarray, sk: np.ndarray, label: np.ndarray, radius: int, far: int | None = None) -> list[tuple[int, int]]:
+    """All links between fingerprints of different labels."""
+    pairs = []
+    for p in range(len(fp) - 1):
+        rest = np.flatnonzero(label[p + 1 :] != label[p]) + p + 1
+        pairs += [(p, q) for q in rest[linked(fp, sk, p, rest, radius, far)].tolist()]
+    return pairs
+
+
 class Union:
     """Union-find over the ids of one task."""
 
@@ -154,17 +182,17 @@ class Union:
         return True
 
 
-def _buckets(radius: int, far: int | None, limit: int):
-    """Rows (key, fp, rep, sketch) in key order; emits forest edges, and the rows of buckets over the limit."""
+def _buckets(radius: int, far: int | None, limit: int, every: bool = False):
+    """Rows (key, fp, rep, label, sketch) in key order; emits forest edges (every: all links across labels), and the rows of buckets over the limit."""
     names = ["key", *NODE]
 
     def edges_of(found):
         n = len(found)
         a, b = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(5))], schema=_PAIR)
+        return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(6))], schema=_PAIR)
 
-    def deferred(key, fp, rep, *sk):
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, *sk))], schema=_PAIR)
+    def deferred(key, fp, rep, label, *sk):
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, label, *sk))], schema=_PAIR)
 
     def run(batches):
         union = Union()
@@ -173,21 +201,24 @@ def _buckets(radius: int, far: int | None, limit: int):
 
         def settle(cols):
             """Whole buckets only."""
-            key, rep = cols[0], cols[2]
+            key, rep, label = cols[0], cols[2], cols[3]
             # unsigned: of a negative number numpy would count the bits of the absolute value
-            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[3:]).view(np.uint64)
+            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[4:]).view(np.uint64)
             start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             size = np.diff(np.concatenate([start, [len(key)]]))
             found, late = [], []
             two = start[size == 2]
             two = two[linked(fp, sk, two, two + 1, radius, far)]
+            two = two[label[two] != label[two + 1]] if every else two
             found += zip(rep[two].tolist(), rep[two + 1].tolist())
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 if n > limit:
                     late.append(tuple(c[s : s + n] for c in cols))
+                elif every:
+                    found += ((int(rep[s + i]), int(rep[s + j])) for i, j in across(fp[s : s + n], sk[s : s + n], label[s : s + n], radius, far))
                 else:
                     found += ((int(rep[s + i]), int(rep[s + j])) for i, j in forest(fp[s : s + n], sk[s : s + n], radius, far))
-            found = [x for x in found if union.join(*x)]
+            found = found if every else [x for x in found if union.join(*x)]
             if found:
                 yield edges_of(found)
             for x in late:
@@ -226,40 +257,91 @@ def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.select(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *NODE)
 
 
-def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000) -> DataFrame:
-    """Edges (a, b) between the representatives of nodes that connect all links."""
+def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000, every: bool = False) -> DataFrame:
+    """Edges (a, b) between the representatives of nodes that connect all links; every: all links across labels."""
     edges, level = None, 0
+    nodes = nodes if every else nodes.withColumn("label", F.lit(0).cast("long"))
+    name = "across" if every else "links"
     rows = nodes.select(F.lit(0).cast("long").alias("key"), *NODE)
     while True:
         last = level == (MASK_LEVELS if far is None else 1)
         if last:
             # a mask can't split equal fingerprints: all pairs of the rows left, each row once
-            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), "rest"), limit)
+            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), f"{name}-rest"), limit)
         else:
             tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
             spread = rows.select(F.explode(tables).alias("key"), *NODE)
-        out = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit), PAIR)
-        out = scratch.write(out, f"links{level}")
+        out = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit, every), PAIR)
+        out = scratch.write(out, f"{name}{level}")
         edges = out.where("edge").select("a", "b") if edges is None else edges.union(out.where("edge").select("a", "b"))
-        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *SKETCH)
+        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), "label", *SKETCH)
         level += 1
         if last or rows.isEmpty():
             return edges
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, sketch: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, fp (long), component_id; one row per input row. sketch: words of a shingle, bits at most."""
+def _jaccard(least: float):
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in slices(batches):
+            sets = [shingle_set(words_of(t), shingle).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "x"])
+
+    return run
+
+
+def verified(docs: DataFrame, nodes: DataFrame, radius: int, far: int, shingle: int, least: float, scratch: Scratch, limit: int = 20_000) -> DataFrame:
+    """Edges (a, b) that connect all candidate links of nodes with a Jaccard similarity of `least`, and no others.
+
+    The forest of the candidates is verified first. Where a component of candidates is not
+    connected by what passed, a link beside the forest may connect its parts, so there all
+    candidates between different parts are listed and verified.
+    """
+    forest_edges = links(nodes, radius, scratch, far, limit).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    forest_edges = scratch.write(forest_edges, "candidates")
+    groups = scratch.write(components(forest_edges, scratch), "groups")
+    sets = scratch.write(docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, x binary").distinct(), "sets")
+
+    def passed(pairs: DataFrame, name: str) -> DataFrame:
+        first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
+        return scratch.write(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(least), "a long, b long").distinct(), name)
+
+    sure = passed(forest_edges, "sure")
+    parts = components(sure, scratch).withColumnRenamed("component", "label")
+    parts = scratch.write(groups.join(parts, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "parts")
+    torn = parts.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("component")
+    open_nodes = scratch.write(parts.join(torn, "component").select(F.col("node").alias("rep"), "label").join(nodes, "rep"), "open")
+    more = links(open_nodes, radius, scratch, far, limit, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sure.unionByName(passed(more.join(forest_edges, ["a", "b"], "left_anti"), "more"))
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, sketch: tuple[int, int] | None = None, least: float = 0.8) -> DataFrame:
+    """doc_id, fp (long), component_id; one row per input row. sketch: words of a shingle, bits at most; the sets of shingles must then have the Jaccard similarity `least`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     words, far = sketch or (None, None)
-    fps = scratch.write(fingerprints(documents(docs, id_col, text_col), shingle, words), "fps")
-    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp", *SKETCH).agg(F.min("doc_id").alias("rep")), "nodes")
-    labels = components(links(nodes, radius, scratch, far), scratch)
-    named = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", *SKETCH, F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, ["fp", *SKETCH], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    texts = documents(docs, id_col, text_col)
+    fps = scratch.write(fingerprints(texts, shingle, words), "fps")
+    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp", *SKETCH, "sid").agg(F.min("doc_id").alias("rep")), "nodes")
+    edges = verified(texts, nodes, radius, far, words, least, scratch) if sketch else links(nodes, radius, scratch)
+    labels = components(edges, scratch)
+    named = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", *SKETCH, "sid", F.coalesce("component", "rep").alias("component"))
+    return fps.join(named, ["fp", *SKETCH, "sid"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 1, radius: int = 5, sketch: tuple[int, int] = (5, 48)) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 1, radius: int = 5, sketch: tuple[int, int] = (5, 56)) -> DataFrame:
     """The rows of docs that are the first of their group; rows without an id all stay."""
     groups = simhash(docs, shingle=shingle, radius=radius, sketch=sketch)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()

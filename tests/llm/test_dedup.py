@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ from lodestar.llm.components import components
 from lodestar.llm.exact_dedup import directory, exact_dedup
 from lodestar.llm.line_dedup import chunks, line_dedup
 from lodestar.llm.shared import Scratch
-from lodestar.llm.simhash import bits, links, masks, near_dedup, simhash, words_of
+from lodestar.llm.simhash import bits, links, masks, near_dedup, shingle_set, simhash, sketch_of, words_of
 
 from .conftest import odd_rows
 
@@ -163,6 +164,29 @@ def test_near_dedup_keeps_one(spark):
     assert sorted((r.doc_id or -1) for r in near_dedup(docs).collect()) == [-1, 2, 9]
 
 
+def test_near_dedup_verifies(spark):
+    """Sketches under the limit, similarity on both sides of 0.8: the sets of shingles decide, in chains and beside the forest too."""
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(8):
+        w = [f"v{rnd.randrange(5000)}" for _ in range(250)]
+        for _ in range(8):
+            texts.append(" ".join(w))
+            for k in rnd.sample(range(250), rnd.randint(2, 8)):
+                w[k] = f"n{rnd.randrange(10**6)}"
+    pipes = " ".join("|" * 400)
+    texts += [pipes + " " + " ".join(f"p{i}x{j}" for j in range(120)) for i in range(6)]  # one fingerprint and much of a bag, other sets
+    sets = [set(shingle_set(words_of(t), 5).tolist()) for t in texts]
+    fps = [bits(words_of(t), 1)[0] & (1 << 64) - 1 for t in texts]
+    sks = [sum((x & (1 << 64) - 1) << 64 * k for k, x in enumerate(sketch_of(shingle_set(words_of(t), 5)))) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 5 and (sks[i] ^ sks[j]).bit_count() <= 56]
+    same = [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs]
+    assert any(same) and not all(same)
+    want = roots(len(texts), [p for p, s in zip(pairs, same) if s])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == sorted(set(want))
+
+
 def test_chunks_shift():
     lines = [f"line {i} of the text" for i in range(60)]
     a, b = chunks("\n".join(lines).encode()), chunks("\n".join(["new", "two", *lines]).encode())
