@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are lower-case runs without white space, bare of punctuation at their ends. A mask
-(fixed values below) hashes the words at its ones and ignores the others, so that a
-window with substituted words in the ignored places still meets its original. Test items
-shorter than the longest mask have masks of their own length instead, one for each choice
-of the places that the similarity lets differ.
+hashes the words at its ones and ignores the others, so that a window with substituted
+words in the ignored places still meets its original. Test items of fewer than LONG words
+have masks of their own length, one for each choice of the places that the similarity lets
+differ. A longer item, of which `free` words may differ, is cut into free + 1 blocks, each
+under a mask of ones: however the words are substituted, one block is left whole. So every
+leak within the similarity has a hit; none is missed.
 
 1. Test items give seeds (hash, item, position); their hashes set bits of a bitmap of
    fixed size, which is all that is broadcast.
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, bitmap, documents, in_bitmap, slices
 
-#: Spaced seeds of eight words (fixed values).
-MASKS = ("1110110111", "11011101011", "10111101101")
+#: Items of this many words are cut into blocks; for shorter ones the masks are few enough to have all.
+LONG = 11
 MIN_WORDS = 5
 PUNCT = ".,;:!?\"'()[]{}<>|*-_#"
 U = np.uint64
@@ -87,31 +89,29 @@ def test_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.mapInArrow(run, "item long, item_id long, words array<long>")
 
 
-LONGEST_MASK = max(map(len, MASKS))
-
-
 @functools.cache
-def masks_of(n: int, similarity: float) -> list[str]:
-    """Masks of an item of n words."""
-    if n >= LONGEST_MASK:
-        return list(MASKS)
+def masks_of(n: int, similarity: float) -> list[tuple[int, str]]:
+    """(start, mask) for an item of n words; any substitutions within the similarity spare one."""
     free = n - math.ceil(round(similarity * n, 9))
-    return ["".join("0" if i in gone else "1" for i in range(n)) for gone in combinations(range(n), free)]
+    if n >= LONG:
+        cut = [n * k // (free + 1) for k in range(free + 2)]
+        return [(a, "1" * (z - a)) for a, z in zip(cut, cut[1:])]
+    return [(0, "".join("0" if i in gone else "1" for i in range(n))) for gone in combinations(range(n), free)]
 
 
 def seeds(items: DataFrame, similarity: float) -> DataFrame:
-    """(h, item, at) of all windows of all items."""
+    """(h, item, at) of the masks of all items."""
 
     def run(batches):
         for b in batches:
             rows = ([], [], [])
             for i, ws in zip(b.column("item").to_pylist(), b.column("words").to_pylist()):
                 ws = np.array(ws, np.int64).view(U)
-                for m in masks_of(len(ws), similarity):
-                    h = seed_hashes(ws, m)
+                for at, m in masks_of(len(ws), similarity):
+                    h = seed_hashes(ws[at : at + len(m)], m)
                     rows[0].extend(h.view(np.int64).tolist())
-                    rows[1].extend([i] * len(h))
-                    rows[2].extend(range(len(h)))
+                    rows[1].append(i)
+                    rows[2].append(at)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], names=["h", "item", "at"])
 
     return items.mapInArrow(run, "h long, item long, at int")
@@ -141,7 +141,7 @@ def _clusters(table, masks: list[str], reach: int):
                 at = at[doc_of[at] == doc_of[at + len(m) - 1]]
                 where.append(at)
                 what.append(h[at])
-            at, h = np.concatenate(where), np.concatenate(what)
+            at, h = np.concatenate([np.zeros(0, np.int64), *where]), np.concatenate([np.zeros(0, U), *what])
             if not len(at):
                 continue
             order = np.argsort(at, kind="stable")
@@ -167,10 +167,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = scratch.write(test_items(documents(benchmark, item_col, item_text)), "items")
     size = F.size("words")
     longest = items.agg(F.max(size)).first()[0] or 0
-    short = [r[0] for r in items.where(size < LONGEST_MASK).select(size).distinct().collect()]
+    sizes = [r[0] for r in items.select(size).distinct().collect()]
+    masks = sorted({m for n in sizes for _, m in masks_of(n, similarity)})
     planted = scratch.write(seeds(items, similarity), "seeds")
     table = spark.sparkContext.broadcast(bitmap(planted))
-    clusters = scratch.write(documents(docs, id_col, text_col).mapInArrow(_clusters(table, [*MASKS, *(m for n in sorted(short) for m in masks_of(n, similarity))], longest), CLUSTER), "clusters")
+    clusters = scratch.write(documents(docs, id_col, text_col).mapInArrow(_clusters(table, masks, longest), CLUSTER), "clusters")
     hits = clusters.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.h").alias("h"), F.col("hit.at").alias("p"))
     diagonals = hits.join(planted, "h").select("key", "item", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
     pairs = diagonals.join(clusters.select("key", "doc_id", "start", F.col("words").alias("text")), "key").join(items, "item")

@@ -118,6 +118,26 @@ def test_leaks(spark, odd, none):
     assert decontaminate(odd, bench).columns == odd.columns
 
 
+def test_leaks_of_random_substitutions(spark):
+    """As many words substituted as the similarity permits, one more too, at random places of items of all lengths."""
+    rnd = random.Random(8)
+    vocab = [f"t{i}" for i in range(3000)]
+    items = [(n, " ".join(rnd.choice(vocab) for _ in range(n))) for n in [*range(8, 41), 59, 60, 61, 150]]
+    docs = []
+    for n, t in items:
+        for k in [n // 5] * 8 + [n // 5 + 1] * 2:
+            w = t.split()
+            for i in rnd.sample(range(n), k):
+                w[i] = f"swap{rnd.randrange(1000)}"
+            docs.append((len(docs), " ".join([rnd.choice(vocab) for _ in range(rnd.randint(0, 20))] + w + [rnd.choice(vocab)])))
+    w = items[3][1].split()  # 11 words, the one at position 5 changed
+    docs.append((len(docs), " ".join([*w[:5], "other", *w[6:]])))
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert len(want) == 8 * len(items) + 1
+    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in found} == want
+
+
 def conversations():
     rnd = random.Random(4)
     rows = []
