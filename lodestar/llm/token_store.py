@@ -1,12 +1,15 @@
 """Token-id files: tokenize, write range-coded frames in doc_id order, read them back.
 
 Format: Parquet files of frames. A frame holds whole documents: their ids and lengths in
-tokens, the coded blocks (see range_coder.py) and a CRC-32 for each block. Files are
-ranges of doc_id, frames follow one another inside a file, so (file, frame) is the order
-of the ids. Spark's commit protocol leaves no half-written file when an executor is lost.
+tokens, the tables that its blocks start from, the coded blocks of `block_length` ids (see
+range_coder.py) and a CRC-32 for each block. Files are ranges of doc_id, frames follow one
+another inside a file, so (file, frame) is the order of the ids. Spark's commit protocol
+leaves no half-written file when an executor is lost.
 
 Null texts are empty and hold the end id alone. Rows with equal doc_id follow the XXH64 of
-their text, and nulls come first; equal rows are written each. An empty table gives empty files and an empty result.
+their text, and nulls come first; equal rows are written each. A very long text is a frame
+of its own size. Other columns are not read, so their names can't clash. An empty table
+gives empty files and an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .range_coder import decode, encode
 from .shared import Scratch, documents, slices
-from .transducer import pretokens
+from .transducer import Spans, WordTable, byte_alphabet, specials_of
 
-FRAME = "file int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, block_length int, blocks array<binary>, checksums array<long>"
-_FRAME = pa.schema([("file", pa.int32()), ("frame", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("block_length", pa.int32()), ("blocks", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
+STOP = "\0"
+FRAME = "file int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, block_length int, tables binary, blocks array<binary>, checksums array<long>"
+_FRAME = pa.schema([("file", pa.int32()), ("frame", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("block_length", pa.int32()), ("tables", pa.binary()), ("blocks", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -38,31 +42,64 @@ class WordIds:
     pretokens side by side. The table is emptied over a limit; that changes no id.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = next(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        whole = Tokenizer.from_file(path)
+        if whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65536")
-        self.max_words = max_words
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit integers, followed by end."""
-        words, stops = pretokens(texts, self.special)
-        if len(self.words) > self.max_words:
-            self.words = {}
-        known = self.words
-        new = list(set(words).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        coded = list(map(known.__getitem__, words))
-        edges = [0, *stops.tolist()]
-        return [b"".join(coded[a:b]) + end for a, b in zip(edges, edges[1:])]
+        # the same model, for pretokens: nothing is left to look for. The library is quickest with many
+        # in one string; they end in a byte that takes part in no merge
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.single, self.many = Tokenizer(whole.model), Tokenizer(whole.model)
+        self.single.pre_tokenizer = as_bytes
+        self.many.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(STOP, "merged_with_previous"), as_bytes])
+        stop = next(c for c, b in byte_alphabet().items() if b == ord(STOP))
+        self.stop = whole.token_to_id(stop) if not any(stop in t and t != stop for t in whole.get_vocab()) else None
+        self.specials = specials_of(path)
+        self.table = WordTable(most=1_200_000)
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids = np.array(list(self.specials.values()), np.uint16)
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        plain = self.stop is not None and not any(STOP in w for w in words)
+        flat = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            if plain:
+                flat.append(np.array(self.many.encode_batch_fast([STOP.join(part) + STOP], add_special_tokens=False)[0].ids, np.uint16))
+            else:
+                for e in self.single.encode_batch_fast(part, add_special_tokens=False):
+                    flat.append(np.array(e.ids, np.uint16))
+        if not plain:
+            return np.concatenate([np.zeros(0, np.uint16), *flat]), np.fromiter(map(len, flat), np.int64, len(flat))
+        every = np.concatenate([np.zeros(0, np.uint16), *flat])
+        stops = np.flatnonzero(every == self.stop)
+        return np.delete(every, stops), np.diff(stops, prepend=-1) - 1
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, and the number of ids of each."""
+        spans = Spans(texts, list(self.specials))
+        number, new = self.table.number(spans)
+        if self.table.n == len(new):  # emptied
+            self.forget()
+        flat, length = self.ask(new)
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, flat])
+        special = np.flatnonzero(number < 0)
+        number[special] = 0
+        size, source = (self.length[number], self.at[number]) if len(self.at) else (np.ones(len(number), np.int64), np.zeros(len(number), np.int64))
+        size[special], source[special] = 1, spans.special[special]
+        stop = np.cumsum(size)
+        every = self.ids[np.repeat(source - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate([[0], stop])[spans.docs]
+        return np.insert(every, ends, np.uint16(end_id)), np.diff(np.concatenate([[0], ends])) + 1
 
 
 @functools.cache
@@ -70,28 +107,29 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, frame_ids: int = 4 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, frame_ids: int = 4 << 20, block_ids: int = 1024) -> DataFrame:
     """Write the frames of documents (doc_id, text) in doc_id order; returns them as read back."""
 
     def run(batches):
-        table, end = word_ids(path), np.array([end_id], "<u2").tobytes()
+        table = word_ids(path)
         file, frame = TaskContext.get().partitionId(), 0
-        ids, held, size = [], [], 0
+        ids, lengths, held, size = [], [], [], 0
 
         def flush():
-            stream = np.frombuffer(b"".join(held), "<u2")
-            length, blocks, crcs = encode(stream)
-            row = {"file": file, "frame": frame, "n_ids": len(stream), "doc_ids": ids, "lengths": [len(x) // 2 for x in held], "block_length": length, "blocks": blocks, "checksums": crcs}
+            stream = np.concatenate(held)
+            tables, blocks, crcs = encode(stream, block_ids)
+            row = {"file": file, "frame": frame, "n_ids": len(stream), "doc_ids": ids, "lengths": lengths, "block_length": block_ids, "tables": tables, "blocks": blocks, "checksums": crcs}
             return pa.RecordBatch.from_pylist([row], schema=_FRAME)
 
-        for b in slices(batches, 4 << 20):
-            for i, x in zip(b.column("doc_id").to_pylist(), table.encode(b.column("text").to_pylist(), end)):
-                ids.append(i)
-                held.append(x)
-                size += len(x) // 2
-                if size >= frame_ids:
-                    yield flush()
-                    ids, held, size, frame = [], [], 0, frame + 1
+        for b in slices(batches, 2 << 20):
+            coded, n = table.encode(b.column("text").to_pylist(), end_id)
+            ids += b.column("doc_id").to_pylist()
+            lengths += n.tolist()
+            held.append(coded)
+            size += len(coded)
+            if size >= frame_ids:
+                yield flush()
+                ids, lengths, held, size, frame = [], [], [], 0, frame + 1
         if ids:
             yield flush()
 
@@ -106,7 +144,7 @@ def read_tokens(frames: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids = decode(r["n_ids"], r["block_length"], r["blocks"], r["checksums"]).astype("<u4")
+                ids = decode(r["n_ids"], r["block_length"], r["tables"], r["blocks"], r["checksums"]).astype("<u4")
                 stops = np.cumsum([0, *r["lengths"]])
                 crcs = [zlib.crc32(ids[a:z]) for a, z in zip(stops.tolist(), stops[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(stops[:-1] + r["before"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(crcs, pa.int64())], schema=_DOC)

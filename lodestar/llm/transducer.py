@@ -8,18 +8,24 @@ one character back. A batch of texts is cut into chunks; each chunk gets its sta
 (the state after it, for every state before it), the maps compose through a parallel
 prefix scan, and a second sweep annotates every transition from its now known state.
 
-The merger reads the bytes of a pretoken. A state stands for the canonical tokens of what
-it has read; a transition on a byte carries the change in the number of tokens. The last
-token after a byte is the only vocabulary entry that ends there and forms a stable pair
-with the last token before it. States are built as they are first needed and kept up to a
-limit; whole pretokens are kept as path-compressed edges, also up to a limit. Both limits
-bound memory and never change a count.
+The merger reads the bytes of a pretoken. Its state is all that later bytes can depend on:
+the longest suffix read that begins a vocabulary entry, and for each place in it the last
+token there and the count of tokens up to it, relative to the end. The last token after a
+byte is the only vocabulary entry that ends there and forms a stable pair with the last
+token before it. A transition emits the change in the count. Equal states are one, so that
+long runs close into cycles; states are compiled when first needed and kept up to a limit.
+The counts of a batch are summed up by a prefix scan over its pretokens.
+
+Pretokens of up to 16 bytes are looked up in a hash table over their packed bytes (equal
+bytes, not just equal hashes), all of a batch at once; longer ones in a dictionary. All
+tables are emptied over a limit; that bounds memory and never changes a result.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -147,40 +153,164 @@ def boundaries(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def pretokens(texts: Iterable[str | None], special: str) -> tuple[list[str], np.ndarray]:
-    """All pretokens of the texts in order, and where each text ends in that list.
+class Spans:
+    """The pretokens of a batch of texts, as byte ranges of one buffer.
 
-    The special string is a pretoken of its own wherever it occurs, as the library has it.
+    Special strings are pretokens of their own wherever they occur, as the library has it;
+    `special` has their number, or -1. docs: where each text ends in the list of pretokens.
     """
-    parts, specials, docs = [], [], []
-    for t in texts:
-        pieces = t.split(special) if t and special in t else (t or "",)
-        parts += pieces
-        specials += [True] * (len(pieces) - 1) + [False]
-        docs.append(len(parts))
-    if not parts:
-        return [], np.zeros(0, np.int64)
-    whole = "\n".join(parts) + "\n"
-    code = classes()[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    code[ends] = END
-    begin = boundaries(code)
-    at = np.searchsorted(begin, ends)  # every end is a boundary
-    edges = begin.tolist() + [len(whole)]
-    words = [whole[a:b] for a, b in zip(edges, edges[1:])]
-    keep = np.ones(len(words), bool)
-    for k, is_special in zip(at.tolist(), specials):
-        if is_special:
-            words[k] = special
-        else:
-            keep[k] = False
-    stops = np.cumsum(keep)[at[np.asarray(docs) - 1]]
-    drop = at[~np.asarray(specials)].tolist()
-    kept, prev = [], 0
-    for k in drop:
-        kept += words[prev:k]
-        prev = k + 1
-    return kept, stops
+
+    def __init__(self, texts: Iterable[str | None], specials: list[str]):
+        split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
+        number = {s: k for k, s in enumerate(specials)}
+        parts, kinds, docs = [], [], []
+        for t in texts:
+            t = t or ""
+            if any(s in t for s in specials):
+                pieces = split.split(t)  # texts and special strings in turn
+                parts += pieces
+                kinds += [number[p] if k % 2 else -1 for k, p in enumerate(pieces)]
+            else:
+                parts.append(t)
+                kinds.append(-1)
+            docs.append(len(parts))
+        if not parts:
+            self.raw, self.buffer = bytes(16), np.zeros(16, np.uint8)
+            self.docs = self.first = self.size = self.special = np.zeros(0, np.int64)
+            return
+        kind = np.array(kinds, np.int64)
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        # a separator ends every part, and stands for the part where that is a special string
+        whole = "\n".join("" if k >= 0 else p for p, k in zip(parts, kinds)) + "\n"
+        length[kind >= 0] = 0
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        code = classes()[points]
+        ends = np.cumsum(length + 1) - 1
+        code[ends] = END
+        begin = boundaries(code)
+        width = (points > 0x7F).view(np.uint8) + (points > 0x7FF).view(np.uint8) + (points > 0xFFFF).view(np.uint8)
+        first = begin + (np.cumsum(width, dtype=np.int64) - width)[begin] if width.any() else begin
+        self.raw = whole.encode() + bytes(16)
+        self.buffer = np.frombuffer(self.raw, np.uint8)
+        size = np.diff(np.append(first, len(self.buffer) - 16))
+        at = np.searchsorted(begin, ends)  # every end is a boundary
+        keep = np.ones(len(begin), bool)
+        keep[at[kind < 0]] = False
+        special = np.full(len(begin), -1, np.int64)
+        special[at] = kind
+        self.docs = np.cumsum(keep)[at[np.asarray(docs, np.int64) - 1]]
+        self.first, self.size, self.special = first[keep], size[keep], special[keep]
+
+    def words(self, at: np.ndarray) -> list[str]:
+        """Pretokens by their places in the list."""
+        first = self.first[at]
+        return [self.raw[a:z].decode() for a, z in zip(first.tolist(), (first + self.size[at]).tolist())]
+
+
+#: Masks of the first n bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class WordTable:
+    """Numbers of pretokens, given in the order in which they are first seen."""
+
+    def __init__(self, slots: int = 1 << 20, most: int = 400_000):
+        self.bits, self.most = slots.bit_length() - 1, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows = np.zeros((1 << self.bits, 3), np.uint64)  # sixteen bytes, then number and size; size 0 is an empty slot
+        self.long: dict[bytes, int] = {}
+        self.n = 0
+
+    def _slots(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) + size
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, a, b, size, slot) -> np.ndarray:
+        """Numbers of words, -1 for those not there."""
+        out, left, top = np.full(len(a), -1, np.int64), None, len(self.rows) - 1
+        while True:
+            rows = self.rows.take(slot, axis=0)
+            held = rows[:, 2] & np.uint64(31)
+            same = (rows[:, 0] == a) & (rows[:, 1] == b) & (held == size)
+            where = np.flatnonzero(same)
+            out[where if left is None else left[where]] = (rows[where, 2] >> np.uint64(5)).astype(np.int64)
+            go = np.flatnonzero(~same & (held != 0))  # another word sits there
+            if not len(go):
+                return out
+            left = go if left is None else left[go]
+            a, b, size, slot = a[go], b[go], size[go], (slot[go] + 1) & top
+
+    def _add(self, a, b, size, slot, number) -> None:
+        """Distinct words that are not there yet."""
+        top = len(self.rows) - 1
+        while len(a):
+            free = self.rows[slot, 2] == 0
+            _, first = np.unique(slot, return_index=True)
+            won = np.zeros(len(a), bool)
+            won[first] = True
+            won &= free
+            self.rows[slot[won]] = np.column_stack([a[won], b[won], number[won] << np.uint64(5) | size[won]])
+            # the others try this slot again if it was only claimed now, and then move on
+            a, b, size, slot, number = a[~won], b[~won], size[~won], (slot[~won] + 1) & top, number[~won]
+
+    def number(self, spans: Spans) -> tuple[np.ndarray, list[str]]:
+        """The number of every pretoken (special ones: -1), and the new words in the order of their numbers."""
+        if self.n > self.most:
+            self.reset()
+        before, new = self.n, []
+        first, size = spans.first, spans.size
+        out = np.full(len(first), -1, np.int64)
+        plain = spans.special < 0
+        short = np.flatnonzero(plain & (size <= 16))
+        view = np.ndarray(len(spans.buffer) - 7, "<u8", spans.buffer, 0, (1,))
+        at, n = first[short], size[short]
+        a = view[at] & _BYTES[np.minimum(n, 8)]
+        b = view[at + 8] & _BYTES[np.maximum(n, 8) - 8]
+        wide = n.astype(np.uint64)
+        slot = self._slots(a, b, wide)
+        found = self._find(a, b, wide, slot)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            x, y, z = a[miss], b[miss], wide[miss]
+            order = np.lexsort((z, y, x))
+            x, y, z = x[order], y[order], z[order]
+            head = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+            number = before + np.cumsum(head) - 1
+            found[miss[order]] = number
+            heads = np.flatnonzero(head)
+            while self.n + len(heads) > len(self.rows) * 3 // 4:  # a batch of many new words
+                self._grow()
+            pick = miss[order[heads]]
+            self._add(x[heads], y[heads], z[heads], self._slots(x[heads], y[heads], z[heads]), number[heads].astype(np.uint64))
+            new = spans.words(short[pick])
+            self.n += len(heads)
+        out[short] = found
+        for k in np.flatnonzero(plain & (size > 16)).tolist():
+            raw = spans.raw[first[k] : first[k] + size[k]]
+            if (i := self.long.get(raw)) is None:
+                i = self.long[raw] = self.n
+                self.n += 1
+                new.append(raw.decode())
+            out[k] = i
+        return out, new
+
+    def _grow(self) -> None:
+        rows = self.rows[self.rows[:, 2] != 0]
+        self.bits += 1
+        self.rows = np.zeros((1 << self.bits, 3), np.uint64)
+        size = rows[:, 2] & np.uint64(31)
+        self._add(rows[:, 0], rows[:, 1], size, self._slots(rows[:, 0], rows[:, 1], size), rows[:, 2] >> np.uint64(5))
+
+
+def specials_of(path: str) -> dict[str, int]:
+    """The special strings of a vocabulary file and their ids; only plain ones are known here."""
+    added = json.load(open(path, encoding="utf-8"))["added_tokens"]
+    if any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special strings of this vocabulary strip or need word ends")
+    return {x["content"]: x["id"] for x in added}
 
 
 @functools.cache
@@ -192,28 +322,30 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Merger:
-    """The second machine; counts(pretoken) steps it byte by byte."""
+    """The second machine; run(pretoken) steps it byte by byte."""
 
-    def __init__(self, path: str, max_states: int = 400_000, max_words: int = 600_000):
+    def __init__(self, path: str, max_states: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         back = byte_alphabet()
         raw = lambda piece: bytes(back[c] for c in piece)
-        self.vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if all(c in back for c in k)}
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.vocab = {raw(k) for k in spec["model"]["vocab"] if all(c in back for c in k)}
+        self.begins = {t[:n] for t in self.vocab for n in range(1, len(t))}  # what can still grow
+        self.specials = list(specials_of(path))
         self.rank: dict[tuple[bytes, bytes], int] = {}
         for i, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[raw(a), raw(b)] = i
-        self.longest = max(map(len, self.vocab))
         self.stable: dict[tuple[bytes, bytes], bool] = {}
-        self.max_states, self.max_words = max_states, max_words
-        self.words: dict[str, int] = dict.fromkeys(self.special, 1)
+        self.max_states = max_states
+        self.table, self.counted = WordTable(most=1_200_000), np.zeros(0, np.int64)
         self.reset()
 
     def reset(self) -> None:
-        self.step: dict[tuple[int, int], int] = {}
-        self.last: list[bytes] = [b""]
-        self.count: list[int] = [0]
+        start = (b"", (b"",), (0,))
+        self.states = [start]
+        self.named = {start: 0}
+        self.step: dict[int, tuple[int, int]] = {}
+        self.stable.clear()
 
     def merged(self, text: bytes) -> list[bytes]:
         """Merges in rank order; only for pairs of vocabulary entries."""
@@ -241,42 +373,53 @@ class Merger:
             ok = self.stable[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return ok
 
-    def new_state(self, data: bytes, path: list[int]) -> int:
-        """The state after data, whose proper prefixes have the states of path."""
-        i = len(data)
-        for n in range(min(i, self.longest), 0, -1):
-            token = data[i - n :]
-            if token in self.vocab and self.is_stable(self.last[path[i - n]], token):
-                self.last.append(token)
-                self.count.append(self.count[path[i - n]] + 1)
-                return len(self.last) - 1
-        raise ValueError(f"no token ends {data!r}")
+    def compile(self, at: int, byte: int) -> tuple[int, int]:
+        """The transition of a state on a byte: the next state, and the tokens that it emits."""
+        suffix, last, count = self.states[at]
+        text = suffix + bytes([byte])
+        for n in range(len(text), 0, -1):
+            token = text[-n:]
+            if token in self.vocab and self.is_stable(last[-n], token):
+                break
+        else:
+            raise ValueError(f"no token ends {text!r}")
+        emitted = count[-n] + 1
+        keep = next((k for k in range(len(text), 0, -1) if text[-k:] in self.begins), 0)
+        before = len(last) - keep  # the places of the new suffix: `keep` old ones and the end
+        state = (text[len(text) - keep :], (*last[before:], token), (*(c - emitted for c in count[before:]), 0))
+        to = self.named.get(state)
+        if to is None:
+            to = self.named[state] = len(self.states)
+            self.states.append(state)
+        return to, emitted
 
     def run(self, data: bytes) -> int:
-        """Tokens of a pretoken: the sum of the counts along its transitions."""
-        if len(self.last) > self.max_states:
-            self.reset()
-        path, step, total = [0], self.step, 0
-        for i, byte in enumerate(data):
-            at = path[-1]
-            to = step.get((at, byte))
-            if to is None:
-                to = self.new_state(data[: i + 1], path)
-                step[at, byte] = to
-            total += self.count[to] - self.count[at]  # what this transition emits
-            path.append(to)
+        """Tokens of a pretoken: what its transitions emit."""
+        at, total, step = 0, 0, self.step
+        for byte in data:
+            found = step.get(at << 8 | byte)
+            if found is None:
+                if len(self.states) > self.max_states:  # the state goes on alone in an empty machine
+                    state = self.states[at]
+                    self.reset()
+                    at = self.named.setdefault(state, len(self.states))
+                    if at == len(self.states):
+                        self.states.append(state)
+                    step = self.step
+                found = step[at << 8 | byte] = self.compile(at, byte)
+            at = found[0]
+            total += found[1]
         return total
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
-        words, stops = pretokens(texts, next(iter(self.special)))
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = self.run(w.encode("utf-8", "surrogatepass"))
-        total = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))])[np.concatenate([[0], stops]).astype(np.int64)]
-        if len(known) > self.max_words:
-            self.words = dict.fromkeys(self.special, 1)
-        return np.diff(total)
+        spans = Spans(texts, self.specials)
+        number, new = self.table.number(spans)
+        self.counted = np.concatenate([self.counted[: self.table.n - len(new)], np.fromiter((self.run(w.encode()) for w in new), np.int64, len(new))])
+        each = np.ones(len(number), np.int64)
+        plain = number >= 0
+        each[plain] = self.counted[number[plain]]
+        return np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], spans.docs])])
 
 
 @functools.cache
