@@ -17,9 +17,13 @@ leak within the similarity has a hit; none is missed.
    and a document is contaminated by an item if at least `similarity` of the words of the
    item agree in place.
 
-Null and empty texts have no words; items of fewer than MIN_WORDS words are not searched.
-Equal rows give equal results, one row per doc_id and item, the best diagonal (most equal
-words, then the smallest start). Contaminated rows without an id come under a null id.
+Null and empty texts have no words; an item without words is not searched, and one of fewer
+than five must agree in full. Equal rows give equal results: leaks() has one row per doc_id
+and item, the best diagonal (most equal words, then the smallest start), and rows without an
+id come under a null id. decontaminate() goes by id and text, so that rows of one id or of
+none are told apart. Very long texts are read whole; clusters hold the words around hits
+alone. Other columns are not read, or stay where they are, so names can't clash. Empty
+tables give no leaks.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from .shared import Scratch, bitmap, documents, in_bitmap, slices
 
 #: Items of this many words are cut into blocks; for shorter ones the masks are few enough to have all.
 LONG = 11
-MIN_WORDS = 5
 PUNCT = ".,;:!?\"'()[]{}<>|*-_#"
 U = np.uint64
 
@@ -80,7 +83,7 @@ def test_items(benchmark: DataFrame) -> DataFrame:
         known, key = {}, TaskContext.get().partitionId() << 33
         for b in slices(batches):
             words = [np.array(word_hashes(t, known), U).view(np.int64) for t in b.column("text").to_pylist()]
-            keep = [len(w) >= MIN_WORDS for w in words]
+            keep = [len(w) > 0 for w in words]
             ids = [i for i, k in zip(b.column("doc_id").to_pylist(), keep) if k]
             keys = pa.array(range(key, key + len(ids)), pa.int64())
             key += len(ids)
@@ -117,8 +120,8 @@ def seeds(items: DataFrame, similarity: float) -> DataFrame:
     return items.mapInArrow(run, "h long, item long, at int")
 
 
-CLUSTER = "key long, doc_id long, start int, words array<long>, hits array<struct<h:long,at:int>>"
-_CLUSTER = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))])
+CLUSTER = "key long, doc_id long, body long, start int, words array<long>, hits array<struct<h:long,at:int>>"
+_CLUSTER = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("body", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))])
 
 
 def _clusters(table, masks: list[str], reach: int):
@@ -129,7 +132,7 @@ def _clusters(table, masks: list[str], reach: int):
         for b in slices(batches, 4 << 20):
             if len(known) > 500_000:
                 known = {}
-            ids, found = b.column("doc_id").to_pylist(), [word_hashes(t, known) for t in b.column("text").to_pylist()]
+            ids, bodies, found = b.column("doc_id").to_pylist(), b.column("body").to_pylist(), [word_hashes(t, known) for t in b.column("text").to_pylist()]
             size = np.fromiter(map(len, found), np.int64, len(found))
             stop = np.cumsum(size)
             words = np.array([h for hs in found for h in hs], U)
@@ -153,34 +156,39 @@ def _clusters(table, masks: list[str], reach: int):
                 first = int(stop[d] - size[d])
                 lo, hi = max(first, int(at[a]) - reach), min(int(stop[d]), int(at[z - 1]) + reach + 16)
                 hits = [{"h": int(x), "at": int(p) - lo} for x, p in zip(h[a:z].view(np.int64), at[a:z])]
-                rows.append({"key": key, "doc_id": ids[d], "start": lo - first, "words": words[lo:hi].view(np.int64).tolist(), "hits": hits})
+                rows.append({"key": key, "doc_id": ids[d], "body": bodies[d], "start": lo - first, "words": words[lo:hi].view(np.int64).tolist(), "hits": hits})
                 key += 1
             yield pa.RecordBatch.from_pylist(rows, schema=_CLUSTER)
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """doc_id, item_id, start (in words), n_equal, n_words, similarity; one row per leak."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, body (a hash of the text), item_id, start, n_equal, n_words of documents and test items (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = scratch.write(test_items(documents(benchmark, item_col, item_text)), "items")
+    items = scratch.write(test_items(benchmark), "items")
     size = F.size("words")
     longest = items.agg(F.max(size)).first()[0] or 0
     sizes = [r[0] for r in items.select(size).distinct().collect()]
     masks = sorted({m for n in sizes for _, m in masks_of(n, similarity)})
     planted = scratch.write(seeds(items, similarity), "seeds")
     table = spark.sparkContext.broadcast(bitmap(planted))
-    clusters = scratch.write(documents(docs, id_col, text_col).mapInArrow(_clusters(table, masks, longest), CLUSTER), "clusters")
+    clusters = scratch.write(docs.withColumn("body", F.xxhash64("text")).mapInArrow(_clusters(table, masks, longest), CLUSTER), "clusters")
     hits = clusters.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.h").alias("h"), F.col("hit.at").alias("p"))
     diagonals = hits.join(planted, "h").select("key", "item", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
-    pairs = diagonals.join(clusters.select("key", "doc_id", "start", F.col("words").alias("text")), "key").join(items, "item")
+    pairs = diagonals.join(clusters.select("key", "doc_id", "body", "start", F.col("words").alias("text")), "key").join(items, "item")
     lo = F.greatest(F.lit(0), -F.col("diagonal"))
     n = F.least(F.size("words"), F.size("text") - F.col("diagonal")) - lo
     same = F.zip_with(F.slice("words", lo + 1, n), F.slice("text", lo + F.col("diagonal") + 1, n), lambda a, b: (a == b).cast("int"))
     equal = F.aggregate(same, F.lit(0), lambda s, x: s + x)
-    scored = pairs.select("doc_id", "item_id", (F.col("start") + F.col("diagonal")).alias("start"), equal.alias("n_equal"), F.size("words").alias("n_words"))
-    scored = scored.where(F.col("n_equal") >= similarity * F.col("n_words"))
+    scored = pairs.select("doc_id", "body", "item_id", (F.col("start") + F.col("diagonal")).alias("start"), equal.alias("n_equal"), F.size("words").alias("n_words"))
+    return scored.where(F.col("n_equal") >= similarity * F.col("n_words"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """doc_id, item_id, start (in words), n_equal, n_words, similarity; one row per leak."""
+    scored = _leaks(documents(docs, id_col, text_col), documents(benchmark, item_col, item_text), similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_words")).alias("b"))
     return best.select(
         "doc_id",
@@ -192,7 +200,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without contaminated documents; a row without an id can't be named and stays."""
-    gone = leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs without contaminated documents."""
+    gone = _leaks(documents(docs, id_col, text_col), documents(benchmark, item_col, item_text), similarity).select("doc_id", "body").distinct()
+    gone = Scratch(docs.sparkSession, "leaks").write(gone, "gone").toDF("gone_id", "gone_body")
+    d = docs.alias("d")
+    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("gone_body"))
+    return d.join(gone, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

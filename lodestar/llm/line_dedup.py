@@ -3,10 +3,11 @@
 A text is cut after a line where a rolling hash over the hashes of the last two lines
 falls on a fixed remainder, so that boundaries depend on what the lines say and not on
 where they stand; a chunk has MIN_LINES to MAX_LINES lines, and a rest too short for a
-chunk goes with the one before it. Of a chunk that occurs more than once, in one document
-or in several, the first occurrence (smallest doc_id, then position) stays and all others
-are removed. Chunks without a visible character are left alone, and so are texts of
-fewer than MIN_LINES lines.
+chunk goes with the one before it. A line of LONG bytes or more says enough to be a chunk
+of its own: there are boundaries on both sides of it. Of a chunk of several lines, or of one
+long line, that occurs more than once, in one document or in several, the first occurrence
+(smallest doc_id, then position) stays and all others are removed. Chunks without a visible
+character are left alone, and so are single short lines.
 
 1. All chunk hashes are counted; those that occur twice or more set bits of a bitmap of
    fixed size. Documents whose chunks miss the bitmap are done: nothing of them repeats.
@@ -16,8 +17,10 @@ fewer than MIN_LINES lines.
    with every text of the chain, as in exact_dedup.py.
 3. Removals come back by row key, not by chunk.
 
-Null texts stay null, empty ones empty. Rows with equal doc_id are ordered by where they
-were read; a null doc_id comes last. All columns of the input are returned.
+Null texts stay null, empty ones empty; very long texts are chunked whole. Rows with equal
+doc_id, repeated rows too, are ordered by where they were read; a null doc_id comes last.
+All columns of the input are returned, in a struct until then, so names can't clash; a
+`counted` name that is a column already is refused. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exact_dedup import CLASS, _owners
-from .shared import Scratch, bitmap, in_bitmap, signed, slices
+from .shared import Scratch, bitmap, in_bitmap, packed, signed, slices, unpacked
 
-MIN_LINES, MAX_LINES, DIVISOR = 2, 32, 2
+MIN_LINES, MAX_LINES, DIVISOR, LONG = 2, 32, 2, 96
 #: Odd multipliers of the rolling hash.
 MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -43,25 +46,32 @@ def chunks(body: bytes) -> list[bytes]:
     """The chunks of a text; joined by line feeds they give it back."""
     lines = body.split(b"\n")
     out, start, before = [], 0, 0
+
+    def cut(stop: int) -> None:
+        nonlocal start
+        if start < stop:
+            out.append(b"\n".join(lines[start:stop]))
+            start = stop
+
     for i, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line)
         rolled = (before * MUL[0] + h * MUL[1]) & 0xFFFFFFFFFFFFFFFF
-        n = i + 1 - start
-        if n >= MAX_LINES or n >= MIN_LINES and (rolled >> 32) % DIVISOR == 0:
-            out.append(b"\n".join(lines[start : i + 1]))
-            start = i + 1
+        if len(line) >= LONG:
+            cut(i)
+            cut(i + 1)
+        elif (n := i + 1 - start) >= MAX_LINES or n >= MIN_LINES and (rolled >> 32) % DIVISOR == 0:
+            cut(i + 1)
         before = h
-    if start < len(lines):
-        rest = b"\n".join(lines[start:])
-        if len(lines) - start < MIN_LINES and out:
-            out[-1] += b"\n" + rest
-        else:
-            out.append(rest)
+    if 0 < len(lines) - start < MIN_LINES and out and b"\n" in out[-1]:
+        out[-1] += b"\n" + b"\n".join(lines[start:])
+    else:
+        cut(len(lines))
     return out
 
 
 def _hash(chunk: bytes) -> int | None:
-    return xxhash.xxh64_intdigest(chunk) if b"\n" in chunk and chunk.strip() else None
+    """The hash of a chunk that is removed where it repeats."""
+    return xxhash.xxh64_intdigest(chunk) if (len(chunk) >= LONG or b"\n" in chunk) and chunk.strip() else None
 
 
 def _bytes(t: str | None) -> bytes:
@@ -143,12 +153,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with repeated chunks removed from the text; `counted` names a column for the lines removed."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    names = docs.columns
-    rest = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
-    # the columns travel in a struct, so that no name can clash; the text travels once
-    held = F.struct(*[(F.lit(None).cast(docs.schema[n].dataType) if n == text_col else F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)])
-    rows = docs.select(held.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    shape = T.StructType([T.StructField("row", rest), T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    if counted in docs.columns:
+        raise ValueError(f"{counted} is a column already")
+    rows = packed(docs, id_col, text_col)
+    shape = rows.schema
 
     every = rows.select("text").mapInArrow(_all_hashes, "h long")
     table = spark.sparkContext.broadcast(bitmap(every.groupBy("h").count().where("count > 1")))
@@ -163,5 +171,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     changed = mixed.join(lists, "key", "left").select("row", "text", "gone")
     done = changed.mapInArrow(_apply, T.StructType([shape["row"], shape["text"], T.StructField("removed_lines", T.LongType())]))
     whole = clear.select("row", "text", F.lit(0).cast("long").alias("removed_lines")).unionByName(done)
-    cols = [(F.col("text") if n == text_col else F.col(f"row.c{i}")).alias(n) for i, n in enumerate(names)]
-    return whole.select(*cols, *([F.col("removed_lines").alias(counted)] if counted else []))
+    return unpacked(whole, docs, text_col, *([F.col("removed_lines").alias(counted)] if counted else []))

@@ -66,6 +66,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, text: all columns but the text in a struct, so that no name can clash and the text travels once."""
+    bounded(docs.sparkSession)
+    cols = [(F.lit(None).cast(docs.schema[c].dataType) if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*cols).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text_col: str, *more: str) -> DataFrame:
+    """The columns of docs out of packed rows, and more."""
+    return rows.select(*[(F.col("text") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)], *more)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches with a text column into pieces of about max_bytes, one row at least."""
     for b in batches:

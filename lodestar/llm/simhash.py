@@ -23,8 +23,14 @@ shingles to find candidates: at a Jaccard similarity of 0.8 two sketches differ
 on average, unrelated ones in 128; 56 are let through. The shingle sets themselves decide,
 see verified(): a link has an exact Jaccard similarity of 0.8 at least.
 
-Null and empty texts have no words and fingerprint 0, linked like any other. Rows with
-a null doc_id get a fingerprint, but no component. Repeated ids share a component.
+Null and empty texts have no words and fingerprint 0, linked like any other. For simhash(),
+rows with a null doc_id get a fingerprint, but no component; repeated rows and ids are rows
+like any other, and an id is the name of all rows that have it. near_dedup() tells rows
+apart by a key of their own: of a group the row with the smallest doc_id stays (nulls last,
+then the order of reading), of exact repeats one, and a text that shares only its doc_id
+with others is not touched. Very long texts are read whole, in parts of bounded size. Other
+columns are not read (simhash), or travel in a struct (near_dedup), so names can't clash. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +41,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import Scratch, documents, signed, slices
+from .shared import Scratch, documents, packed, signed, slices, unpacked
 
 #: For a byte, its bits as eight counters of eight bits.
 SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
@@ -48,9 +56,9 @@ SEED = 42
 MASK_LEVELS = 9
 NO_LIMIT = 1 << 62
 SKETCH = ["s0", "s1", "s2", "s3"]
-NODE = ["fp", "rep", "label", *SKETCH]
-PAIR = "edge boolean, a long, b long, key long, label long, s0 long, s1 long, s2 long, s3 long"
-_PAIR = pa.schema([("edge", pa.bool_()), *((c, pa.int64()) for c in ("a", "b", "key", "label", *SKETCH))])
+NODE = ["fp", "rep", *SKETCH]
+PAIR = "edge boolean, a long, b long, key long, s0 long, s1 long, s2 long, s3 long"
+_PAIR = pa.schema([("edge", pa.bool_()), *((c, pa.int64()) for c in ("a", "b", "key", *SKETCH))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -101,19 +109,25 @@ def sketch_of(h: np.ndarray, lanes: int = 4) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int, sketch: int | None = None) -> DataFrame:
-    """(doc_id, fp, s0 to s3, sid) for documents (doc_id, text); sid names the set of shingles. No sketch: zeros."""
+    """docs (with a column text) and fp; with a sketch also a key of the row, s0 to s3, and sid, which names the set of shingles."""
+    more = ["key", "fp", *SKETCH, "sid"] if sketch else ["fp"]
 
     def run(batches):
+        key = TaskContext.get().partitionId() << 33
         for b in slices(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
-                h = shingle_set(words, sketch) if sketch else None
-                rows.append(bits(words, shingle) + ([*sketch_of(h), signed(xxhash.xxh64_intdigest(h.tobytes()))] if sketch else [0] * 5))
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "fp", *SKETCH, "sid"])
+                fp = bits(words, shingle)
+                if sketch:
+                    h = shingle_set(words, sketch)
+                    rows.append([key, *fp, *sketch_of(h), signed(xxhash.xxh64_intdigest(h.tobytes()))])
+                    key += 1
+                else:
+                    rows.append(fp)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[*b.schema.names, *more])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long, sid long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in more)]))
 
 
 def masks(radius: int, family: int = 0) -> list[int]:
@@ -150,15 +164,6 @@ def forest(fp: np.ndarray, sk: np.ndarray, radius: int, far: int | None = None)
     return edges
 
 
-def across(fp: np.ndarray, sk: np.ndarray, label: np.ndarray, radius: int, far: int | None = None) -> list[tuple[int, int]]:
-    """All links between fingerprints of different labels."""
-    pairs = []
-    for p in range(len(fp) - 1):
-        rest = np.flatnonzero(label[p + 1 :] != label[p]) + p + 1
-        pairs += [(p, q) for q in rest[linked(fp, sk, p, rest, radius, far)].tolist()]
-    return pairs
-
-
 class Union:
     """Union-find over the ids of one task."""
 
@@ -182,17 +187,17 @@ class Union:
         return True
 
 
-def _buckets(radius: int, far: int | None, limit: int, every: bool = False):
-    """Rows (key, fp, rep, label, sketch) in key order; emits forest edges (every: all links across labels), and the rows of buckets over the limit."""
+def _buckets(radius: int, far: int | None, limit: int):
+    """Rows (key, fp, rep, sketch) in key order; emits the edges of spanning forests, and the rows of buckets over the limit."""
     names = ["key", *NODE]
 
     def edges_of(found):
         n = len(found)
         a, b = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(6))], schema=_PAIR)
+        return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(5))], schema=_PAIR)
 
-    def deferred(key, fp, rep, label, *sk):
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, label, *sk))], schema=_PAIR)
+    def deferred(key, fp, rep, *sk):
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, *sk))], schema=_PAIR)
 
     def run(batches):
         union = Union()
@@ -201,24 +206,21 @@ def _buckets(radius: int, far: int | None, limit: int, every: bool = False):
 
         def settle(cols):
             """Whole buckets only."""
-            key, rep, label = cols[0], cols[2], cols[3]
+            key, rep = cols[0], cols[2]
             # unsigned: of a negative number numpy would count the bits of the absolute value
-            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[4:]).view(np.uint64)
+            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[3:]).view(np.uint64)
             start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             size = np.diff(np.concatenate([start, [len(key)]]))
             found, late = [], []
             two = start[size == 2]
             two = two[linked(fp, sk, two, two + 1, radius, far)]
-            two = two[label[two] != label[two + 1]] if every else two
             found += zip(rep[two].tolist(), rep[two + 1].tolist())
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 if n > limit:
                     late.append(tuple(c[s : s + n] for c in cols))
-                elif every:
-                    found += ((int(rep[s + i]), int(rep[s + j])) for i, j in across(fp[s : s + n], sk[s : s + n], label[s : s + n], radius, far))
                 else:
                     found += ((int(rep[s + i]), int(rep[s + j])) for i, j in forest(fp[s : s + n], sk[s : s + n], radius, far))
-            found = found if every else [x for x in found if union.join(*x)]
+            found = [x for x in found if union.join(*x)]
             if found:
                 yield edges_of(found)
             for x in late:
@@ -257,24 +259,22 @@ def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.select(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *NODE)
 
 
-def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000, every: bool = False) -> DataFrame:
-    """Edges (a, b) between the representatives of nodes that connect all links; every: all links across labels."""
+def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000) -> DataFrame:
+    """Edges (a, b) between the representatives of nodes that connect all links."""
     edges, level = None, 0
-    nodes = nodes if every else nodes.withColumn("label", F.lit(0).cast("long"))
-    name = "across" if every else "links"
     rows = nodes.select(F.lit(0).cast("long").alias("key"), *NODE)
     while True:
         last = level == (MASK_LEVELS if far is None else 1)
         if last:
             # a mask can't split equal fingerprints: all pairs of the rows left, each row once
-            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), f"{name}-rest"), limit)
+            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), "links-rest"), limit)
         else:
             tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
             spread = rows.select(F.explode(tables).alias("key"), *NODE)
-        out = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit, every), PAIR)
-        out = scratch.write(out, f"{name}{level}")
+        out = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit), PAIR)
+        out = scratch.write(out, f"links{level}")
         edges = out.where("edge").select("a", "b") if edges is None else edges.union(out.where("edge").select("a", "b"))
-        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), "label", *SKETCH)
+        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *SKETCH)
         level += 1
         if last or rows.isEmpty():
             return edges
@@ -297,52 +297,118 @@ def _sets(shingle: int):
     def run(batches):
         for b in slices(batches):
             sets = [shingle_set(words_of(t), shingle).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], names=["node", "x"])
 
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, radius: int, far: int, shingle: int, least: float, scratch: Scratch, limit: int = 20_000) -> DataFrame:
-    """Edges (a, b) that connect all candidate links of nodes with a Jaccard similarity of `least`, and no others.
-
-    The forest of the candidates is verified first. Where a component of candidates is not
-    connected by what passed, a link beside the forest may connect its parts, so there all
-    candidates between different parts are listed and verified.
+def similar(sets: list[np.ndarray], least: float, columns: int = 2048) -> np.ndarray:
+    """Which sets have a Jaccard similarity of `least` with which others: all of a bucket at once, exactly (not with themselves)."""
+    size = np.array(list(map(len, sets)), np.float64)
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(code, minlength=len(every)) > 1  # members of one set alone are in no overlap
+    number = np.cumsum(shared) - 1
+    row, col = np.repeat(np.arange(len(sets)), size.astype(np.int64))[shared[code]], number[code][shared[code]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(shared.sum()), columns):
+        a, z = np.searchsorted(col, [k, k + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[row[a:z], col[a:z] - k] = 1
+        both += x @ x.T  # whole numbers below 2**24: exact
+    both = both.astype(np.float64)
+    return both >= least * (size[:, None] + size - both)
+
+
+def _connect(least: float):
+    """Rows (bucket, node, label, mine, x) by bucket; emits links that connect the labels of a bucket.
+
+    Of a bucket of two blocks only pairs across them count; those within one have a bucket of their own.
     """
-    forest_edges = links(nodes, radius, scratch, far, limit).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    forest_edges = scratch.write(forest_edges, "candidates")
-    groups = scratch.write(components(forest_edges, scratch), "groups")
-    sets = scratch.write(docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, x binary").distinct(), "sets")
 
-    def passed(pairs: DataFrame, name: str) -> DataFrame:
-        first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return scratch.write(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(least), "a long, b long").distinct(), name)
+    def settle(rows):
+        node, label, mine, sets = (list(c) for c in zip(*rows))
+        if len(set(label)) < 2:
+            return []
+        label, mine = np.unique(label, return_inverse=True)[1], np.array(mine)
+        link = similar([np.frombuffer(x, np.uint64) for x in sets], least) & (label[:, None] != label)
+        if len(set(mine.tolist())) > 1:
+            link &= mine[:, None] != mine
+        found, union = [], Union()
+        for p in np.flatnonzero(link.any(axis=1)).tolist():
+            to = np.flatnonzero(link[p])
+            _, first = np.unique(label[to], return_index=True)
+            found += [(node[p], node[q]) for q in to[first].tolist() if union.join(int(label[p]), int(label[q]))]
+        return found
+
+    def run(batches):
+        held, bucket = [], None
+        for b in batches:
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "node", "label", "mine", "x"))):
+                if k != bucket:
+                    if held and (found := settle(held)):
+                        yield _edges(found)
+                    held, bucket = [], k
+                held.append(row)
+        if held and (found := settle(held)):
+            yield _edges(found)
+
+    return run
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sure = passed(forest_edges, "sure")
+
+def verified(rows: DataFrame, nodes: DataFrame, radius: int, far: int, shingle: int, least: float, scratch: Scratch, limit: int = 20_000, block: int = 1000, block_bytes: int = 8 << 20) -> DataFrame:
+    """Edges (a, b), all with a Jaccard similarity of `least`, that connect every such pair within a component of candidates.
+
+    The forest of the candidates is verified first. Where a component of candidates is not
+    connected by what passed, a link beside the forest may connect its parts. There the sets
+    of its nodes are dealt into blocks of bounded size, every two of them meet in a task, and
+    the task compares all sets of different parts; it emits at most one link for two parts.
+    """
+    candidates = links(nodes, radius, scratch, far, limit).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    candidates = scratch.write(candidates, "candidates")
+    groups = scratch.write(components(candidates, scratch), "groups")
+    sets = scratch.write(rows.select("key", "text").join(groups.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(_sets(shingle), "node long, x binary"), "sets")
+    first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
+    sure = scratch.write(candidates.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_jaccard(least), "a long, b long"), "sure")
     parts = components(sure, scratch).withColumnRenamed("component", "label")
-    parts = scratch.write(groups.join(parts, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "parts")
-    torn = parts.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("component")
-    open_nodes = scratch.write(parts.join(torn, "component").select(F.col("node").alias("rep"), "label").join(nodes, "rep"), "open")
-    more = links(open_nodes, radius, scratch, far, limit, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return sure.unionByName(passed(more.join(forest_edges, ["a", "b"], "left_anti"), "more"))
-
-
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, sketch: tuple[int, int] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, fp (long), component_id; one row per input row. sketch: words of a shingle, bits at most; the sets of shingles must then have the Jaccard similarity `least`."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    words, far = sketch or (None, None)
-    texts = documents(docs, id_col, text_col)
-    fps = scratch.write(fingerprints(texts, shingle, words), "fps")
-    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp", *SKETCH, "sid").agg(F.min("doc_id").alias("rep")), "nodes")
-    edges = verified(texts, nodes, radius, far, words, least, scratch) if sketch else links(nodes, radius, scratch)
-    labels = components(edges, scratch)
-    named = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", *SKETCH, "sid", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, ["fp", *SKETCH, "sid"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def near_dedup(docs: DataFrame, shingle: int = 1, radius: int = 5, sketch: tuple[int, int] = (5, 56)) -> DataFrame:
-    """The rows of docs that are the first of their group; rows without an id all stay."""
-    groups = simhash(docs, shingle=shingle, radius=radius, sketch=sketch)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    parts = scratch.write(groups.join(parts, "node", "left").join(sets.select("node", F.octet_length("x").alias("size")), "node").select("node", "component", F.coalesce("label", "node").alias("label"), "size"), "parts")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_bytes))
+    torn = parts.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.cast("int").alias("blocks")).where("lo <> hi")
+    dealt = parts.join(torn, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    bucket = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
+    met = dealt.select(bucket.alias("bucket"), "node", "label", "mine").join(sets, "node")
+    more = met.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_connect(least), "a long, b long")
+    return sure.unionByName(scratch.write(more, "more"))
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fp (long), component_id; one row per input row."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.write(fingerprints(documents(docs, id_col, text_col), shingle).select("doc_id", "fp"), "fps")
+    nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = scratch.write(nodes.select("fp", F.col("fp").alias("rep"), "least", *[F.lit(0).cast("long").alias(c) for c in SKETCH]), "nodes")
+    labels = components(links(nodes, radius, scratch), scratch)
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(smallest, "component").select("fp", "component_id")
+    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, radius: int = 5, sketch: tuple[int, int] = (5, 56), least: float = 0.8) -> DataFrame:
+    """The rows of docs that are the first of their group."""
+    scratch = Scratch(docs.sparkSession, "near")
+    words, far = sketch
+    rows = scratch.write(fingerprints(packed(docs, id_col, text_col), shingle, words), "rows")
+    alike = ["fp", *SKETCH, "sid"]
+    nodes = rows.groupBy(*alike).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
+    nodes = scratch.write(nodes.select("fp", *SKETCH, "first", F.col("first.key").alias("rep")), "nodes")
+    labels = components(verified(rows, nodes, radius, far, words, least, scratch), scratch).withColumnRenamed("node", "rep")
+    kept = nodes.join(labels, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("first").alias("first"))
+    gone = rows.select("key").join(kept.select(F.col("first.key").alias("key")), "key", "left_anti")
+    return unpacked(rows.join(gone, "key", "left_anti"), docs, text_col)

@@ -12,7 +12,7 @@ from lodestar.llm.components import components
 from lodestar.llm.exact_dedup import directory, exact_dedup
 from lodestar.llm.line_dedup import chunks, line_dedup
 from lodestar.llm.shared import Scratch
-from lodestar.llm.simhash import bits, links, masks, near_dedup, shingle_set, simhash, sketch_of, words_of
+from lodestar.llm.simhash import bits, links, masks, near_dedup, shingle_set, similar, simhash, sketch_of, verified, words_of
 
 from .conftest import odd_rows
 
@@ -161,7 +161,79 @@ def test_near_dedup_keeps_one(spark):
     near = base.replace("word150", "other")
     other = " ".join(f"term{i}" for i in range(300))
     docs = spark.createDataFrame([(5, base), (2, near), (9, other), (None, base)], "doc_id long, text string")
-    assert sorted((r.doc_id or -1) for r in near_dedup(docs).collect()) == [-1, 2, 9]
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [2, 9]
+    nameless = docs.where("doc_id is null or doc_id = 9").union(docs.where("doc_id is null"))
+    assert sorted(str(r.doc_id) for r in near_dedup(nameless).collect()) == ["9", "None"]
+
+
+def test_near_dedup_goes_by_row(spark):
+    """A text under a repeated id is not lost with its namesakes, and exact repeats of a row go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    docs = spark.createDataFrame([(3, a, "x"), (5, a, "x"), (5, b, "y"), (9, c, "z"), (9, c, "z"), (11, None, None), (10, "", "e")], "doc_id long, text string, key string")
+    got = near_dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(3, a, "x"), (5, b, "y"), (9, c, "z"), (10, "", "e")]
+
+
+def test_near_dedup_of_odd_rows(odd):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names: equal texts leave one row, and every row left is one of the input."""
+    before, after = [tuple(r) for r in odd.collect()], [tuple(r) for r in near_dedup(odd).collect()]
+    assert not Counter(after) - Counter(before)
+    assert len({norm(r[1]) for r in after}) == len(after)
+    for t in {norm(r[1]) for r in before} & {norm(r[1]) for r in after}:
+        ids = [r[0] for r in before if norm(r[1]) == t and r[0] is not None]
+        assert [r[0] for r in after if norm(r[1]) == t] == [min(ids)] or len(words_of(t)) < 5 or len(words_of(t)) > 10
+
+
+def test_similar_is_exact():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 61), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(40)]
+    got = similar(sets, 0.8, columns=7)
+    want = [[5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)) for b in map(np.ndarray.tolist, sets)] for a in map(np.ndarray.tolist, sets)]
+    assert all(got[i, j] == want[i][j] for i in range(40) for j in range(40) if i != j) and 40 < sum(map(sum, want)) < 1600
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_torn_groups_meet_in_blocks(spark, block):
+    """Near copies of one text, many of them below 0.8 of one another: no link between different parts is lost in any block."""
+    rnd = random.Random(5)
+    base = [f"v{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for k in rnd.sample(range(120), rnd.randint(1, 4)):
+            w[k] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(shingle_set(words_of(t), 5).tolist()) for t in texts]
+    same = [(i, j) for i in range(40) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    sks = [sketch_of(shingle_set(words_of(t), 5)) for t in texts]
+    scratch = Scratch(spark, "t")
+    rows = scratch.write(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "rows")
+    nodes = scratch.write(spark.createDataFrame([(0, i, *sks[i]) for i in range(40)], "fp long, rep long, s0 long, s1 long, s2 long, s3 long"), "nodes")
+    edges = verified(rows, nodes, 2, 256, 5, 0.8, scratch, block=block)
+    found = [tuple(r) for r in edges.collect()]
+    assert all((max(e), min(e)) in same for e in found)
+    want, got = roots(40, same), roots(40, found)
+    assert got == want and len(set(want)) > 1
+
+
+def test_near_dedup_recall(spark):
+    """Words replaced at random, around a similarity of 0.8 and above: at least nine in ten pairs are found, none below."""
+    rnd = random.Random(9)
+    rows, want = [], set()
+    for k in range(150):
+        w = [f"v{rnd.randrange(20_000)}" for _ in range(rnd.randint(60, 400))]
+        v = list(w)
+        for i in rnd.sample(range(len(w)), max(1, len(w) * rnd.randint(1, 4) // 200)):
+            v[i] = f"n{rnd.randrange(10**6)}"
+        a, b = (set(shingle_set([x.encode() for x in t], 5).tolist()) for t in (w, v))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            want.add(2 * k + 1)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    left = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - left
+    assert gone <= want and len(gone) >= 0.9 * len(want) > 60
 
 
 def test_near_dedup_verifies(spark):
@@ -182,11 +254,39 @@ def test_near_dedup_verifies(spark):
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 5 and (sks[i] ^ sks[j]).bit_count() <= 56]
     same = [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs]
     assert any(same) and not all(same)
-    want = roots(len(texts), [p for p, s in zip(pairs, same) if s])
+    group = roots(len(texts), pairs)  # within a component of candidates every similar pair is a link
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if group[i] == group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dedup(docs).collect()) == sorted(set(want))
 
 
+def plain_chunks(text):
+    """The rule of chunks, said again: lists of lines."""
+    h = lambda x: xxhash.xxh64(x.encode()).intdigest()
+    done, group, above = [], [], None
+    for line in text.split("\n"):
+        falls = ((0 if above is None else h(above)) * 0x9E3779B97F4A7C15 + h(line) * 0xC2B2AE3D27D4EB4F) % 2**64 // 2**32 % 2 == 0
+        above = line
+        if len(line.encode()) >= 96:
+            done += [g for g in (group, [line]) if g]
+            group = []
+            continue
+        group.append(line)
+        if len(group) == 32 or len(group) > 1 and falls:
+            done.append(group)
+            group = []
+    if len(group) == 1 and done and len(done[-1]) > 1:
+        done[-1] = done[-1] + group
+    elif group:
+        done.append(group)
+    return ["\n".join(g) for g in done]
+
+
+def counts(chunk):
+    """Is it removed where it repeats?"""
+    return bool(chunk.strip(" \n\t\r\x0b\x0c")) and ("\n" in chunk or len(chunk.encode()) >= 96)
+
+
 def test_chunks_shift():
     lines = [f"line {i} of the text" for i in range(60)]
     a, b = chunks("\n".join(lines).encode()), chunks("\n".join(["new", "two", *lines]).encode())
@@ -195,6 +295,30 @@ def test_chunks_shift():
     assert all(c.count(b"\n") >= 1 for c in a)
 
 
+def test_chunks_by_the_rule():
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "\n".join("word " * rnd.choice([0, 1, 2, 3, 30]) + str(rnd.randrange(9)) * rnd.randint(0, 1) for _ in range(rnd.randint(1, 90)))
+        assert [c.decode() for c in chunks(text.encode())] == plain_chunks(text)
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """Wherever they stand: in one long line, or in two; single short lines stay."""
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
+    one, two = say(55), say(30) + "\n" + say(28)
+    rows = [(i, "\n".join([say(5), "short line", p, "another short line", say(40)])) for i, p in enumerate([one, two] * 10)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [one in got[i] for i in range(0, 20, 2)] == [True] + [False] * 9
+    assert [any(x in got[i] for x in two.split("\n")) for i in range(1, 20, 2)] == [True] + [False] * 9
+    assert all(t.count("\n") >= 3 and "short line" in t for t in got.values())
+
+
+def test_counted_name_is_free(odd):
+    with pytest.raises(ValueError):
+        line_dedup(odd, counted="gid")
+
+
 @pytest.mark.parametrize("window", [1, 1 << 20])
 def test_line_dedup(odd, window):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -207,13 +331,13 @@ def test_line_dedup(odd, window):
             want[i] = (None, 0)
             continue
         keep, gone = [], 0
-        for c in chunks(rows[i].encode()):
-            if b"\n" in c and c.strip() and c in seen:
-                gone += c.count(b"\n") + 1
+        for c in plain_chunks(rows[i]):
+            if counts(c) and c in seen:
+                gone += c.count("\n") + 1
             else:
                 seen.add(c)
                 keep.append(c)
-        want[i] = (b"\n".join(keep).decode(), gone)
+        want[i] = ("\n".join(keep), gone)
     assert {r.doc_id: (r.text, r.gone) for r in out.collect()} == want
     assert any(w[1] for w in want.values())
 
@@ -222,7 +346,7 @@ def test_line_dedup_of_repeated_and_nameless_rows(odd):
     """Each text of a repeated chunk survives once, whatever the ids."""
     before, after = odd.collect(), line_dedup(odd).collect()
     assert len(before) == len(after)
-    count = lambda rows: Counter(c for r in rows if r.text for c in chunks(r.text.encode()) if b"\n" in c and c.strip())
+    count = lambda rows: Counter(c for r in rows if r.text for c in plain_chunks(r.text) if counts(c))
     have = count(before)
     left = Counter(r.text for r in after)
     assert any(n > 1 for n in have.values()) and left[""] >= 1

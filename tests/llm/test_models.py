@@ -1,13 +1,14 @@
 import hashlib
 import os
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm.chat_windows import TURN_TOKENS, chat_windows, read_back
-from lodestar.llm.decontaminate import MIN_WORDS, PUNCT, decontaminate, leaks
+from lodestar.llm.decontaminate import PUNCT, decontaminate, leaks, masks_of
 from lodestar.llm.language_id import language_id, words_of
 from lodestar.llm.quality import Logistic, quality
 
@@ -81,7 +82,7 @@ def brute_leaks(docs, items):
         x = tokens(t)
         for i, u in items:
             w = tokens(u)
-            if len(w) < MIN_WORDS:
+            if not w:
                 continue
             best = max(((sum(0 <= p + k < len(x) and x[p + k] == w[k] for k in range(len(w))), -p) for p in range(-len(w), len(x) + 1)), default=(0, 0))
             if best[0] >= 0.8 * len(w):
@@ -92,7 +93,7 @@ def brute_leaks(docs, items):
 def test_leaks(spark, odd, none):
     rnd = random.Random(2)
     vocab = [f"t{i}" for i in range(3000)]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate([3, 5, 7, 10, 11, 14, 30, 60, 200])] + [(90, None), (91, ""), (None, "u v w x y z")]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate([1, 3, 5, 7, 10, 11, 14, 30, 60, 200])] + [(90, None), (91, ""), (92, " -- !"), (None, "u v w x y z")]
     docs = []
     for i, t in items:
         if not t:
@@ -106,14 +107,15 @@ def test_leaks(spark, odd, none):
             swapped[k] = "swap"
         docs.append((len(docs), " ".join([*filler(), *swapped, *filler()])))
         docs.append((len(docs), " ".join([*filler(), *w[: len(w) // 2], *filler()])))
-    docs.append((None, items[6][1]))
+    docs += [(None, items[6][1]), (None, "a clean text"), (None, None), (3, "another text under an id that has a leak")]
     docs.append((0, docs[0][1]))
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     got = leaks(frame, bench).collect()
     want = brute_leaks(docs, items)
     assert {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in got} == want and len(got) == len(want)
-    gone = {d for d, _ in want if d is not None}
-    assert sorted(str(r.doc_id) for r in decontaminate(frame, bench).collect()) == sorted(str(d) for d, _ in docs if d not in gone)
+    clean = [(d, t) for d, t in docs if not brute_leaks([(d, t)], items)]
+    assert sorted(map(str, map(tuple, decontaminate(frame, bench).collect()))) == sorted(map(str, clean))
+    assert (None, "a clean text") in clean and any(d is None and t == items[6][1] for d, t in docs)
     assert leaks(none, bench).count() == 0 and leaks(frame, bench.where("false")).count() == 0
     assert decontaminate(odd, bench).columns == odd.columns
 
@@ -122,7 +124,7 @@ def test_leaks_of_random_substitutions(spark):
     """As many words substituted as the similarity permits, one more too, at random places of items of all lengths."""
     rnd = random.Random(8)
     vocab = [f"t{i}" for i in range(3000)]
-    items = [(n, " ".join(rnd.choice(vocab) for _ in range(n))) for n in [*range(8, 41), 59, 60, 61, 150]]
+    items = [(n, " ".join(rnd.choice(vocab) for _ in range(n))) for n in [*range(5, 41), 59, 60, 61, 150]]
     docs = []
     for n, t in items:
         for k in [n // 5] * 8 + [n // 5 + 1] * 2:
@@ -130,7 +132,7 @@ def test_leaks_of_random_substitutions(spark):
             for i in rnd.sample(range(n), k):
                 w[i] = f"swap{rnd.randrange(1000)}"
             docs.append((len(docs), " ".join([rnd.choice(vocab) for _ in range(rnd.randint(0, 20))] + w + [rnd.choice(vocab)])))
-    w = items[3][1].split()  # 11 words, the one at position 5 changed
+    w = items[6][1].split()  # 11 words, the one at position 5 changed
     docs.append((len(docs), " ".join([*w[:5], "other", *w[6:]])))
     found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute_leaks(docs, items)
@@ -138,6 +140,17 @@ def test_leaks_of_random_substitutions(spark):
     assert {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in found} == want
 
 
+def test_masks_cover_all_substitutions():
+    """Every choice of places that the similarity lets differ spares a mask: all of them up to 20 words, by the number of blocks beyond."""
+    for n in range(1, 21):
+        free = n - -(-4 * n // 5)
+        masks = [{at + i for i, c in enumerate(m) if c == "1"} for at, m in masks_of(n, 0.8)]
+        assert all(any(not m & set(gone) for m in masks) for gone in combinations(range(n), free))
+    for n in range(21, 200):
+        masks = masks_of(n, 0.8)
+        assert len(masks) > n - -(-4 * n // 5) and "".join(m for _, m in masks) == "1" * n
+
+
 def conversations():
     rnd = random.Random(4)
     rows = []

@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from .test_dedup import counts, plain_chunks
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
@@ -9,7 +11,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 def test_stages(spark):
     """Each stage against plain rules over what it was given."""
     import corpus_pipeline as p
-    from lodestar.llm.line_dedup import chunks
     from lodestar.llm.shared import Scratch
 
     assert [n for n, _ in p.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "pieces"]
@@ -27,12 +28,12 @@ def test_stages(spark):
     seen = set()
     for i in sorted(rows[1]):
         keep = []
-        for c in chunks(rows[1][i].text.encode()):
-            if b"\n" in c and c.strip() and c in seen:
+        for c in plain_chunks(rows[1][i].text):
+            if counts(c) and c in seen:
                 continue
             seen.add(c)
             keep.append(c)
-        assert rows[2][i].text == b"\n".join(keep).decode()
+        assert rows[2][i].text == "\n".join(keep)
     assert set(rows[3]) <= set(rows[2]) and set(rows[4]) <= set(rows[3]) and set(rows[5]) == set(rows[4])
     texts = {}
     for i in sorted(rows[2]):
