@@ -2,32 +2,47 @@
 
 Learning counts the words (runs of letters, lower case) of every labelled training text
 by language, and, over the distinct words, the character n-grams of one to LONGEST
-characters with word ends marked. All counts cover all training rows. The model keeps, in
-each language, the words and n-grams of the highest counts, down to a count at which a
-fixed capacity (a parameter, divided among the languages) is not exceeded; this bounds
-what is broadcast, whatever the size of the input.
+characters with word ends marked. The counts cover all training rows, and every word and
+n-gram that was seen is known, in all languages.
 
 A known word scores the log of its relative frequency in each language. In an unknown
 word, every character takes the longest known n-gram that ends at it, less a penalty for
 each step back; the word scores the mean over its characters. The language with the
 highest sum wins, the alphabetically first one in a tie; the score is its share after a
-softmax. A text that is null or has no letter gets `und` and score 0; so does every text
-when no row is labelled.
+softmax.
+
+1. Word and n-gram tables are written to the shared folder, one row a key with the counts
+   of all languages. They are as large as the vocabulary and are never broadcast.
+2. The commonest words, up to a fixed number of scores, are sent to all tasks as a cache.
+   It changes no score, only what must be looked up: a scan of the documents sums up the
+   scores of cached words and lists the others.
+3. The distinct words not in the cache join the word table; those unknown are cut into
+   contexts, whose suffixes join the n-gram table. Their scores come back by a join on the
+   word and are summed up by document.
+
+A text that is null, empty or has no letter gets `und` and score 0; so does every text when
+no row is labelled. Rows are scored one by one, so ties, repeated rows and ids need no
+rule; very long texts and words are scored whole. Other columns are not read, so their
+names can't clash. An empty table gives an empty result. More than MAX_LANGS values of the
+language column are refused.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, slices
 
 LONGEST = 5
+MAX_LANGS = 1000
 STEP_BACK = float(np.log(0.4))
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,7 +91,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, len, gram, n) over distinct words."""
+    """(lang, gram, n) over distinct words."""
 
     def run(batches):
         def stream():
@@ -89,150 +104,138 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
         yield from _counted(stream(), "gram")
 
-    summed = words.select("lang", "word").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return summed.select("lang", F.char_length("gram").alias("len"), "gram", "n")
-
-
-def most_frequent(counts: DataFrame, by: list[str], capacity: int) -> tuple[DataFrame, dict]:
-    """The rows at or above the count that holds at most capacity rows for each key; totals by key."""
-    level = F.floor(F.log2("n") * 16).alias("level")  # a few hundred levels at most
-    sizes: dict[tuple, list[tuple[int, int, int]]] = {}
-    for r in counts.groupBy(*by, level).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t")).collect():
-        sizes.setdefault(tuple(r[c] for c in by), []).append((r["level"], r["k"], r["t"]))
-    least, totals = {}, {}
-    for key, found in sizes.items():
-        totals[key] = (sum(x[2] for x in found), sum(x[1] for x in found))
-        room, at = capacity, max(x[0] for x in found) + 1
-        for lv, k, _ in sorted(found, reverse=True):
-            if k > room:
-                break
-            room, at = room - k, lv
-        least[key] = at
-    keep: Column = F.lit(False)
-    for key, at in least.items():
-        here = F.floor(F.log2("n") * 16) >= at
-        for c, v in zip(by, key):
-            here &= F.col(c) == v
-        keep |= here
-    return counts.where(keep), totals
-
-
-class Model:
-    """Log scores by language: words first, then n-grams by length."""
-
-    def __init__(self, langs: list[str], words: list[tuple], word_totals: dict, grams: list[tuple], gram_totals: dict):
-        self.langs = langs
-        col = {x: i for i, x in enumerate(langs)}
-        self.words = self._table(words, lambda key: [word_totals.get((x,), (0, 0)) for x in langs], col)
-        self.grams = self._table(grams, lambda key: [gram_totals.get((x, len(key)), (0, 0)) for x in langs], col)
-        # a character that no n-gram of the model ends with says nothing
-        self.nothing = np.full(len(langs), LONGEST * STEP_BACK - 10.0)
-        self.reset()
-
-    @staticmethod
-    def _table(rows: list[tuple], totals, col: dict[str, int]) -> dict[str, np.ndarray]:
-        found: dict[str, np.ndarray] = {}
-        for lang, key, n in rows:
-            found.setdefault(key, np.zeros(len(col)))[col[lang]] = n
-        base: dict[int, np.ndarray] = {}
-        for key, counts in found.items():
-            k = len(key)
-            if k not in base:
-                base[k] = np.array([np.log(t + 0.5 * v + 1) for t, v in totals(key)])
-            found[key] = np.log(counts + 0.5) - base[k]
-        return found
-
-    def reset(self) -> None:
-        """Forget which n-gram each context takes; bounds memory, changes no score."""
-        self.context: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.langs)))
-
-    def _row(self, context: str) -> int:
-        """Number of the row of the longest known n-gram that ends the context."""
-        found = self.nothing
-        for k in range(len(context), 0, -1):
-            g = self.grams.get(context[-k:])
-            if g is not None:
-                found = g + (LONGEST - k) * STEP_BACK
-                break
-        self.context[context] = at = len(self.context)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = found
-        return at
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """Scores of words by language, one row a word."""
-        out = np.zeros((len(words), len(self.langs)))
-        unknown, size, index = [], [], []
-        for i, w in enumerate(words):
-            known = self.words.get(w)
-            if known is not None:
-                out[i] = known
-                continue
-            s = f"\x02{w}\x03"
-            ends = [s[e - LONGEST if e > LONGEST else 0 : e] for e in range(2, len(s) + 1)]
-            unknown.append(i)
-            size.append(len(ends))
-            for c in ends:
-                at = self.context.get(c)
-                index.append(self._row(c) if at is None else at)
-        if unknown:
-            size = np.array(size)
-            out[unknown] = np.add.reduceat(self.rows[index], np.cumsum(size) - size, axis=0) / size[:, None]
-        if len(self.context) > 300_000:
-            self.reset()
-        return out
-
-
-def learn(labelled: DataFrame, scratch: Scratch, word_capacity: int = 120_000, gram_capacity: int = 160_000) -> Model:
+    return words.select("lang", "word").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Learned:
+    """The languages, and the scores by language of every known word and n-gram."""
+
+    langs: list[str]
+    words: DataFrame | None = None  # word, n, score array<double>
+    grams: DataFrame | None = None  # gram, score
+
+
+def _scores(counts: DataFrame, key: str, length, langs: list[str], scratch: Scratch) -> DataFrame:
+    """(key, n, score): the log of the relative frequency in each language among keys of one length."""
+    totals = counts.groupBy("lang", length.alias("len")).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v")).collect()  # languages x lengths
+    base: dict[int, list[float]] = {}
+    for r in totals:
+        base.setdefault(r["len"], [0.0] * len(langs))[langs.index(r["lang"])] = float(np.log(r["t"] + 0.5 * r["v"] + 1))
+    bases = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    index = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
+    rows = counts.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(index[F.col("lang")], F.col("n")))).alias("by"))
+    rows = rows.withColumn("base", bases[length])
+    score = F.expr(f"transform(sequence(0, {len(langs) - 1}), i -> ln(coalesce(by[i], 0L) + 0.5D) - base[i])")
+    return scratch.write(rows.select(key, "n", score.alias("score")), f"{key}-scores")
+
+
+def learn(labelled: DataFrame, scratch: Scratch) -> Learned:
     words = scratch.write(word_counts(labelled), "words")
-    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in words.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
-        return Model([], [], {}, [], {})
-    kept, totals = most_frequent(words, ["lang"], word_capacity // len(langs))
+        return Learned([])
     grams = scratch.write(gram_counts(words), "grams")
-    kept_grams, gram_totals = most_frequent(grams, ["lang", "len"], gram_capacity // (len(langs) * LONGEST))
-    w, g = kept.select("lang", "word", "n").toArrow(), kept_grams.select("lang", "gram", "n").toArrow()
-    as_rows = lambda t: sorted(zip(*(c.to_pylist() for c in t.columns)))
-    return Model(langs, as_rows(w), totals, as_rows(g), gram_totals)
+    return Learned(langs, _scores(words, "word", F.lit(0), langs, scratch), _scores(grams, "gram", F.char_length("gram"), langs, scratch))
 
 
-def predict(docs: DataFrame, model: Model, max_words: int = 400_000) -> DataFrame:
-    """doc_id, lang_pred, score of documents (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def cache_of(known: Learned, capacity: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of the commonest words, at most capacity // languages of them, and their scores; the last row is zero."""
+    level = F.floor(F.log2("n") * 16).cast("int")  # a thousand levels at most
+    room, least = capacity // len(known.langs), None
+    for r in sorted(known.words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    if least is None:
+        return {}, np.zeros((1, len(known.langs)))
+    rows = known.words.where(level >= least).select("word", "score").toArrow()
+    table = rows.column("score").combine_chunks().flatten().to_numpy().reshape(-1, len(known.langs))
+    return {w: i for i, w in enumerate(rows.column("word").to_pylist())}, np.concatenate([table, np.zeros((1, len(known.langs)))])
 
-    def run(batches):
-        m = sent.value
-        row: dict[str, int] = {}
-        table = np.zeros((1 << 12, max(1, len(m.langs))))
-        for b in slices(batches, 4 << 20):
-            found = [words_of(t) if m.langs else [] for t in b.column("text").to_pylist()]
-            every = [w for ws in found for w in ws]
-            if len(row) > max_words:
-                row = {}
-            new = list(set(every).difference(row))
-            while len(row) + len(new) > len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            if new:
-                table[len(row) : len(row) + len(new)] = m.score(new)
-                row.update(zip(new, range(len(row), len(row) + len(new))))
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            lang, score = np.full(len(found), "und", object), np.zeros(len(found))
-            if every:
-                start = np.cumsum(size) - size
-                has = size > 0
-                sums = np.add.reduceat(table[np.fromiter(map(row.__getitem__, every), np.int64, len(every))], start[has], axis=0)
-                best = sums.argmax(axis=1)
-                share = 1 / np.exp(np.minimum(sums - sums.max(axis=1, keepdims=True), 0)).sum(axis=1)
-                lang[has], score[has] = np.array(m.langs, object)[best], share
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+SCANNED = "key long, doc_id long, n_words long, sums array<double>, rare array<struct<word:string,times:long>>"
+_SCANNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sums", pa.list_(pa.float64())), ("rare", pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))])
+
 
+def _scan(sent):
+    """Sums of the scores of cached words by document, and the other words of each."""
 
-def language_id(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **capacity: int) -> DataFrame:
+    def run(batches):
+        row, table = sent.value
+        key = TaskContext.get().partitionId() << 33
+        for b in slices(batches, 4 << 20):
+            found = [words_of(t) for t in b.column("text").to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            at = np.fromiter((row.get(w, -1) for ws in found for w in ws), np.int64, int(size.sum()))
+            sums = np.zeros((len(found), table.shape[1]))
+            has = size > 0
+            start = np.cumsum(size) - size
+            if len(at):
+                sums[has] = np.add.reduceat(table[at], start[has], axis=0)
+            late = np.flatnonzero(at < 0)
+            doc = np.searchsorted(start[has], late, side="right") - 1
+            which = np.flatnonzero(has)[doc]
+            rare: list[Counter] = [Counter() for _ in found]
+            for d, k in zip(which.tolist(), (late - start[which]).tolist()):
+                rare[d][found[d][k]] += 1
+            keys = pa.array(range(key, key + len(found)), pa.int64())
+            key += len(found)
+            words = pa.array([w for c in rare for w in c], pa.string())
+            times = pa.array([n for c in rare for n in c.values()], pa.int64())
+            stops = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = pa.ListArray.from_arrays(stops, pa.StructArray.from_arrays([words, times], names=["word", "times"]))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * table.shape[1], pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([keys, b.column("doc_id"), pa.array(size), flat, lists], schema=_SCANNED)
+
+    return run
+
+
+def _sum(weight, n: int) -> list:
+    """Sums of weighted scores, a column for each language."""
+    return [F.sum(F.col("score")[i] * weight).alias(f"s{i}") for i in range(n)]
+
+
+def score_words(words: DataFrame, known: Learned, scratch: Scratch) -> DataFrame:
+    """(word, score) of distinct words, by the tables."""
+    n = len(known.langs)
+    looked = scratch.write(words.join(known.words.select("word", "score"), "word", "left"), "looked")
+    marked = looked.where("score is null").select("word", F.concat(F.lit("\x02"), "word", F.lit("\x03")).alias("s"))
+    ends = F.expr(f"transform(sequence(2, char_length(s)), e -> substring(s, greatest(1, e - {LONGEST - 1}), least({LONGEST}, e)))")
+    contexts = scratch.write(marked.select("word", F.explode(ends).alias("context")).groupBy("word", "context").agg(F.count(F.lit(1)).alias("times")), "contexts")
+    suffixes = contexts.select("context").distinct().select("context", F.explode(F.expr(f"transform(sequence(1, least({LONGEST}, char_length(context))), k -> substring(context, -k, k))")).alias("gram"))
+    held = suffixes.join(known.grams.select("gram", "score"), "gram").groupBy("context").agg(F.max_by(F.struct("gram", "score"), F.char_length("gram")).alias("g"))
+    best = held.select("context", F.expr(f"transform(g.score, x -> x + ({LONGEST} - char_length(g.gram)) * {STEP_BACK!r}D)").alias("score"))
+    # a character that no known n-gram ends with says nothing
+    nothing = F.array(*[F.lit(LONGEST * STEP_BACK - 10.0)] * n)
+    each = contexts.join(best, "context", "left").withColumn("score", F.coalesce("score", nothing))
+    means = each.groupBy("word").agg(F.sum("times").alias("n"), *_sum(F.col("times"), n))
+    return looked.where("score is not null").unionByName(means.select("word", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(n)]).alias("score")))
+
+
+def predict(docs: DataFrame, known: Learned, scratch: Scratch, capacity: int = 1_000_000) -> DataFrame:
+    """doc_id, lang_pred, score of documents (doc_id, text); capacity: scores in the cache of each task."""
+    if not known.langs:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    n = len(known.langs)
+    sent = docs.sparkSession.sparkContext.broadcast(cache_of(known, capacity))
+    scanned = scratch.write(docs.mapInArrow(_scan(sent), SCANNED), "scanned")
+    rare = scanned.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.times")
+    scored = scratch.write(score_words(rare.select("word").distinct(), known, scratch), "scored")
+    late = rare.join(scored, "word").groupBy("key").agg(*_sum(F.col("times"), n))
+    whole = scanned.drop("rare").join(late, "key", "left")
+    total = F.array(*[F.col("sums")[i] + F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n)])
+    whole = whole.select("doc_id", "n_words", total.alias("total")).withColumn("top", F.array_max("total"))
+    langs = F.array(*map(F.lit, known.langs))
+    lang = F.element_at(langs, F.array_position("total", F.col("top")).cast("int"))
+    share = F.expr("1D / aggregate(total, 0D, (s, x) -> s + exp(x - top))")
+    return whole.select("doc_id", F.when(F.col("n_words") > 0, lang).otherwise("und").alias("lang_pred"), F.when(F.col("n_words") > 0, share).otherwise(0.0).alias("score"))
+
+
+def language_id(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how: int) -> DataFrame:
     """Learn from the rows of docs where train holds and the language is known; predict all rows."""
     scratch = Scratch(docs.sparkSession, "lang")
-    labelled = docs.where(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    return predict(documents(docs, id_col, text_col), learn(labelled, scratch, **capacity))
+    labelled = docs.where(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    return predict(documents(docs, id_col, text_col), learn(labelled, scratch), scratch, **how)

@@ -1,20 +1,25 @@
 """Quality classification by co-training.
 
-Two views of a document: what its text is like (content) and what is known of its page
-(source, language, length: metadata). A logistic classifier is fitted for each view on
-the labelled rows. In each round both score all unlabelled documents, and the ones that a
-view is most sure of, at `confidence` or more, become pseudo-labels for the other view.
-At the end both views are calibrated on labelled rows that no fit has seen, and the
-calibrated log-odds are combined by a small classifier fitted on the same rows.
+Two views of a document: what its text is like (content: shares of kinds of characters,
+words and lines, and hashed counts of words and word pairs) and what is known of its page
+(source, language, length: metadata). A logistic classifier is fitted for each view on the
+labelled rows. In each round both score all unlabelled documents, and those that a view is
+most sure of, at `confidence` or more, become pseudo-labels for the other view; documents
+with equal features count once, no view gives a document twice, and the classes keep the
+shares that they have among the labels. At the end each view is
+calibrated on labelled rows that no fit has seen (its log-odds against the labels), and the
+calibrated log-odds are combined by a small classifier, fitted on other rows of that kind.
 
 Bounds, all parameters: at most `max_labels` labelled rows are fitted on (the first by a
-hash of their id), a view gives at most `per_round` pseudo-labels of each class in a
-round. Both classifiers score every document, in every round and at the end.
-
-Null and empty texts have neutral content features and are scored like any other. A
-document with contradictory labels takes their mean, rounded up from one half; repeated
-rows are scored each. Without labels of both classes every score is 1 and all rows are
-kept.
+hash of their id); a view gives at most `per_round` of that many pseudo-labels of each
+class in a round, and LEAST at least. Both classifiers score every document, in every round
+and at the end.
+
+Null and empty texts have neutral content features and are scored like any other; very long
+ones are read whole. A document with contradictory labels takes their mean, rounded up from
+one half; repeated rows and ids are scored each. Without labels of both classes every score
+is 1 and all rows are kept. The columns of the input travel in a struct, so names can't
+clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +29,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, slices
 
-CONTENT = 20
-BUCKETS = 256
+STYLE, LEXICAL, BUCKETS = 17, 256, 256
+CONTENT = STYLE + LEXICAL
+LEAST = 400
 _KIND = np.zeros((256, 8), np.float64)
 for _c in range(256):
     _ch = chr(_c)
     _KIND[_c] = [_ch.isascii() and _ch.islower(), _ch.isascii() and _ch.isupper(), _ch.isascii() and _ch.isdigit(), _c in b" \t\r\x0b\x0c", _c == 10, _c in b".,;:'\"?-", _c in b"!|#$%&*@<>{}[]()=+_/\\~^", _c >= 128]
 
 
-def content_features(text: str | None) -> list[float]:
+def style(text: str | None) -> list[float]:
+    """Shares and ratios; how long a text is belongs to the other view alone, so that one can teach the other."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words, lines = raw.split(), raw.split(b"\n")
     n, w, m = max(1, len(raw)), max(1, len(words)), len(lines)
@@ -47,14 +55,11 @@ def content_features(text: str | None) -> list[float]:
     blank = sum(not x.strip() for x in lines)
     return [
         *share.tolist(),
-        np.log1p(len(words)),
         (len(raw) - m - len(words)) / w,
         distinct / w,
         distinct / np.sqrt(w),
         len(set(lines)) / m,
-        np.log1p(m),
         blank / m,
-        np.log1p(max(map(len, lines))),
         count[ord("!")] / w,
         count[ord("|")] / w,
         float(count[[ord(c) for c in "#$%&*"]].sum()) / w,
@@ -62,12 +67,35 @@ def content_features(text: str | None) -> list[float]:
     ]
 
 
+class Lexicon(dict):
+    """Hashes of lower-case words; emptied over a limit, which changes none."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word)
+        return h
+
+
+def lexical(text: str | None, known: Lexicon) -> np.ndarray:
+    """Shares of hashed words and pairs of adjacent words."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    both = np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) >> np.uint64(7)]) % np.uint64(LEXICAL)
+    return np.bincount(both.astype(np.int64), minlength=LEXICAL) / max(1, len(both))
+
+
+def content_features(text: str | None, known: Lexicon) -> np.ndarray:
+    return np.concatenate([style(text), lexical(text, known)]).astype(np.float32)
+
+
 def _features(batches):
+    known = Lexicon()
     for b in slices(batches):
-        feats = [content_features(t) for t in b.column("text").to_pylist()]
+        feats = np.array([content_features(t, known) for t in b.column("text").to_pylist()], np.float32).reshape(-1, CONTENT)
         spot = lambda kind, v: zlib.crc32(f"{kind}={v}".encode()) % BUCKETS
         meta = [[spot("source", s), spot("lang", x), spot("size", int(np.log2((n or 0) + 1) * 2) if (n or 0) >= 0 else -1)] for s, x, n in zip(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
-        cols = [pa.array(feats, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))]
+        cols = [pa.FixedSizeListArray.from_arrays(pa.array(feats.ravel()), CONTENT).cast(pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), *cols], names=[*(c for c in b.schema.names if c != "text"), "content", "meta"])
 
 
@@ -92,12 +120,12 @@ class Logistic:
         z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         w, keep = np.zeros(z.shape[1]), np.full(z.shape[1], self.ridge)
         keep[-1] = 1e-6
-        for _ in range(25):
+        for _ in range(20):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             grad = z.T @ (p - y) + keep * w
             step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep), grad)
             w -= step
-            if np.abs(step).max() < 1e-8:
+            if np.abs(step).max() < 1e-5:
                 break
         self.weight = w
         return self
@@ -114,89 +142,116 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class CoTrained:
     content: Logistic
     meta: Logistic
+    calibration: tuple[Logistic, Logistic] | None = None
     mix: Logistic | None = None
 
     def views(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.content.logit(content), self.meta.logit(_one_hot(meta))
+        """Log-odds of both views, calibrated as soon as they can be."""
+        raw = self.content.logit(content), self.meta.logit(_one_hot(meta))
+        return raw if self.calibration is None else tuple(c.logit(z[:, None]) for c, z in zip(self.calibration, raw))
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         return _sigmoid(self.mix.logit(np.column_stack(self.views(content, meta))))
 
 
 def _arrays(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    flat = lambda c, k: np.array(b.column(c).to_pylist(), float).reshape(-1, k)
-    return flat("content", CONTENT), flat("meta", 3).astype(np.int64)
+    def flat(name: str, k: int) -> np.ndarray:
+        col = b.column(name)
+        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+        return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+    return flat("content", CONTENT).astype(float), flat("meta", 3).astype(np.int64)
 
 
-def _sure(model, confidence: float, most: int):
-    """Of one task the rows of which a view is most sure, `most` for each view and class."""
+def _sure(sent, confidence: float, most: int):
+    """Of one task the rows of which a view is most sure, `most` for each view and class; of equal rows one."""
     least = float(np.log(confidence / (1 - confidence)))
 
     def run(batches):
-        best: dict[tuple[int, int], list] = {}
+        model, given = sent.value
+        best: dict[tuple[int, int], dict] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("order").to_numpy()
+            orders, same = b.column("order").to_numpy(), b.column("same").to_numpy()
             content, meta = _arrays(b)
-            for view, z in enumerate(model.value.views(content, meta)):
+            for view, z in enumerate(model.views(content, meta)):
                 for label in (0, 1):
                     s = z if label else -z
-                    at = np.flatnonzero(s >= least)
-                    at = at[np.lexsort((keys[at], -s[at]))[:most]]
-                    found = best.setdefault((view, label), [])
-                    found += [(float(s[i]), int(keys[i]), ids[i], content[i].tolist(), meta[i].tolist()) for i in at]
-                    found.sort(key=lambda r: (-r[0], r[1]))
-                    del found[most:]
-        rows = [(v, y, *r) for (v, y), found in best.items() for r in found]
+                    found = best.setdefault((view, label), {})
+                    at = np.flatnonzero((s >= least) & ~np.isin(same, given[view]))
+                    at = at[np.lexsort((orders[at], -s[at]))]
+                    at = at[np.sort(np.unique(same[at], return_index=True)[1])][:most]
+                    for i in at.tolist():
+                        row = (-float(s[i]), int(orders[i]), content[i], meta[i])
+                        if (k := int(same[i])) not in found or row[:2] < found[k][:2]:
+                            found[k] = row
+                    if len(found) > most:
+                        best[view, label] = dict(sorted(found.items(), key=lambda r: r[1][:2])[:most])
+        rows = [(v, y, -s, o, k, c.tolist(), m.tolist()) for (v, y), found in best.items() for k, (s, o, c, m) in found.items()]
         if rows:
-            types = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["view", "label", "sure", "order", "doc_id", "content", "meta"])
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["view", "label", "sure", "order", "same", "content", "meta"])
 
     return run
 
 
-SURE = "view int, label int, sure double, order long, doc_id long, content array<double>, meta array<int>"
+SURE = "view int, label int, sure double, order long, same long, content array<float>, meta array<int>"
 
 
-def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3, max_labels: int = 20_000, per_round: int = 400, confidence: float = 0.98) -> CoTrained | None:
+def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3, max_labels: int = 20_000, per_round: float = 0.1, confidence: float = 0.98) -> CoTrained | None:
     """feats (doc_id, content, meta), labels (doc_id, quality)."""
     spark = feats.sparkSession
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    pool = scratch.write(feats.where("doc_id is not null").join(truth, "doc_id", "left").withColumn("order", F.xxhash64("doc_id")), "pool")
-    told = pool.where("y is not null").orderBy("order").limit(max_labels).select("y", "order", "content", "meta").toArrow()
+    pool = feats.where("doc_id is not null").join(truth, "doc_id", "left").select("y", F.xxhash64("doc_id").alias("order"), F.xxhash64("content", "meta").alias("same"), "content", "meta")
+    pool = scratch.write(pool, "pool")
+    told = pool.where("y is not null").orderBy("order", "same").limit(max_labels).select("y", "order", "content", "meta").toArrow()
     y = told.column("y").to_numpy().astype(float) if told.num_rows else np.zeros(0)
     if len(set(y)) < 2:
         return None
     content, meta = _arrays(told)
     hot = _one_hot(meta)
-    held = told.column("order").to_numpy() % 4 == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    fitting = ~held
+    # a quarter of the ids is held back: half of it calibrates the views, the other half combines them
+    part = told.column("order").to_numpy() % 8
+    both = lambda mask: len(set(y[mask])) == 2
+    held = part % 4 == 0
+    if not both(held) or not both(~held):
+        held = np.ones(len(y), bool)
+    calibrating, combining = held & (part == 0), held & (part != 0)
+    if not both(calibrating) or not both(combining):
+        calibrating = combining = held
+    fitting = np.ones(len(y), bool) if held.all() else ~held
+    most = max(LEAST, int(per_round * len(y)))
     extra: dict[int, list] = {0: [], 1: []}
-    used: list[int] = []
+    given: list[list[int]] = [[], []]
     model = None
     for k in range(rounds + 1):
         xs, ys = [content[fitting], hot[fitting]], [y[fitting], y[fitting]]
-        for view, given in extra.items():
-            if given:
-                add = np.array([r[0] for r in given]) if view == 0 else _one_hot(np.array([r[1] for r in given]))
-                xs[view], ys[view] = np.concatenate([xs[view], add]), np.concatenate([ys[view], [r[2] for r in given]])
-        model = CoTrained(Logistic().fit(xs[0], ys[0]), Logistic(10.0).fit(xs[1], ys[1]))
+        for view, more in extra.items():
+            if more:
+                add = np.array([r[0] for r in more]) if view == 0 else _one_hot(np.array([r[1] for r in more]))
+                xs[view], ys[view] = np.concatenate([xs[view], add]), np.concatenate([ys[view], [r[2] for r in more]])
+        model = CoTrained(Logistic(50.0).fit(xs[0], ys[0]), Logistic(10.0).fit(xs[1], ys[1]))
         if k == rounds:
             break
-        sent = spark.sparkContext.broadcast(model)
-        rest = pool.where("y is null").select("doc_id", "order", "content", "meta")
-        sure = scratch.write(rest.mapInArrow(_sure(sent, confidence, per_round * (k + 1)), SURE), f"sure{k}")
+        sent = spark.sparkContext.broadcast((model, [np.array(g, np.int64) for g in given]))
+        rest = pool.where("y is null").select("order", "same", "content", "meta")
+        sure = scratch.write(rest.mapInArrow(_sure(sent, confidence, most), SURE), f"sure{k}")
+        share = y[fitting].mean()
         for view in (0, 1):
+            tops = []
             for label in (0, 1):
-                top = sure.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("sure"), "order").limit(per_round * (k + 1)).collect()
-                new = [r for r in top if r["order"] not in used][:per_round]
-                used += [r["order"] for r in new]
-                extra[1 - view] += [(r["content"], r["meta"], float(label)) for r in new]  # for the other view
-    check = held if held.any() else np.ones(len(y), bool)
-    model.mix = Logistic().fit(np.column_stack(model.views(content[check], meta[check])), y[check])
+                mine = sure.where((F.col("view") == view) & (F.col("label") == label)).groupBy("same").agg(F.min(F.struct((-F.col("sure")).alias("doubt"), "order", "content", "meta")).alias("r"))
+                tops.append(mine.orderBy("r.doubt", "r.order", "same").limit(most).collect())
+            # both classes in the shares that the labels have, so that no class grows over the other
+            whole = min(len(tops[1]) / share, len(tops[0]) / (1 - share))
+            for label, top in enumerate(tops):
+                for r in top[: round(whole * (share if label else 1 - share))]:
+                    given[view].append(r["same"])
+                    extra[1 - view].append((r["r"]["content"], r["r"]["meta"], float(label)))  # for the other view
+    raw = model.views(content, meta)
+    model.calibration = tuple(Logistic(0.1).fit(z[calibrating][:, None], y[calibrating]) for z in raw)
+    model.mix = Logistic(0.1).fit(np.column_stack(model.views(content[combining], meta[combining])), y[combining])
     return model
 
 
@@ -217,7 +272,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     parts = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
-    feats = docs.select(*parts).mapInArrow(_features, "doc_id long, source string, lang string, n_chars long, content array<double>, meta array<int>").select("doc_id", "content", "meta")
+    feats = docs.select(*parts).mapInArrow(_features, "doc_id long, source string, lang string, n_chars long, content array<float>, meta array<int>").select("doc_id", "content", "meta")
     model = fit(feats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")), scratch, **how)
     sent = spark.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")

@@ -1,16 +1,19 @@
 import hashlib
+import math
 import os
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm.chat_windows import TURN_TOKENS, chat_windows, read_back
 from lodestar.llm.decontaminate import PUNCT, decontaminate, leaks, masks_of
 from lodestar.llm.language_id import language_id, words_of
-from lodestar.llm.quality import Logistic, quality
+from lodestar.llm.quality import CONTENT, CoTrained, Logistic, _one_hot, _sure, quality
 
 from .conftest import odd_rows
 
@@ -40,10 +43,55 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language_id(odd, F.lit(False)).collect()} == {"und"}
 
 
-def test_language_small_capacity(odd):
-    """A model that keeps next to nothing still answers for every row with a letter."""
-    got = language_id(odd, F.lit(True), word_capacity=2, gram_capacity=10).collect()
-    assert len(got) == len(odd_rows()) and sum(r.lang_pred == "und" for r in got) == sum(not words_of(r[1]) for r in odd_rows())
+def brute_language(train, texts):
+    """Word-first backoff said plainly: (language, score) of each text."""
+    langs = sorted({lang for t, lang in train if words_of(t)})
+    words = {g: Counter(w for t, x in train if x == g for w in words_of(t)) for g in langs}
+    grams = {g: Counter(s[i : i + k] for w in words[g] for s in [f"\x02{w}\x03"] for k in range(1, 6) for i in range(len(s) - k + 1)) for g in langs}
+
+    def freq(table, g, key, same):
+        of = [n for x, n in table[g].items() if same(x)]
+        return math.log(table[g][key] + 0.5) - math.log(sum(of) + 0.5 * len(of) + 1)
+
+    def word(w, g):
+        if any(w in words[x] for x in langs):
+            return freq(words, g, w, lambda x: True)
+        s, out = f"\x02{w}\x03", []
+        for e in range(2, len(s) + 1):
+            for k in range(min(5, e), 0, -1):
+                gram = s[e - k : e]
+                if any(gram in grams[x] for x in langs):
+                    out.append(freq(grams, g, gram, lambda x: len(x) == k) + (5 - k) * math.log(0.4))  # noqa: B023
+                    break
+            else:
+                out.append(5 * math.log(0.4) - 10)
+        return sum(out) / len(out)
+
+    found = []
+    for t in texts:
+        total = {g: sum(word(w, g) for w in words_of(t)) for g in langs}
+        if not words_of(t) or not langs:
+            found.append(("und", 0.0))
+            continue
+        top = max(total.values())
+        found.append((min(g for g in langs if total[g] == top), 1 / sum(math.exp(x - top) for x in total.values())))
+    return found
+
+
+@pytest.mark.parametrize("capacity", [0, 30, 1_000_000])
+def test_language_against_brute_force(spark, capacity):
+    """Known, half-known and unknown words; the cache changes no score."""
+    rnd = random.Random(7)
+    al = {"en": "abcdefgh", "fr": "éèàbcdij", "zz": "ζηθabcxy"}
+    say = lambda x, n: " ".join("".join(rnd.choice(al[x]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    rows = [(i, say(x, rnd.randint(1, 12)), x) for i, x in enumerate(rnd.choices(list(al), k=40))]
+    rows += [(50 + i, t, "en") for i, t in enumerate([None, "", "12 !", "Q" * 40, "Abc abc ABC abc", "日本 éèqq", "\U00010400a"])]
+    rows += [(99, "abc", None), (99, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(language_id(docs, F.col("doc_id") % 3 != 1, capacity=capacity).collect(), key=lambda r: r.doc_id)
+    want = brute_language([(t, x) for i, t, x in rows if i % 3 != 1 and x], [t for _, t, _ in sorted(rows, key=lambda r: r[0])])
+    assert [r.lang_pred for r in got] == [w[0] for w in want]
+    assert np.allclose([r.score for r in got], [w[1] for w in want])
 
 
 def test_logistic():
@@ -62,9 +110,71 @@ def test_quality_against_labels(spark):
     assert sum(r.keep == (r.quality == 1) for r in seen) / len(seen) > 0.9
 
 
+@needs_data
+def test_quality_held_out(spark):
+    """Fitted on half of the labels; the other half is never shown, and each view and their mix do better than the share of the larger class."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    shown = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = quality(docs, labels.where(shown)).select("row.doc_id", "keep", "score", "content_score", "metadata_score").join(labels.where(~shown), "doc_id").collect()
+    right = lambda of: sum((of(r) >= 0.5) == (r.quality == 1) for r in found) / len(found)
+    larger = max(sum(r.quality == v for r in found) for v in (0, 1)) / len(found)
+    assert len(found) > 50 and right(lambda r: r.score) > max(0.95, larger)
+    assert right(lambda r: r.content_score) > 0.95 and right(lambda r: r.metadata_score) >= larger - 0.1
+
+
+def made_up(n, seed):
+    """Good and bad texts of one style, told apart by their words and, mostly, by their source."""
+    rnd = random.Random(seed)
+    words = {y: ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(200)] for y in (0, 1)}
+    rows = []
+    for i in range(n):
+        y = rnd.randrange(2)
+        text = " ".join(rnd.choice(words[y if rnd.random() < 0.8 else 1 - y]) for _ in range(rnd.randint(20, 60)))
+        rows.append((i, text, "en", f"s{y if rnd.random() < 0.9 else 1 - y}", len(text), y))
+    return rows
+
+
+def test_quality_learns_words_and_calibrates(spark):
+    rows = made_up(1500, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, y int")
+    labels = docs.where("doc_id < 400").select("doc_id", F.col("y").alias("quality"))
+    found = [r for r in quality(docs, labels, confidence=0.8).select("row.doc_id", "row.y", "score", "content_score", "metadata_score").collect() if r.doc_id >= 400]
+    assert sum((r.content_score >= 0.5) == r.y for r in found) / len(found) > 0.92
+    assert sum((r.score >= 0.5) == r.y for r in found) / len(found) > 0.92
+    # calibrated: of the documents that the metadata view gives p, about a share of p is good
+    for lo, hi in ((0.0, 0.3), (0.7, 1.0)):
+        some = [r for r in found if lo <= r.metadata_score <= hi]
+        assert abs(np.mean([r.y for r in some]) - np.mean([r.metadata_score for r in some])) < 0.1
+
+
+def test_pseudo_labels_are_distinct_and_new():
+    """Of equal rows one is offered, the surest come first, and what was given is not given again."""
+    rng = np.random.default_rng(3)
+    y = np.arange(60) % 2
+    content, meta = rng.normal(size=(60, CONTENT)) + y[:, None], np.column_stack([y, y + 2, y + 4])
+    model = CoTrained(Logistic().fit(content, y), Logistic().fit(_one_hot(meta), y))
+    same = np.arange(60) // 2 * 2 + y  # pairs of equal features have equal keys
+    content, meta = content[same], meta[same]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(same), pa.array(content.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(meta.tolist(), pa.list_(pa.int32()))], names=["order", "same", "content", "meta"])
+
+    class Sent:
+        value = (model, [np.array([1, 3]), np.array([], np.int64)])
+
+    got = pa.Table.from_batches(_sure(Sent, 0.6, 5)([batch.slice(0, 30), batch.slice(30)])).to_pylist()
+    scores = model.views(content, meta)
+    for view in (0, 1):
+        for label in (0, 1):
+            mine = [r for r in got if (r["view"], r["label"]) == (view, label)]
+            z = {int(k): float(s if label else -s) for k, s in zip(same, scores[view]) if k not in Sent.value[1][view]}
+            want = sorted((k for k, s in z.items() if s >= np.log(1.5)), key=lambda k: -z[k])[:5]
+            assert len(mine) == len({r["same"] for r in mine}) == len(want)
+            if view == 0:
+                assert {r["same"] for r in mine} == set(want)
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(r[0], i % 2, "x") for i, r in enumerate(odd_rows()) if r[0]] + [(None, 1, "x"), (3, None, "x")], "doc_id long, quality int, keep string")
-    got = quality(odd, labels, max_labels=20, per_round=3, confidence=0.6)
+    got = quality(odd, labels, max_labels=20, per_round=0.2, confidence=0.6)
     assert got.select("row.*").columns == odd.columns
     assert got.count() == len(odd_rows()) and got.where("score < 0 or score > 1 or score is null").count() == 0
     assert quality(none, labels).count() == 0
