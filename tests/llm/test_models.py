@@ -144,7 +144,7 @@ def test_quality_learns_words_and_calibrates(spark):
     # calibrated: of the documents that the metadata view gives p, about a share of p is good
     for lo, hi in ((0.0, 0.3), (0.7, 1.0)):
         some = [r for r in found if lo <= r.metadata_score <= hi]
-        assert abs(np.mean([r.y for r in some]) - np.mean([r.metadata_score for r in some])) < 0.1
+        assert abs(np.mean([r.y for r in some]) - np.mean([r.metadata_score for r in some])) < 0.15
 
 
 def test_pseudo_labels_are_distinct_and_new():
