@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from .functions.vector import cosine_similarity, dot_product, l2_norm, literal
 from .operators.replay import assign_ids, last_of_each, replay
 from .operators.search import apply_filter, top_k, top_k_batched, top_k_each
 from .plans.filters import Filter
+from .sources.objects import work_folder
 
 #: Metadata of a vector: numbers, a string, a boolean, a key that is null or not, a key that most records lack.
 METADATA = """concat('{"label":', label, ',"tag":"t', label, '","even":', if(label % 2 = 0, 'true', 'false'),
@@ -200,7 +200,7 @@ def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf_dir: str) -> Database:
     """A database with the embeddings in it: bulk write, checkpoint, then deletes and a put in the log."""
-    db = Database(spark, DbConfig(tempfile.mkdtemp(prefix="lodestar-db-")))
+    db = Database(spark, DbConfig(work_folder(spark, "db")))
     db.create_collection("items", 64)
     db.create_collection("empty", 3)
     db.upsert_df("items", embeddings(spark, sf_dir))
@@ -225,6 +225,19 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, dim int, records long, next_id long, wal_frames long, ops_since_snapshot long")
 
 
+def db_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by id through the engine: in the snapshot, in the log, deleted, never there."""
+    db = stored(spark, sf_dir)
+    found = [db.get("items", id) for id in (0, 7, 11, 42, 43, -1)]
+    rows = [(r["id"], len(r["vector"]), r["metadata"]) for r in found if r]
+    return spark.createDataFrame(rows, "id long, dim int, metadata string")
+
+
+def db_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full listing through the engine, with the places of records in storage: one put again after a delete comes last."""
+    return stored(spark, sf_dir).all_records("items", pos=True).select("id", F.size("vector").alias("dim"), "metadata", "pos")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_unfiltered": search(),
     "topk_default_k": search(),
@@ -250,6 +263,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crc32_text": crc32_text,
     "store_search": store_search,
     "store_stats": store_stats,
+    "db_get": db_get,
+    "db_all_records": db_all_records,
 }
 
 ORACLE: dict[str, str] = {
@@ -286,4 +301,17 @@ ORACLE: dict[str, str] = {
     "store_stats": """
         SELECT 'empty' AS name, 3::INT AS dim, 0::BIGINT AS records, 1::BIGINT AS next_id, 0::BIGINT AS wal_frames, 0::BIGINT AS ops_since_snapshot
         UNION ALL SELECT 'items', 64, count(*) - 2, max(vec_id) + 1, 4, 4 FROM embeddings""",
+    "db_get": f"""
+        SELECT vec_id AS id, 64::INT AS dim, CASE WHEN vec_id = 7 THEN '{{"label":77}}' ELSE {METADATA_SQL} END AS metadata
+        FROM embeddings WHERE vec_id IN (7, 42, 43)""",
+    "db_all_records": f"""
+        WITH e AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
+        SELECT vec_id AS id, 64::INT AS dim, CASE WHEN vec_id = 7 THEN '{{"label":77}}' ELSE {METADATA_SQL} END AS metadata,
+               CASE WHEN vec_id = 7 THEN n + 3 ELSE place END AS pos
+        FROM e WHERE vec_id NOT IN (0, 11)""",
+    "crc32_text": """
+        WITH t AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+        b AS (SELECT doc_id, list_transform(range(0, length(h), 2), lambda k: CAST('0x' || h[k + 1 : k + 2] AS BIGINT)) AS b FROM d)
+        SELECT doc_id, xor(4294967295, list_reduce(b, lambda c, x: xor(c // 256, t[(xor(c % 256, x) + 1)]), 4294967295)) AS crc FROM b, t""",
 }

@@ -20,6 +20,8 @@ class DbConfig:
     sync_mode: SyncMode = SyncMode.EVERY
     batch: int = 1
     auto_snapshot_after: int = 10_000
+    #: Seconds for which files that a checkpoint replaced stay, so that readers can finish.
+    retain_seconds: float = 600.0
 
     def with_sync_mode(self, mode: SyncMode, batch: int = 1) -> DbConfig:
         return replace(self, sync_mode=mode, batch=max(1, batch))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import socket
 from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
 from typing import Any
@@ -18,6 +19,8 @@ from .operators.search import Query
 from .sources.collection import StoredCollection
 from .sources.objects import LocalStorage
 
+#: Lock files of the databases that this process has open.
+_OPEN: set[str] = set()
 RECORD = "ordinal long, id long, vector array<float>, metadata string"
 
 
@@ -34,27 +37,33 @@ class Database:
         try:
             for key in self.store.list():
                 name, _, rest = key.partition("/")
-                if rest == "manifest.json" and (found := StoredCollection.open(spark, self.store, name)):
+                if rest == "manifest.json" and (found := StoredCollection.open(spark, self.store, name, self.config.retain_seconds)):
                     self._open[name] = found
         except BaseException:
             self._release()
             raise
 
     def _acquire(self) -> None:
+        me = f"{socket.gethostname()} {os.getpid()}"
         for _ in range(2):
             try:
                 fd = os.open(self._lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-                os.write(fd, str(os.getpid()).encode())
+                os.write(fd, me.encode())
                 os.close(fd)
+                _OPEN.add(str(self._lock))
                 return
             except FileExistsError:
-                owner = self._lock.read_text() or "0"
-                if owner != str(os.getpid()) and Path("/proc", owner).exists():
-                    raise ConflictError(f"{self.store.root} is open in process {owner}") from None
+                host, _, pid = self._lock.read_text().rpartition(" ")
+                # only of this host it is known which processes live; in this one, which databases are open
+                here = host in ("", socket.gethostname())
+                lives = str(self._lock) in _OPEN if pid == str(os.getpid()) else Path("/proc", pid or "0").exists()
+                if not here or lives:
+                    raise ConflictError(f"{self.store.root} is open in process {pid} of {host or 'this host'}") from None
                 self._lock.unlink(missing_ok=True)  # its writer is gone
         raise ConflictError(f"{self.store.root} is being opened")
 
     def _release(self) -> None:
+        _OPEN.discard(str(self._lock))
         self._lock.unlink(missing_ok=True)
 
     def __enter__(self) -> Database:
@@ -82,7 +91,7 @@ class Database:
             raise EmptyVector
         if not isinstance(dim, int) or not 0 < dim < 1 << 31:
             raise ParseError(f"invalid dimension: {dim!r}")
-        self._open[name] = StoredCollection.create(self.spark, self.store, name, dim)
+        self._open[name] = StoredCollection.create(self.spark, self.store, name, dim, self.config.retain_seconds)
 
     def drop_collection(self, name: str) -> None:
         self._get(name).drop()
@@ -94,7 +103,7 @@ class Database:
     def stats(self, name: str) -> dict[str, Any]:
         c = self._get(name)
         pending = c.manifest.next_seq - 1 - c.manifest.watermark
-        records = c.live().count() if pending else c.manifest.records
+        records = c.live(pos=False).count() if pending else c.manifest.records
         return {"name": name, "dim": c.manifest.dim, "records": records, "next_id": c.manifest.next_id, "wal_frames": pending, "ops_since_snapshot": pending}
 
     # writing
@@ -115,10 +124,9 @@ class Database:
         return id
 
     def delete(self, name: str, id: int) -> bool:
-        """A missing record is no operation. Costs one lookup job, unless the buffer knows the id."""
+        """A missing record is no operation. Costs one lookup, unless the buffer knows the id."""
         c = self._get(name)
-        known = next((op for _, op, i, _, _ in reversed(c.buffer) if i == id), None)
-        if known == "delete" or known is None and self.get(name, id) is None:
+        if not 0 <= id < 1 << 63 or c.find(id) is None:
             return False
         c.append("delete", id, None, None)
         self._after(c)
@@ -152,30 +160,57 @@ class Database:
         """Bulk upsert of (vector, metadata, and optionally id and ordinal) as one commit.
 
         Rows without an id need an ordinal, which gives the order of writing; it must run from 0
-        without gaps. Given ids for all rows, an ordinal is made in the order of ids.
+        without gaps. Given ids for all rows, an ordinal is made in the order of ids. All rows
+        are checked before any is written: one bad row refuses the whole.
         """
+        self.write_ops(name, rows)
+
+    def write_ops(self, name: str, rows: DataFrame) -> None:
+        """upsert_df, where a column op may say "put" or "delete"; a delete needs an id and nothing else."""
         c = self._get(name)
-        dim, n = c.manifest.dim, rows.count()
-        if n == 0:
+        self.spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+        put = F.col("op").eqNullSafe("put") if "op" in rows.columns else F.lit(True)
+        shaped = rows.withColumn("metadata", F.coalesce("metadata", F.when(put, "{}")))
+        if "id" not in rows.columns:
+            shaped = shaped.withColumn("id", F.lit(None).cast("long"))
+        size = F.coalesce(F.size("vector"), F.lit(0))
+        ordinal = "ordinal" in rows.columns
+        found = shaped.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.first(F.when(put & (size != c.manifest.dim), size), ignorenulls=True).alias("length"),
+            F.first(F.when(put & F.exists("vector", lambda x: x.isNull()), "a vector holds a null"), ignorenulls=True).alias("hole"),
+            F.first(F.when(put & F.try_parse_json("metadata").isNull(), F.concat(F.lit("metadata is not JSON: "), F.substring("metadata", 1, 80))), ignorenulls=True).alias("json"),
+            F.first(F.when(F.col("id") < 0, F.concat(F.lit("negative id: "), F.col("id").cast("string"))), ignorenulls=True).alias("id"),
+            F.first(F.when(~put & (F.col("id").isNull() | ~F.col("op").eqNullSafe("delete")), "an operation is neither a put nor a delete of an id"), ignorenulls=True).alias("op")
+            if "op" in rows.columns
+            else F.lit(None).alias("op"),
+            F.count(F.when(F.col("id").isNull(), 1)).alias("nameless"),
+            *([F.count_distinct("ordinal").alias("ordinals"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")] if ordinal else [F.count_distinct("id").alias("ids")]),
+        ).first()
+        if not (n := found["n"]):
             return
-        bad = rows.where(F.col("vector").isNull() | (F.size("vector") != dim)).select(F.coalesce(F.size("vector"), F.lit(0))).head()
-        if bad:
-            raise DimMismatch(dim, bad[0])
-        shaped = rows.withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
-        if "ordinal" not in rows.columns:
-            missing = "id" not in rows.columns or rows.where("id is null").limit(1).count()
-            if missing:
+        if found["length"] is not None:
+            raise DimMismatch(c.manifest.dim, found["length"])
+        for problem in (found["hole"], found["json"], found["id"], found["op"]):
+            if problem:
+                raise ParseError(problem)
+        if ordinal:
+            if (found["ordinals"], found["low"], found["high"]) != (n, 0, n - 1):
+                raise ParseError(f"ordinals of {n} rows must run from 0 to {n - 1} without gaps")
+            if found["nameless"] == n:
+                shaped = shaped.withColumn("id", F.col("ordinal") + c.manifest.next_id)
+            elif found["nameless"]:
+                shaped = assign_ids(shaped, c.manifest.next_id)
+        else:
+            if found["nameless"]:
                 raise ParseError("rows without an id need an ordinal")
-            if rows.groupBy("id").count().where("count > 1").limit(1).count():
+            if found["ids"] != n:
                 raise ParseError("rows with equal ids need an ordinal")
             # which row of different ids comes first does not matter: dense numbers without a global sort
             shaped = _numbered(shaped)
-        elif "id" not in rows.columns:
-            shaped = shaped.withColumn("id", F.col("ordinal") + c.manifest.next_id)
-        elif rows.where("id is null").limit(1).count():
-            shaped = assign_ids(shaped, c.manifest.next_id)
-        top = shaped.agg(F.max("id")).first()[0]
-        c.append_frame(shaped.select("ordinal", F.col("id").cast("long").alias("id"), "vector", "metadata"), n, top + 1)
+        top = shaped.where(put).agg(F.max("id")).first()[0]
+        more = ["op"] if "op" in rows.columns else []
+        c.append_frame(shaped.select("ordinal", F.col("id").cast("long").alias("id"), "vector", "metadata", *more), n, (-1 if top is None else top) + 1)
         self._after(c, batch=0)
 
     def _after(self, c: StoredCollection, batch: int = 1) -> None:
@@ -201,16 +236,17 @@ class Database:
 
     # reading
 
-    def records(self, name: str) -> DataFrame:
-        """Live records as a lazy DataFrame."""
-        return self._get(name).live()
+    def records(self, name: str, pos: bool = True) -> DataFrame:
+        """Live records as a lazy DataFrame; pos (the order of storage) costs a second look at the snapshot where there is a log."""
+        return self._get(name).live(pos)
 
-    def all_records(self, name: str) -> DataFrame:
-        return self.records(name).orderBy("pos").select("id", "vector", "metadata")
+    def all_records(self, name: str, pos: bool = False) -> DataFrame:
+        """All records in the order of storage; pos: with their places in it."""
+        return self.records(name).orderBy("pos").select("id", "vector", "metadata", *(["pos"] if pos else []))
 
     def get(self, name: str, id: int) -> dict[str, Any] | None:
-        row = self.records(name).where(F.col("id") == F.lit(id)).select("id", "vector", "metadata").limit(1).head()
-        return row.asDict() if row else None
+        found = self._get(name).find(id) if 0 <= id < 1 << 63 else None
+        return {"id": id, "vector": found[0], "metadata": found[1]} if found else None
 
     def query(self, query: Query) -> DataFrame:
         return query.run(self)

@@ -12,16 +12,55 @@ def replay(log: DataFrame, snapshot: DataFrame | None = None, after: int = -1) -
 
     The last operation of an id decides; operations up to `after` are in the snapshot
     already. pos is the sequence number of the first put since the id's last delete, or
-    the snapshot's pos where the log has no delete of it. Aggregations by id have
-    map-side partials, so a hot id is no hot task; replaying a log twice changes nothing.
+    the snapshot's pos where the log has no delete of it. Replaying a log twice changes
+    nothing. See merge() for what moves.
     """
-    ops = log.where((F.col("seq") > after) & F.col("op").isin("put", "delete")).select("seq", "op", "id", "vector", "metadata", F.lit(None).cast("long").alias("kept"))
     if snapshot is not None:
-        ops = ops.unionByName(snapshot.select(F.lit(-1).cast("long").alias("seq"), F.lit("put").alias("op"), "id", "vector", "metadata", F.col("pos").alias("kept")))
-    deleted = ops.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("gone"))
-    since = ops.where("op = 'put'").join(deleted, "id", "left").where("gone is null or seq > gone")
-    live = since.groupBy("id").agg(F.max_by(F.struct("vector", "metadata"), "seq").alias("last"), F.min_by(F.coalesce("kept", "seq"), "seq").alias("pos"))
-    return live.select("id", "last.vector", "last.metadata", "pos")
+        return merge(log, snapshot, after).select("id", "vector", "metadata", "pos")
+    puts = _puts(_last(log, after)).join(_began(log, after), "id")
+    return puts.select("id", "vector", "metadata", F.col("began").alias("pos"))
+
+
+def _ops(log: DataFrame, after: int) -> DataFrame:
+    return log.where((F.col("seq") > after) & F.col("op").isin("put", "delete"))
+
+
+def _last(log: DataFrame, after: int) -> DataFrame:
+    """id, last: one aggregation with map-side partials, so a hot id is no hot task."""
+    return _ops(log, after).groupBy("id").agg(F.max_by(F.struct("op", "vector", "metadata"), "seq").alias("last"))
+
+
+def _puts(last: DataFrame) -> DataFrame:
+    return last.where("last.op = 'put'").select("id", "last.vector", "last.metadata")
+
+
+def _began(log: DataFrame, after: int) -> DataFrame:
+    """id, began, anew: the first put since the last delete, and whether there was a delete. Only numbers are joined."""
+    ops = _ops(log, after).select("id", "op", "seq")
+    gone = ops.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("gone"))
+    since = ops.where("op = 'put'").join(gone, "id", "left").where("gone is null or seq > gone")
+    return since.groupBy("id").agg(F.min("seq").alias("began"), F.max(F.col("gone").isNotNull()).alias("anew"))
+
+
+def merge(log: DataFrame, snapshot: DataFrame, after: int, small: bool = False, pos: bool = True) -> DataFrame:
+    """Rows of the snapshot that the log does not name, and the live puts of the log (with nulls in other columns).
+
+    Only the log is aggregated; the snapshot is filtered by the ids in the log. small: the
+    log is known to be small, so that its ids go to the tasks that scan the snapshot and no
+    vector of the snapshot moves. Without pos the snapshot is read once.
+    """
+    last = _last(log, after)
+    ids = last.select("id")
+    old = snapshot.join(F.broadcast(ids) if small else ids, "id", "left_anti")
+    puts = _puts(last)
+    if pos:
+        began = _began(log, after)
+        named = snapshot.select("id", F.col("pos").alias("held")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        puts = puts.join(began, "id").join(named, "id", "left")
+        puts = puts.select("id", "vector", "metadata", F.when(F.col("anew"), F.col("began")).otherwise(F.coalesce("held", "began")).alias("pos"))
+    else:
+        old = old.drop("pos")
+    return old.unionByName(puts, allowMissingColumns=True)
 
 
 def assign_ids(rows: DataFrame, next_id: int) -> DataFrame:

@@ -8,6 +8,7 @@ pruning alone; nothing is cached or collected.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +76,23 @@ def top_k_batched(records: DataFrame, probe: Sequence[float], k: int = DEFAULT_T
 
 
 def top_k_each(records: DataFrame, probes: DataFrame, k: int = DEFAULT_TOP_K, where: Filter | Column | str | None = None, max_probes: int = 10_000) -> DataFrame:
-    """probe_id, id, score: the k best for each of a checked number of probes (probe_id, probe).
+    """probe_id, id, score: the k best for each probe (probe_id, probe); probe ids are distinct.
 
-    The probes are stated queries of proven size; they are scored in blocks against each
-    Arrow batch, and each task keeps k rows a probe, so no row meets a row it must not.
+    The probes are stated queries. They go to the tasks in blocks of about max_probes, a pass
+    over the records each, and are scored against each Arrow batch; each task keeps k rows a
+    probe, so no row meets a row it must not.
     """
     k = check_top_k(k)
-    given = probes.select("probe_id", "probe").limit(max_probes + 1).toArrow()
-    if given.num_rows > max_probes:
-        raise ValueError(f"more than {max_probes} probes; split them")
+    blocks = max(1, -(-probes.count() // max_probes))
+    block = F.pmod(F.xxhash64("probe_id"), F.lit(blocks))
+    parts = [_top_k_block(records, probes.where(block == i) if blocks > 1 else probes, k, where) for i in range(blocks)]
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).drop("rank")
+
+
+def _top_k_block(records: DataFrame, probes: DataFrame, k: int, where: Filter | Column | str | None) -> DataFrame:
+    """The k best of each task for a block of probes."""
+    given = probes.select("probe_id", "probe").toArrow()
     names = np.array(given.column("probe_id").to_pylist(), np.int64)
     q = np.array(given.column("probe").to_pylist(), np.float64).reshape(len(names), -1)
     qn = np.sqrt((q * q).sum(axis=1))
@@ -105,9 +114,7 @@ def top_k_each(records: DataFrame, probes: DataFrame, k: int = DEFAULT_TOP_K, wh
         cols = [pa.array(np.repeat(names, best_i.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel(), pa.float32())]
         yield pa.RecordBatch.from_arrays(cols, names=["probe_id", "id", "score"])
 
-    part = apply_filter(records, where).select("id", "vector").mapInArrow(run, "probe_id long, id long, score float")
-    ranked = part.withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).drop("rank")
+    return apply_filter(records, where).select("id", "vector").mapInArrow(run, "probe_id long, id long, score float")
 
 
 class Query:
@@ -128,4 +135,4 @@ class Query:
     def run(self, db) -> DataFrame:
         dim = db.dim(self.collection)
         check_vector(self.vector, dim)
-        return top_k(db.records(self.collection), self.vector, self.k, self.where)
+        return top_k(db.records(self.collection, pos=False), self.vector, self.k, self.where)

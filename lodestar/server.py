@@ -75,6 +75,8 @@ class Api:
             return e.status, {"error": {"code": e.code, "message": str(e)}}
         except LodestarError as e:
             return e.status, {"error": {"code": e.code, "message": str(e)}}
+        except Exception as e:  # the client gets a reply, whatever happens
+            return 500, {"error": {"code": "internal_error", "message": f"{type(e).__name__}: {str(e)[:500]}"}}
 
     @staticmethod
     def _body(body: bytes, required: dict[str, type], optional: dict[str, type] | None = None) -> dict[str, Any]:
@@ -96,7 +98,10 @@ class Api:
     def _vector(v: list[Any]) -> list[float]:
         if not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v):
             raise HttpError(400, "invalid_request", "a vector holds numbers")
-        return [float(x) for x in v]
+        try:
+            return [float(x) for x in v]
+        except OverflowError:
+            raise HttpError(400, "invalid_request", "a number of the vector is out of range") from None
 
     def ready(self, at, body):
         return 200, {"status": "ready", "collections": len(self.db.list_collections())}

@@ -3,16 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Protocol
 
-from ..errors import ConflictError
+from ..errors import ConflictError, ParseError
 from ..functions.checks import validate_key, version_of
 
 
+def work_folder(spark, name: str) -> str:
+    """A new folder for a database of a query, removed when the JVM ends: in the shared folder of the cluster, or a temporary one where all runs in one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and spark.sparkContext.master.startswith("local"):
+        return _passing(spark, tempfile.mkdtemp(prefix=f"lodestar-{name}-"))
+    if shared is None or not (shared.startswith("file:") or shared.startswith("/")):
+        raise ParseError("a database needs a file system that driver and executors share, named by spark.checkpoint.dir")
+    return _passing(spark, f"{re.sub('^file:/*', '/', shared).rstrip('/')}/lodestar-{name}-{uuid.uuid4().hex}")
+
+
+def _passing(spark, path: str) -> str:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 class ObjectStore(Protocol):
     def get(self, key: str) -> tuple[bytes, str] | None: ...
     def put(self, key: str, data: bytes) -> str: ...
@@ -25,7 +43,7 @@ class LocalStorage:
     """Files under a root; a put appears whole or not at all, a conditional put holds a lock file."""
 
     def __init__(self, root: str):
-        self.root = Path(root.removeprefix("file://"))
+        self.root = Path(re.sub("^file:/*", "/", root))
         self.root.mkdir(parents=True, exist_ok=True)
         self._mutex = threading.Lock()
 

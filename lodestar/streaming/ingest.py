@@ -1,9 +1,9 @@
 """Streaming ingest of operations into a collection, micro-batch by micro-batch.
 
-An extension: the batch engine has no streams. Each micro-batch is one committed bulk
-write; within a batch the last put of an id wins, and deletes of the batch follow its puts
-where they came later. A batch that was committed before a failure is replayed without
-effect, since replay keeps the last operation of an id.
+An extension: the batch engine has no streams. Each micro-batch is one committed bulk write
+of puts and deletes; within a batch the last operation of an id wins. A batch that was
+committed before a failure is replayed without effect, since the last operation of an id
+decides.
 """
 
 from __future__ import annotations
@@ -16,18 +16,12 @@ from ..database import Database
 from ..operators.replay import last_of_each
 
 
-def ingest(ops: DataFrame, db: Database, name: str, checkpoint: str, available_now: bool = True, max_deletes: int = 10_000) -> StreamingQuery:
+def ingest(ops: DataFrame, db: Database, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """ops: a streaming DataFrame (ordinal, op, id, vector, metadata)."""
 
     def write(batch: DataFrame, _: int) -> None:
         last = last_of_each(batch.select("ordinal", "id", "op", "vector", "metadata"))
-        puts = last.where("op = 'put'").select("id", "vector", "metadata")
-        db.upsert_df(name, puts)
-        gone = [r[0] for r in last.where("op = 'delete'").select("id").limit(max_deletes + 1).collect()]
-        if len(gone) > max_deletes:
-            raise ValueError(f"more than {max_deletes} deletes in a micro-batch; lower the trigger size")
-        for id in gone:
-            db.delete(name, id)
+        db.write_ops(name, last.select("id", "op", "vector", "metadata"))
 
     out = ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

@@ -1,6 +1,11 @@
 import json
+import os
 import random
+import socket
+import string
+from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +13,7 @@ from hypothesis import strategies as st
 from lodestar.config import DbConfig, SyncMode
 from lodestar.database import Database
 from lodestar.errors import CollectionExists, CollectionNotFound, ConflictError, CorruptError, DimMismatch, EmptyVector, EncodingError, ParseError
-from lodestar.functions.checks import crc32, parse_metadata, parse_vector, validate_key, version_of
+from lodestar.functions.checks import crc32, parse_metadata, parse_vector, validate_key, validate_name, version_of
 from lodestar.operators.replay import assign_ids, replay
 from lodestar.operators.search import Query
 from lodestar.sources.collection import StoredCollection
@@ -52,27 +57,42 @@ def test_crud_and_reopen(spark, root):
 
 def test_validation(spark, root):
     with Database(spark, root) as db:
-        for bad in ("", "..", ".", "a/b", "a b", "x" * 65):
-            with pytest.raises(ParseError):
-                db.create_collection(bad, 2)
         with pytest.raises(EmptyVector):
-            db.create_collection("ok_name-2", 0)
-        db.create_collection("ok_name-2", 2)
-        for call in (lambda: db.add("ok_name-2", []), lambda: db.query(Query("ok_name-2", []))):
+            db.create_collection("items", 0)
+        db.create_collection("items", 2)
+        for call in (lambda: db.add("items", []), lambda: db.query(Query("items", []))):
             with pytest.raises(EmptyVector):
                 call()
-        for call in (lambda: db.add("ok_name-2", [1]), lambda: db.query(Query("ok_name-2", [1.0, 2.0, 3.0])), lambda: db.upsert_many("ok_name-2", [{"vector": []}])):
+        for call in (lambda: db.add("items", [1]), lambda: db.query(Query("items", [1.0, 2.0, 3.0])), lambda: db.upsert_many("items", [{"vector": []}])):
             with pytest.raises(DimMismatch):
                 call()
         for call in (lambda: db.add("no", [1]), lambda: db.query(Query("no", [])), lambda: db.drop_collection("no"), lambda: db.stats("no")):
             with pytest.raises(CollectionNotFound):
                 call()
         with pytest.raises(ParseError):
-            db.insert("ok_name-2", 1 << 63, [1, 2])
+            db.insert("items", 1 << 63, [1, 2])
         with pytest.raises(EncodingError):
-            db.insert("ok_name-2", 1, [1, 2], {"x": float("nan")})
+            db.insert("items", 1, [1, 2], {"x": float("nan")})
         with pytest.raises(ParseError):
-            db.upsert_many("ok_name-2", [])
+            db.upsert_many("items", [])
+
+
+ALLOWED = string.ascii_letters + string.digits + "_-"
+
+
+@given(st.text(ALLOWED, min_size=1, max_size=64), st.characters().filter(lambda c: c not in ALLOWED), st.integers(0, 64))
+@settings(max_examples=200, deadline=None)
+def test_names(name, other, at):
+    """Names on both sides of the rule: 1 to 64 of the allowed characters."""
+    assert validate_name(name) == name
+    for wrong in (name[:at] + other + name[at:], (name + name[0] * 64)[:65], name[:0]):
+        with pytest.raises(ParseError):
+            validate_name(wrong)
+
+
+def test_names_are_checked(spark, root):
+    with Database(spark, root) as db, pytest.raises(ParseError):
+        db.create_collection("no/name", 2)
 
 
 def test_upsert_and_ids(spark, root):
@@ -131,7 +151,7 @@ def test_uncommitted_files_are_swept_and_damage_is_loud(spark, root, tmp_path):
     db = Database(spark, root)
     db.add("c", [3, 0])
     crash(db)
-    file = next(p for p in log.iterdir() if not p.name.startswith("."))
+    file = log / json.loads((tmp_path / "db" / "c" / "manifest.json").read_text())["log"][-1]["file"]  # one that is in use
     data = bytearray(file.read_bytes())
     data[40] ^= 1
     file.write_bytes(data)
@@ -170,6 +190,138 @@ def test_one_writer(spark, root, tmp_path):
     crash(db)
 
 
+def test_one_writer_in_one_process(spark, root):
+    """A second database of this process does not take the lock; a lock of this process's id that it does not hold is stale."""
+    with Database(spark, root), pytest.raises(ConflictError):
+        Database(spark, root)
+    lock = Path(root, ".writer")
+    lock.write_text(f"{socket.gethostname()} {os.getpid()}")
+    with Database(spark, root):
+        pass
+    lock.write_text("another-host 1")
+    with pytest.raises(ConflictError):
+        Database(spark, root)
+
+
+def test_searches_with_a_log_tail_move_no_vectors(spark, root):
+    """The snapshot is filtered by the ids of the log where it is read; only hits move."""
+    with Database(spark, root) as db:
+        db.create_collection("c", 2)
+        db.upsert_df("c", spark.createDataFrame([(i, [float(i), 1.0], "{}") for i in range(50)], "id long, vector array<float>, metadata string"))
+        db.checkpoint("c")
+        db.delete("c", 49)
+        db.insert("c", 3, [100.0, 0.0], {"new": 1})
+        found = db.query(Query("c", [1.0, 0.0]).top_k(3))
+        rows = [r["id"] for r in found.collect()]
+        assert rows == [3, 48, 47] and db.stats("c")["records"] == 49
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        final = plan.partition("== Initial Plan ==")[0]
+        assert "SortMergeJoin" not in final and "LeftAnti" in final and "BroadcastHashJoin" in final
+        assert "ReadSchema" in plan and "pos:bigint" not in plan
+        assert [r["id"] for r in db.all_records("c").collect()] == list(range(49))  # a put over a record keeps its place
+
+
+def test_get_and_delete_through_buffer_log_and_snapshot(spark, root):
+    db = Database(spark, DbConfig(root).with_sync_mode(SyncMode.BATCH, 3))
+    db.create_collection("c", 1)
+    db.upsert_many("c", [{"vector": [0.1], "metadata": {"i": i}} for i in range(3)])
+    db.checkpoint("c")
+    db.insert("c", 2, [9.0])
+    db.delete("c", 3)
+    db.insert("c", 7, [7.0])  # flushed: three operations
+    db.insert("c", 8, [0.1])  # buffered
+    got = {i: db.get("c", i) for i in (1, 2, 3, 7, 8, 99)}
+    assert got[1]["vector"] == got[8]["vector"] == [np.float32(0.1)] and json.loads(got[1]["metadata"]) == {"i": 0}
+    assert got[2]["vector"] == [9.0] and got[7]["vector"] == [7.0] and got[3] is got[99] is None
+    assert not db.delete("c", 3) and not db.delete("c", 99) and db.delete("c", 8) and not db.delete("c", 8)
+    for id in (-1, 1 << 63, 10**30):
+        assert db.get("c", id) is None and not db.delete("c", id)
+    db.close()
+
+
+def test_many_small_files_become_one(spark, root, monkeypatch):
+    monkeypatch.setattr("lodestar.sources.collection.COMPACT", 4)
+    db = Database(spark, root)
+    db.create_collection("c", 1)
+    for i in range(11):
+        db.add("c", [i])
+    assert len(db._open["c"].manifest.log) <= 5
+    crash(db)
+    with Database(spark, root) as db:
+        assert sorted(state(db)) == list(range(1, 12))
+
+
+def test_bad_bulk_rows_refuse_the_whole(spark, root):
+    """Nothing of a refused batch is written, and the collection works on."""
+    shape = "ordinal long, id long, vector array<float>, metadata string"
+    good = (0, 1, [1.0, 2.0], "{}")
+    with Database(spark, root) as db:
+        db.create_collection("c", 2)
+        for bad in ([good, (1, -5, [1.0, 2.0], "{}")], [(0, 5, [1.0, 2.0], "{bad")], [(0, 5, [1.0, None], "{}")], [good, (2, 3, [1.0, 2.0], "{}")], [good, (0, 3, [1.0, 2.0], "{}")]):
+            with pytest.raises(ParseError):
+                db.upsert_df("c", spark.createDataFrame(bad, shape))
+        with pytest.raises(DimMismatch):
+            db.upsert_df("c", spark.createDataFrame([(0, 5, None, "{}")], shape))
+        assert db.stats("c")["ops_since_snapshot"] == 0
+        db.upsert_df("c", spark.createDataFrame([good, (1, None, [3.0, 4.0], None)], shape))
+        assert [r["id"] for r in db.query(Query("c", [1.0, 0.0]).filter("x = 1")).collect()] == []
+        assert state(db) == {1: ([1.0, 2.0], {}), 2: ([3.0, 4.0], {})}
+
+
+def test_bulk_deletes_are_one_commit(spark, root):
+    with Database(spark, root) as db:
+        db.create_collection("c", 1)
+        db.upsert_df("c", spark.createDataFrame([(i, [1.0], "{}") for i in range(6)], "id long, vector array<float>, metadata string"))
+        db.checkpoint("c")
+        ops = [(0, "delete", 1, None, None), (1, "put", 9, [5.0], None), (2, "delete", 2, None, None), (3, "put", 2, [2.0], '{"back":1}')]
+        db.write_ops("c", spark.createDataFrame(ops, "ordinal long, op string, id long, vector array<float>, metadata string"))
+        assert sorted(state(db)) == [0, 2, 3, 4, 5, 9] and state(db)[2] == ([2.0], {"back": 1})
+        assert [r["id"] for r in db.all_records("c").collect()] == [0, 3, 4, 5, 9, 2]
+        for wrong in ((0, "delete", None, None, None), (0, "drop", 1, None, None), (0, None, 1, None, None)):
+            with pytest.raises(ParseError):
+                db.write_ops("c", spark.createDataFrame([wrong], "ordinal long, op string, id long, vector array<float>, metadata string"))
+        assert db.add("c", [1.0]) == 10
+
+
+def test_readers_outlive_a_checkpoint(spark, root):
+    """A search made before a checkpoint still runs after it; with no time to stay, replaced files go at once."""
+    with Database(spark, root) as db:
+        db.create_collection("c", 1)
+        db.add("c", [1.0])
+        db.checkpoint("c")
+        db.add("c", [2.0])
+        before = db.query(Query("c", [1.0]))
+        db.checkpoint("c")
+        assert len(before.collect()) == 2
+        assert len(list(Path(root, "c", "snapshots").iterdir())) == 2
+    with Database(spark, DbConfig(root, retain_seconds=0)) as db:
+        assert [p.name for p in Path(root, "c", "snapshots").iterdir()] == ["gen=00000002"]
+        db.add("c", [3.0])
+        db.checkpoint("c")
+        assert [p.name for p in Path(root, "c", "snapshots").iterdir()] == ["gen=00000003"] and not list(Path(root, "c", "oplog").glob("0*"))
+
+
+@pytest.mark.parametrize("where", ["oplog", "snapshots"])
+def test_a_lost_part_is_loud(spark, root, where):
+    db = Database(spark, root)
+    db.create_collection("c", 1)
+    db.upsert_df("c", spark.createDataFrame([(i, [1.0], "{}") for i in range(40)], "id long, vector array<float>, metadata string").repartition(4))
+    if where == "snapshots":
+        db.checkpoint("c")
+    crash(db)
+    part = max(Path(root, "c", where).glob("*/part-*"), key=lambda p: p.stat().st_size)
+    data = part.read_bytes()
+    part.unlink()
+    with pytest.raises(CorruptError):
+        Database(spark, root)
+    part.write_bytes(data[:100])
+    with pytest.raises(CorruptError):
+        Database(spark, root)
+    part.write_bytes(data)
+    with Database(spark, root) as db:
+        assert len(state(db)) == 40
+
+
 def test_upsert_df(spark, root):
     with Database(spark, root) as db:
         db.create_collection("c", 2)

@@ -40,7 +40,8 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_http(spark, tmp_path):
     with Database(spark, str(tmp_path / "d")) as db:
-        server = serve(Api(db, "secret", "main", max_batch=3), 0, 10_000)
+        api = Api(db, "secret", "main", max_batch=3)
+        server = serve(api, 0, 10_000)
         threading.Thread(target=server.serve_forever, daemon=True).start()
 
         def call(method, path, body=None, key="secret"):
@@ -76,10 +77,15 @@ def test_http(spark, tmp_path):
         assert call("POST", f"{base}/none/query", {"vector": [1]}) == (404, "not_found")
         assert call("DELETE", f"{base}/c/vectors/9")[0] == 204
         assert call("DELETE", f"{base}/c/vectors/9") == (404, "not_found")
+        assert call("DELETE", f"{base}/c/vectors/{10**20}") == (404, "not_found")
+        assert call("PUT", f"{base}/c/vectors/{10**20}", {"vector": [1, 1]}) == (400, "invalid_request")
+        assert call("POST", f"{base}/c/query", {"vector": [10**400, 1]}) == (400, "invalid_request")
         assert call("POST", f"{base}/c/query", {"vector": [0] * 9000})[0] == 413
         assert call("GET", "/v1/databases/other/collections") == (404, "not_found")
         assert call("GET", "/nowhere") == (404, "not_found")
         assert call("DELETE", f"{base}/c")[0] == 204
+        api.db = None  # whatever goes wrong, the client gets a reply
+        assert call("GET", base) == (500, "internal_error")
         server.shutdown()
         server.server_close()
 
