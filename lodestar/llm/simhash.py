@@ -362,7 +362,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(rows: DataFrame, nodes: DataFrame, radius: int, far: int, shingle: int, least: float, scratch: Scratch, limit: int = 20_000, block: int = 1000, block_bytes: int = 8 << 20) -> DataFrame:
+def verified(rows: DataFrame, nodes: DataFrame, radius: int, far: int, shingle: int, least: float, scratch: Scratch, limit: int = 20_000, block: int = 500, block_bytes: int = 8 << 20) -> DataFrame:
     """Edges (a, b), all with a Jaccard similarity of `least`, that connect every such pair within a component of candidates.
 
     The forest of the candidates is verified first. Where a component of candidates is not
