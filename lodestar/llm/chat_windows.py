@@ -10,11 +10,13 @@ where it has that role) opens every window; turns before the span are repeated a
 they fit in the history budget; new turns follow until the window budget is full, one at
 least. Every turn is new in exactly one window. The loss mask lies over the texts of new
 assistant turns; repeated ones are masked. A turn counts a quarter of its UTF-8 bytes,
-rounded up, and TURN_TOKENS for the template.
+rounded up, and TURN_TOKENS for the template: a fixed rule, not a tokenizer's count.
 
 Rows are ordered by turn, then role, then text (nulls first), so repeated and tied rows
 have a defined place. A null role or text is empty; a null conv_id is a conversation of
-its own. Only numbers of a conversation are folded as a whole; texts meet per window.
+its own. Repeated rows are turns each; a turn over the budget is a window of its own, whole.
+Only numbers of a conversation are folded as a whole; texts meet per window. Other columns
+are not read, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 ESCAPES = [("\\", "\\0"), ("<", "\\1"), ("[", "\\2")]
 LINE = ("\n", "\\3")
 TURN_TOKENS = 4
-NONE = -(1 << 63)
+
+
+def _key(c: Column) -> Column:
+    """The conversation: one for nulls, apart from all numbers."""
+    return F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit(0)).cast("long").alias("id")).alias("key")
 
 
 def escape(c: Column, more: list[tuple[str, str]] = []) -> Column:  # noqa: B006
@@ -45,7 +51,7 @@ def unescape(c: Column, more: list[tuple[str, str]] = []) -> Column:  # noqa: B0
 def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """conv_id, window, formatted, n_repeated, loss (start, length) in code points from 1."""
     rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE)).alias("key"),
+        _key(F.col("conv_id").cast("long")),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -95,7 +101,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
                     case when g.new and g.target then concat(s.loss, array(struct(s.at + char_length(g.open) as start, char_length(g.body) as length))) else s.loss end as loss)).loss"""
     )
     return packed.select(
-        F.when(F.col("key") != NONE, F.col("key")).alias("conv_id"),
+        F.when(~F.col("key.none"), F.col("key.id")).alias("conv_id"),
         "window",
         F.expr("array_join(transform(segs, g -> concat(g.open, g.body, '</s>')), '')").alias("formatted"),
         F.expr("size(filter(segs, g -> not g.new))").alias("n_repeated"),
@@ -107,7 +113,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     """Per conversation what its formatted windows hold: turns and texts under the loss mask."""
     segments = F.expr("slice(split(formatted, '</s>', -1), n_repeated + 1, greatest(size(split(formatted, '</s>', -1)) - 1 - n_repeated, 0))")
     read = windows.select(
-        F.coalesce("conv_id", F.lit(NONE)).alias("key"),
+        _key(F.col("conv_id")),
         "window",
         segments.alias("segs"),
         F.expr("array_join(transform(loss, x -> substring(formatted, x.start, x.length)), '')").alias("under"),
@@ -122,7 +128,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     whole = read.groupBy("key").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "turns", "under"))).alias("list"), F.sum("chars").alias("formatted_chars"))
     turns, under = F.array_join(F.col("list.turns"), ""), F.array_join(F.col("list.under"), "")
     return whole.select(
-        F.when(F.col("key") != NONE, F.col("key")).alias("conv_id"),
+        F.when(~F.col("key.none"), F.col("key.id")).alias("conv_id"),
         F.col("n_turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length(under).cast("long").alias("loss_chars"),

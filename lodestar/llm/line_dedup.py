@@ -14,7 +14,7 @@ character are left alone, and so are single short lines.
 2. The other documents are written once to the shared folder under row keys. Map tasks
    collapse equal chunks of a bounded window, so that a chunk which a third of all rows
    share is a few entries; owner tasks stream the entries in hash order and compare bytes
-   with every text of the chain, as in exact_dedup.py.
+   with every text of the chain, hot ones in two steps, as in exact_dedup.py.
 3. Removals come back by row key, not by chunk.
 
 Null texts stay null, empty ones empty; very long texts are chunked whole. Rows with equal
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exact_dedup import CLASS, _owners
+from .exact_dedup import HOT, classes
 from .shared import Scratch, bitmap, in_bitmap, packed, signed, slices, unpacked
 
 MIN_LINES, MAX_LINES, DIVISOR, LONG = 2, 32, 2, 96
@@ -149,7 +149,7 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(removed_lines, pa.int64())], names=["row", "text", "removed_lines"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: str | None = None, window_bytes: int = 8 << 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: str | None = None, window_bytes: int = 8 << 20, hot: int = HOT) -> DataFrame:
     """docs with repeated chunks removed from the text; `counted` names a column for the lines removed."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -165,8 +165,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     occ = scratch.write(mixed.select("doc_id", "key", "text").mapInArrow(_occurrences(table, window_bytes), OCC), "occurrences", "lz4")
     heads = occ.where("h is not null").select("gid", "h", "n", "top", "body")
-    classes = heads.repartition("h").sortWithinPartitions("h").mapInArrow(_owners, CLASS)
-    gone = occ.select("gid", "key", "no", "first").join(classes, "gid").where("not (first and gid = keep_gid)")
+    found = classes(heads, lambda rows: rows.repartition("h").sortWithinPartitions("h"), scratch, hot)
+    gone = occ.select("gid", "key", "no", "first").join(found, "gid").where("not (first and gid = keep_gid)")
     lists = gone.groupBy("key").agg(F.collect_list("no").alias("gone"))
     changed = mixed.join(lists, "key", "left").select("row", "text", "gone")
     done = changed.mapInArrow(_apply, T.StructType([shape["row"], shape["text"], T.StructField("removed_lines", T.LongType())]))

@@ -17,7 +17,10 @@ The README says why the lattice is not made of Spark rows. Nothing is shuffled:
 encodes its own documents, and keeps the ids of words up to a limit that changes no id.
 Words of over LONGEST characters are merged one by one by the same rule.
 
-Null and empty texts have no pieces. Rows are encoded one by one, equal ones equally.
+Null and empty texts have no pieces. Rows are encoded one by one, equal ones equally, and
+very long texts whole. Other columns are not read, so their names can't clash. An empty table
+gives an empty result. A vocabulary of another kind, one that normalises texts, or one with
+ids of over 16 bits is refused.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from .shared import documents, slices
 
 MARK = "▁"
 LONGEST = 62
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
+#: Texts that normalising vocabularies change, and some that others read differently.
+PROBES = ["", " ", "  two  spaces ", "Ａ① ﬁ", "e\u0301 é", "A\tb\nc\r\n", "\u00a0x\u3000y", "the end of the nation's 1234", "\U0001f600 中文 ▁"]
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CODED = "doc_id long, ids array<int>"
 
@@ -50,7 +55,9 @@ class Vocabulary:
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in every if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        #: What each id spells; marks are spaces.
+        self.spelt = [bytes([byte_of[i]]) if i in byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         self.rank = {self.pieces[i]: order[sp.get_score(i)] for i in plain if len(self.pieces[i]) > 1}
         self.longest = max(map(len, self.ids))
@@ -62,6 +69,10 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("pieces of this vocabulary cross units")
+        if len(self.pieces) > 1 << 16 or len(self.bytes) < 256:
+            raise ValueError("ids must be below 65536, and there must be a piece for every byte")
+        self.library = sp
+        self.check()
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -125,16 +136,16 @@ class Vocabulary:
             offer(a)
         return [p for p in parts if p]
 
+    def check(self) -> None:
+        """Is it a vocabulary of the kind that is encoded here? Samples of its own pieces and of odd texts must agree with the library."""
+        rest = self.pieces[:: max(1, len(self.pieces) // 400)]
+        for text in (*PROBES, " ".join(rest).replace(MARK, " "), "".join(rest).replace(MARK, "")):
+            if np.frombuffer(self.encode([text])[0], "<u2").tolist() != self.library.encode(text):
+                raise ValueError(f"this vocabulary is not of the BPE kind, or it normalises texts: {text[:40]!r}")
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes decode together, marks are spaces, the first one goes."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.pieces[i].encode()
-            else:
-                out.append(b)
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -32,10 +35,13 @@ def bounded(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables of one operator run in the shared folder; removed when the JVM ends, or by drop()."""
+    """Tables of one operator run in the shared folder; removed when the JVM ends, or by drop() and clear()."""
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         bounded(spark)
+        self.made.append(self)
         self.spark = spark
         self.base = f"{shared_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
         self._fs(self.base)[0].deleteOnExit(self._fs(self.base)[1])
@@ -51,10 +57,16 @@ class Scratch:
         df.write.option("compression", codec).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        fs, p = self._fs(f"{self.base}/{name}")
+    def drop(self, name: str = "") -> None:
+        fs, p = self._fs(f"{self.base}/{name}" if name else self.base)
         fs.delete(p, True)
 
+    @classmethod
+    def clear(cls, since: int = 0) -> None:
+        """Remove the tables of all runs but the first `since`; for callers that have written all results."""
+        while len(cls.made) > since:
+            cls.made.pop().drop()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

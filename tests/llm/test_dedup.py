@@ -35,6 +35,27 @@ def test_exact(odd, window):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+@pytest.mark.parametrize("hot", [1, 2, 1000])
+def test_texts_of_many_windows(spark, hot):
+    """A text in every window is compared by several owners first; classes are the same, for lines too."""
+    same, lines = "Hot Text", "one line\nand another\nand a third"
+    rows = [(i, same if i % 3 else f"text {i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup(docs, window_bytes=1, hot=hot).collect()
+    of = {}
+    for i, t in rows:
+        of.setdefault(norm(t), []).append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, max(g), len(g), i == max(g)) for g in of.values() for i in g}
+    docs = spark.createDataFrame([(i, lines) for i in range(40)], "doc_id long, text string").repartition(5)
+    assert sorted(r.text for r in line_dedup(docs, window_bytes=1, hot=hot).collect()) == [""] * 39 + [lines]
+
+
+def test_directory_of_larger_data(monkeypatch, odd):
+    """The directory stays bounded; its buckets grow instead."""
+    monkeypatch.setattr("lodestar.llm.exact_dedup.MAX_DEPTH", 2)
+    assert exact_dedup(odd, bucket_bytes=1).count() == len(odd_rows())
+
+
 def test_exact_collisions():
     """With a hash that always collides only the bytes decide."""
     from lodestar.llm import exact_dedup as m

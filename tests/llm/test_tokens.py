@@ -226,3 +226,24 @@ def test_small_word_limit(monkeypatch, sp):
     t = [r[1] or "" for r in odd_rows()]
     got = [np.frombuffer(x, "<u2").tolist() for k in range(0, len(t), 4) for x in vocabulary(SP).encode(t[k : k + 4])]
     assert got == [sp.encode(x) for x in t]
+
+
+def test_other_vocabularies_are_refused(tmp_path, monkeypatch):
+    """Where the library reads a sample differently, nothing is encoded."""
+    from lodestar.llm import pieces
+
+    voc = pieces.Vocabulary(SP)
+
+    class Other:
+        def encode(self, text):
+            return voc_library.encode(text.upper())
+
+    voc_library, voc.library = voc.library, Other()
+    with pytest.raises(ValueError):
+        voc.check()
+
+
+def test_decoding_bytes(sp):
+    ids = sp.encode("x \U0001f600\x07 é")
+    voc = vocabulary(SP)
+    assert voc.decode(ids) == sp.decode(ids) and voc.decode(ids[:4]) == sp.decode(ids[:4]) and voc.decode([]) == ""
