@@ -100,7 +100,7 @@ def _features(batches):
 
 
 def _one_hot(meta: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(meta), BUCKETS))
+    out = np.zeros((len(meta), BUCKETS), np.uint8)
     for k in range(meta.shape[1]):
         out[np.arange(len(meta)), meta[:, k]] = 1
     return out
@@ -116,14 +116,21 @@ class Logistic:
     weight: np.ndarray = field(default=None)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        w, keep = np.zeros(z.shape[1]), np.full(z.shape[1], self.ridge)
+        """x may be of any number type; it is widened a block of rows at a time."""
+        blocks = [slice(k, k + 4096) for k in range(0, len(x), 4096)]
+        self.mean = sum(x[b].sum(axis=0, dtype=float) for b in blocks) / len(x)
+        self.scale = np.sqrt(sum(((x[b] - self.mean) ** 2).sum(axis=0) for b in blocks) / len(x)) + 1e-6
+        d = x.shape[1] + 1
+        w, keep = np.zeros(d), np.full(d, float(self.ridge))
         keep[-1] = 1e-6
         for _ in range(20):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + keep * w
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep), grad)
+            grad, curve = keep * w, np.diag(keep)
+            for b in blocks:
+                z = np.column_stack([(x[b] - self.mean) / self.scale, np.ones(len(x[b]))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                grad += z.T @ (p - y[b])
+                curve += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+            step = np.linalg.solve(curve, grad)
             w -= step
             if np.abs(step).max() < 1e-5:
                 break
@@ -131,7 +138,8 @@ class Logistic:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weight[:-1] + self.weight[-1], -30, 30)
+        slope = self.weight[:-1] / self.scale
+        return np.clip(x @ slope + (self.weight[-1] - self.mean @ slope), -30, 30)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,13 +162,15 @@ class CoTrained:
         return _sigmoid(self.mix.logit(np.column_stack(self.views(content, meta))))
 
 
-def _arrays(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    def flat(name: str, k: int) -> np.ndarray:
-        col = b.column(name)
-        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-        return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+def _flat(b: pa.RecordBatch | pa.Table, name: str, k: int) -> np.ndarray:
+    """A column of lists of k numbers as rows."""
+    col = b.column(name)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
 
-    return flat("content", CONTENT).astype(float), flat("meta", 3).astype(np.int64)
+def _arrays(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _flat(b, "content", CONTENT), _flat(b, "meta", 3)
 
 
 def _sure(sent, confidence: float, most: int):
@@ -222,16 +232,13 @@ def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3,
         calibrating = combining = held
     fitting = np.ones(len(y), bool) if held.all() else ~held
     most = max(LEAST, int(per_round * len(y)))
-    extra: dict[int, list] = {0: [], 1: []}
+    # what each view is taught: its own kind of features, and labels
+    views = [[content[fitting]], [hot[fitting]]], [[y[fitting]], [y[fitting]]]
     given: list[list[int]] = [[], []]
     model = None
     for k in range(rounds + 1):
-        xs, ys = [content[fitting], hot[fitting]], [y[fitting], y[fitting]]
-        for view, more in extra.items():
-            if more:
-                add = np.array([r[0] for r in more]) if view == 0 else _one_hot(np.array([r[1] for r in more]))
-                xs[view], ys[view] = np.concatenate([xs[view], add]), np.concatenate([ys[view], [r[2] for r in more]])
-        model = CoTrained(Logistic(50.0).fit(xs[0], ys[0]), Logistic(10.0).fit(xs[1], ys[1]))
+        taught = [(np.concatenate(xs), np.concatenate(ys)) for xs, ys in zip(*views)]
+        model = CoTrained(Logistic(50.0).fit(*taught[0]), Logistic(10.0).fit(*taught[1]))
         if k == rounds:
             break
         sent = spark.sparkContext.broadcast((model, [np.array(g, np.int64) for g in given]))
@@ -242,13 +249,15 @@ def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3,
             tops = []
             for label in (0, 1):
                 mine = sure.where((F.col("view") == view) & (F.col("label") == label)).groupBy("same").agg(F.min(F.struct((-F.col("sure")).alias("doubt"), "order", "content", "meta")).alias("r"))
-                tops.append(mine.orderBy("r.doubt", "r.order", "same").limit(most).collect())
+                tops.append(mine.orderBy("r.doubt", "r.order", "same").limit(most).select("same", "r.content" if view else "r.meta").toArrow())
             # both classes in the shares that the labels have, so that no class grows over the other
-            whole = min(len(tops[1]) / share, len(tops[0]) / (1 - share))
+            whole = min(tops[1].num_rows / share, tops[0].num_rows / (1 - share))
             for label, top in enumerate(tops):
-                for r in top[: round(whole * (share if label else 1 - share))]:
-                    given[view].append(r["same"])
-                    extra[1 - view].append((r["r"]["content"], r["r"]["meta"], float(label)))  # for the other view
+                top = top.slice(0, round(whole * (share if label else 1 - share)))
+                given[view] += top.column("same").to_pylist()
+                # for the other view
+                views[0][1 - view].append(_flat(top, "content", CONTENT) if view else _one_hot(_flat(top, "meta", 3)))
+                views[1][1 - view].append(np.full(top.num_rows, float(label)))
     raw = model.views(content, meta)
     model.calibration = tuple(Logistic(0.1).fit(z[calibrating][:, None], y[calibrating]) for z in raw)
     model.mix = Logistic(0.1).fit(np.column_stack(model.views(content[combining], meta[combining])), y[combining])
