@@ -55,7 +55,7 @@ def op7_language_id(spark, sf_dir):
     rest = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 3
     docs = table(spark, sf_dir, "documents")
     found = language_id(docs, rest(F.col("doc_id")) != 1)
-    return found.select("doc_id", (rest(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (rest(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 def op8_chat_windows(spark, sf_dir):
@@ -99,7 +99,47 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
+PUNCT = """.,;:!?"''()[]{}<>|*-_#"""
+
 ORACLE = {
+    # every diagonal of every item and document by the words that are equal in place
+    "op3_decontaminate": rf"""
+        WITH d AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(lower(text), '[^\s]+'), lambda w: trim(w, '{PUNCT}')), lambda w: w <> '') AS ws FROM documents),
+        b AS (SELECT item_id AS id, list_filter(list_transform(regexp_extract_all(lower(text), '[^\s]+'), lambda w: trim(w, '{PUNCT}')), lambda w: w <> '') AS ws FROM benchmark),
+        x AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM d),
+        y AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at, len(ws) AS n FROM b),
+        g AS (SELECT x.id AS doc_id, y.id AS item_id, x.at - y.at AS start, y.n AS n_words, count(*) AS n_equal FROM x JOIN y ON x.w = y.w GROUP BY ALL HAVING count(*) >= 0.8 * y.n),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) AS k FROM g)
+        SELECT doc_id, item_id, start, n_equal, n_words, n_equal / n_words AS similarity FROM r WHERE k = 1""",
+    # words of training documents, else for each character the longest n-gram seen
+    "op7_language_id": r"""
+        WITH c AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        h AS (SELECT doc_id, lang, text, hex(encode(doc_id::VARCHAR)) AS h FROM documents),
+        d AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS ws,
+                     xor(4294967295, list_reduce(list_transform(range(0, length(h), 2), lambda k: CAST('0x' || h[k + 1 : k + 2] AS BIGINT)), lambda a, x: xor(a // 256, t[(xor(a % 256, x) + 1)]), 4294967295)) % 3 = 1 AS held_out FROM h, c),
+        tok AS (SELECT doc_id, unnest(ws) AS w FROM d),
+        words AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(ws) AS w FROM d WHERE lang IS NOT NULL AND NOT held_out) GROUP BY ALL),
+        langs AS (SELECT DISTINCT lang FROM words),
+        wbase AS (SELECT lang, ln(sum(n) + 0.5 * count(*) + 1) AS base FROM words GROUP BY lang),
+        known AS (SELECT DISTINCT w FROM words),
+        kscore AS (SELECT k.w, l.lang, ln(coalesce(t.n, 0) + 0.5) - b.base AS s FROM known k CROSS JOIN langs l JOIN wbase b ON b.lang = l.lang LEFT JOIN words t ON t.w = k.w AND t.lang = l.lang),
+        marked AS (SELECT lang, chr(2) || w || chr(3) AS s FROM words),
+        cut AS (SELECT lang, s, unnest(range(1, 6)) AS k FROM marked),
+        grams AS (SELECT lang, g, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, length(s) - k + 2), lambda i: substr(s, i, k))) AS g FROM cut) GROUP BY ALL),
+        gbase AS (SELECT lang, length(g) AS k, ln(sum(n) + 0.5 * count(*) + 1) AS base FROM grams GROUP BY ALL),
+        gknown AS (SELECT DISTINCT g FROM grams),
+        unknown AS (SELECT DISTINCT w, chr(2) || w || chr(3) AS s FROM tok WHERE w NOT IN (SELECT w FROM known)),
+        ends AS (SELECT w, s, unnest(range(2, length(s) + 1)) AS e FROM unknown),
+        suffixes AS (SELECT w, s, e, unnest(range(1, least(5, e) + 1)) AS k FROM ends),
+        longest AS (SELECT w, e, max(k) AS k FROM suffixes JOIN gknown ON g = substr(s, e - k + 1, k) GROUP BY ALL),
+        each AS (SELECT x.w, l.lang, CASE WHEN b.k IS NULL THEN 5 * ln(0.4) - 10 ELSE ln(coalesce(g.n, 0) + 0.5) - coalesce(q.base, 0) + (5 - b.k) * ln(0.4) END AS s
+                 FROM ends x LEFT JOIN longest b ON b.w = x.w AND b.e = x.e CROSS JOIN langs l
+                 LEFT JOIN grams g ON g.g = substr(x.s, x.e - b.k + 1, b.k) AND g.lang = l.lang LEFT JOIN gbase q ON q.lang = l.lang AND q.k = b.k),
+        scores AS (SELECT w, lang, avg(s) AS s FROM each GROUP BY ALL UNION ALL SELECT * FROM kscore),
+        total AS (SELECT doc_id, s.lang, sum(s.s) AS s FROM tok JOIN scores s ON s.w = tok.w GROUP BY ALL),
+        top AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS best FROM total),
+        found AS (SELECT doc_id, min(lang) FILTER (WHERE s = best) AS lang, 1 / sum(exp(s - best)) AS score FROM top GROUP BY doc_id)
+        SELECT d.doc_id, held_out, coalesce(f.lang, 'und') AS lang_pred, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN found f ON f.doc_id = d.doc_id""",
     "op8_chat_windows": """
         WITH RECURSIVE c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
