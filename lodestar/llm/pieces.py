@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Texts fall into words that no merge of the vocabulary crosses: a run of word marks with
-the characters up to the next mark, and line feeds. The lattice of the words of a batch,
+Texts fall into words that no merge of the vocabulary crosses: there is a boundary between
+two characters that stand side by side in no piece. The lattice of the words of a batch,
 each once, is made of relations held as Arrow and numpy columns: the substrings (word,
 start, length) of up to the longest piece are exploded length by length and equi-joined to
 the piece table on (prefix, next character), so that what is no prefix of a piece drops
@@ -14,8 +14,8 @@ the one inside the best edge that spans exactly two current pieces, leftmost amo
 That gives the library's pieces. All words of a batch are folded in step.
 
 The README says why the lattice is not made of Spark rows. Nothing is shuffled: a task
-encodes its own documents, and keeps the ids of words up to a limit that changes no id.
-Words of over LONGEST characters are merged one by one by the same rule.
+encodes its own documents, and keeps the ids of words up to a limit that changes no id
+(words.py). Words of over LONGEST characters are merged one by one by the same rule.
 
 Null and empty texts have no pieces. Rows are encoded one by one, equal ones equally, and
 very long texts whole. Other columns are not read, so their names can't clash. An empty table
@@ -26,20 +26,19 @@ ids of over 16 bits is refused.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import documents, slices
+from .words import IdTable, Words
 
 MARK = "▁"
 LONGEST = 62
-MAX_WORDS = 300_000
+MAX_WORDS = 700_000
 #: Texts that normalising vocabularies change, and some that others read differently.
 PROBES = ["", " ", "  two  spaces ", "Ａ① ﬁ", "e\u0301 é", "A\tb\nc\r\n", "\u00a0x\u3000y", "the end of the nation's 1234", "\U0001f600 中文 ▁"]
-UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CODED = "doc_id long, ids array<int>"
 
 
@@ -66,21 +65,32 @@ class Vocabulary:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
-        self.known: dict[str, bytes] = {}
-        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.rank):
-            raise ValueError("pieces of this vocabulary cross units")
+        self.known = IdTable(self.learn, [], MAX_WORDS)
+        # characters of pieces that merges can make, numbered; which two of them stand side by side in one
+        chars = sorted({c for p in self.rank for c in p})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.side = len(chars) + 1
+        self.beside = np.zeros(self.side * self.side, bool)
+        flat = self.number[np.frombuffer("\n".join(self.rank).encode("utf-32-le"), np.uint32)]
+        self.beside[flat[:-1] * self.side + flat[1:]] = True
+        self.beside[: self.side] = self.beside[:: self.side] = False
         if len(self.pieces) > 1 << 16 or len(self.bytes) < 256:
             raise ValueError("ids must be below 65536, and there must be a piece for every byte")
         self.library = sp
         self.check()
 
-    def words(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if MARK in text or "  " in text or text[0] == " ":
-            return UNIT.findall(MARK + text.replace(" ", MARK))
-        found = (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
-        return [u for u in found if u] if "" in found else found
+    def words(self, texts: list[str | None]) -> Words:
+        """Texts as words: a mark begins each text and stands for every space."""
+        parts = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        whole = "".join(parts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        code = self.number[points]
+        cut = np.ones(len(points), bool)
+        cut[1:] = ~self.beside.take(code[:-1] * self.side + code[1:])
+        cut[stops[stops < len(points)]] = True
+        return Words(whole, points, np.flatnonzero(cut), np.concatenate([[0], np.cumsum(cut)])[stops])
 
     def ids_of(self, parts: list[str]) -> bytes:
         """Ids (little-endian 16-bit) of pieces; what is no piece is spelt in bytes."""
@@ -90,23 +100,22 @@ class Vocabulary:
             out += [i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
         return np.array(out, "<u2").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Encode words that are not known yet."""
-        short = [w for w in new if len(w) <= LONGEST]
-        for w in new:
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are not known yet, and how many each has."""
+        found: list[bytes] = [b""] * len(new)
+        short = [k for k, w in enumerate(new) if len(w) <= LONGEST]
+        for k, w in enumerate(new):
             if len(w) > LONGEST:
-                self.known[w] = self.ids_of(self.merge(list(w)))
+                found[k] = self.ids_of(self.merge(list(w)))
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
-            self.known.update(zip(part, encode_words(self, part)))
+            for k, ids in zip(part, encode_words(self, [new[i] for i in part])):
+                found[k] = ids
+        return np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        if len(self.known) > MAX_WORDS:
-            self.known = {}
-        self.learn(list(set().union(*words).difference(self.known)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and how many each has."""
+        return self.known.ids(self.words(texts))
 
     def merge(self, parts: list[str]) -> list[str]:
         """The same rule for long units: a heap of adjacent pairs over a linked list."""
@@ -140,7 +149,7 @@ class Vocabulary:
         """Is it a vocabulary of the kind that is encoded here? Samples of its own pieces and of odd texts must agree with the library."""
         rest = self.pieces[:: max(1, len(self.pieces) // 400)]
         for text in (*PROBES, " ".join(rest).replace(MARK, " "), "".join(rest).replace(MARK, "")):
-            if np.frombuffer(self.encode([text])[0], "<u2").tolist() != self.library.encode(text):
+            if self.encode([text])[0].tolist() != self.library.encode(text):
                 raise ValueError(f"this vocabulary is not of the BPE kind, or it normalises texts: {text[:40]!r}")
 
     def decode(self, ids: list[int]) -> str:
@@ -270,9 +279,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         voc = vocabulary(path)
         for b in slices(batches, 4 << 20):
-            coded = voc.encode(b.column("text").to_pylist())
-            stops = np.cumsum([0, *(len(c) // 2 for c in coded)]).astype(np.int32)
-            values = np.frombuffer(b"".join(coded), "<u2").astype(np.int32)
+            ids, n = voc.encode(b.column("text").to_pylist())
+            stops, values = np.cumsum([0, *n.tolist()]).astype(np.int32), ids.astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(values))], names=["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, CODED)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .range_coder import decode, encode
 from .shared import Scratch, documents, slices
-from .transducer import Spans, WordTable, byte_alphabet, specials_of
+from .transducer import Spans, byte_alphabet, specials_of
+from .words import IdTable
 
 STOP = "\0"
 FRAME = "file int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, block_length int, tables binary, blocks array<binary>, checksums array<long>"
@@ -58,12 +59,7 @@ class WordIds:
         stop = next(c for c, b in byte_alphabet().items() if b == ord(STOP))
         self.stop = whole.token_to_id(stop) if not any(stop in t and t != stop for t in whole.get_vocab()) else None
         self.specials = specials_of(path)
-        self.table = WordTable(most=1_200_000)
-        self.forget()
-
-    def forget(self) -> None:
-        self.ids = np.array(list(self.specials.values()), np.uint16)
-        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = IdTable(self.ask, list(self.specials.values()), most=1_200_000)
 
     def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has."""
@@ -84,22 +80,7 @@ class WordIds:
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and the number of ids of each."""
-        spans = Spans(texts, list(self.specials))
-        number, new = self.table.number(spans)
-        if self.table.n == len(new):  # emptied
-            self.forget()
-        flat, length = self.ask(new)
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, flat])
-        special = np.flatnonzero(number < 0)
-        number[special] = 0
-        size, source = (self.length[number], self.at[number]) if len(self.at) else (np.ones(len(number), np.int64), np.zeros(len(number), np.int64))
-        size[special], source[special] = 1, spans.special[special]
-        stop = np.cumsum(size)
-        every = self.ids[np.repeat(source - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-        ends = np.concatenate([[0], stop])[spans.docs]
-        return np.insert(every, ends, np.uint16(end_id)), np.diff(np.concatenate([[0], ends])) + 1
+        return self.known.ids(Spans(texts, list(self.specials)), end_id)
 
 
 @functools.cache
@@ -154,7 +135,9 @@ def read_tokens(frames: DataFrame) -> DataFrame:
     sizes = frames.select("file", "frame", "n_ids")
     inside = sizes.select("file", "frame", (F.sum("n_ids").over(W.partitionBy("file").orderBy("frame")) - F.col("n_ids")).alias("within"))
     before = inside.join(files, "file").select("file", "frame", (F.col("base") + F.col("within")).alias("before"))
-    return frames.join(before, ["file", "frame"]).drop("file", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a row of three numbers per frame of some million ids; where these are many, the frames move instead
+    small = frames.count() <= 200_000
+    return frames.join(F.broadcast(before) if small else before, ["file", "frame"]).drop("file", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

@@ -31,6 +31,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .words import Words, WordTable
+
 # Character classes: letter, contraction letters, number, space, other white space, apostrophe, other, end.
 L, C1, R, V, LL, E, N, S, W, A, O, END = range(12)
 # States: fresh, in letters, numbers, others; a white space run of one or more that ends
@@ -82,6 +84,7 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 NEXT, EMIT = _machine()
+STEP = NEXT | EMIT << 4
 
 
 @functools.cache
@@ -110,17 +113,22 @@ def classes() -> np.ndarray:
 
 
 def state_maps(codes: np.ndarray) -> np.ndarray:
-    """codes (CHUNK, m): for every chunk the state after it by the state before it, (m, 12)."""
-    m = codes.shape[1]
-    maps = np.broadcast_to(np.arange(12, dtype=np.uint8), (m, 12)).copy()
-    at = codes.astype(np.int16) * 12
-    for j in range(len(codes)):
-        maps = NEXT[at[j][:, None] + maps]
-        if j % 8 == 7 and (maps == maps[:, :1]).all():  # every chunk has forgotten its start
-            state = maps[:, 0]
-            for i in range(j + 1, len(codes)):
-                state = NEXT[at[i] + state]
-            return np.broadcast_to(state[:, None], (m, 12))
+    """codes (CHUNK, m): for every chunk the state after it by the state before it, (m, 12).
+
+    A few characters make most chunks forget where they began, so the last ones are read
+    first; chunks that remember more are read from their beginning.
+    """
+
+    def read(part: np.ndarray) -> np.ndarray:
+        maps = np.broadcast_to(np.arange(12, dtype=np.uint8), (part.shape[1], 12)).copy()
+        for row in part:
+            maps = NEXT.take((row.astype(np.intp) * 12)[:, None] + maps)
+        return maps
+
+    maps = read(codes[-16:])
+    late = np.flatnonzero((maps != maps[:, :1]).any(axis=1))
+    if len(late):
+        maps[late] = read(codes[:, late])
     return maps
 
 
@@ -141,24 +149,19 @@ def boundaries(codes: np.ndarray) -> np.ndarray:
     padded[:n] = codes
     grid = np.ascontiguousarray(padded.reshape(m, CHUNK).T)
     state = prefix_scan(state_maps(grid))
-    flags = np.empty_like(grid)
+    moved = np.empty_like(grid)  # next state and flags
     at = grid.astype(np.int16) * 12
     for j in range(CHUNK):
-        k = at[j] + state
-        flags[j] = EMIT[k]
-        state = NEXT[k]
-    flat = flags.T.ravel()[:n]
+        moved[j] = found = STEP.take(at[j] + state)
+        state = found & 15
+    flat = (moved >> 4).T.ravel()[:n]
     begins = (flat & HERE).astype(bool)
     begins[:-1] |= (flat[1:] & BACK).astype(bool)
     return np.flatnonzero(begins)
 
 
-class Spans:
-    """The pretokens of a batch of texts, as byte ranges of one buffer.
-
-    Special strings are pretokens of their own wherever they occur, as the library has it;
-    `special` has their number, or -1. docs: where each text ends in the list of pretokens.
-    """
+class Spans(Words):
+    """The pretokens of a batch of texts. Special strings are pretokens of their own wherever they occur, as the library has it."""
 
     def __init__(self, texts: Iterable[str | None], specials: list[str]):
         split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
@@ -175,8 +178,7 @@ class Spans:
                 kinds.append(-1)
             docs.append(len(parts))
         if not parts:
-            self.raw, self.buffer = bytes(16), np.zeros(16, np.uint8)
-            self.docs = self.first = self.size = self.special = np.zeros(0, np.int64)
+            super().__init__("", np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
             return
         kind = np.array(kinds, np.int64)
         length = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -188,121 +190,13 @@ class Spans:
         ends = np.cumsum(length + 1) - 1
         code[ends] = END
         begin = boundaries(code)
-        width = (points > 0x7F).view(np.uint8) + (points > 0x7FF).view(np.uint8) + (points > 0xFFFF).view(np.uint8)
-        first = begin + (np.cumsum(width, dtype=np.int64) - width)[begin] if width.any() else begin
-        self.raw = whole.encode() + bytes(16)
-        self.buffer = np.frombuffer(self.raw, np.uint8)
-        size = np.diff(np.append(first, len(self.buffer) - 16))
         at = np.searchsorted(begin, ends)  # every end is a boundary
         keep = np.ones(len(begin), bool)
         keep[at[kind < 0]] = False
         special = np.full(len(begin), -1, np.int64)
         special[at] = kind
-        self.docs = np.cumsum(keep)[at[np.asarray(docs, np.int64) - 1]]
-        self.first, self.size, self.special = first[keep], size[keep], special[keep]
-
-    def words(self, at: np.ndarray) -> list[str]:
-        """Pretokens by their places in the list."""
-        first = self.first[at]
-        return [self.raw[a:z].decode() for a, z in zip(first.tolist(), (first + self.size[at]).tolist())]
-
-
-#: Masks of the first n bytes of eight.
-_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
-
-class WordTable:
-    """Numbers of pretokens, given in the order in which they are first seen."""
-
-    def __init__(self, slots: int = 1 << 20, most: int = 400_000):
-        self.bits, self.most = slots.bit_length() - 1, most
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows = np.zeros((1 << self.bits, 3), np.uint64)  # sixteen bytes, then number and size; size 0 is an empty slot
-        self.long: dict[bytes, int] = {}
-        self.n = 0
-
-    def _slots(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-        h = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) + size
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _find(self, a, b, size, slot) -> np.ndarray:
-        """Numbers of words, -1 for those not there."""
-        out, left, top = np.full(len(a), -1, np.int64), None, len(self.rows) - 1
-        while True:
-            rows = self.rows.take(slot, axis=0)
-            held = rows[:, 2] & np.uint64(31)
-            same = (rows[:, 0] == a) & (rows[:, 1] == b) & (held == size)
-            where = np.flatnonzero(same)
-            out[where if left is None else left[where]] = (rows[where, 2] >> np.uint64(5)).astype(np.int64)
-            go = np.flatnonzero(~same & (held != 0))  # another word sits there
-            if not len(go):
-                return out
-            left = go if left is None else left[go]
-            a, b, size, slot = a[go], b[go], size[go], (slot[go] + 1) & top
-
-    def _add(self, a, b, size, slot, number) -> None:
-        """Distinct words that are not there yet."""
-        top = len(self.rows) - 1
-        while len(a):
-            free = self.rows[slot, 2] == 0
-            _, first = np.unique(slot, return_index=True)
-            won = np.zeros(len(a), bool)
-            won[first] = True
-            won &= free
-            self.rows[slot[won]] = np.column_stack([a[won], b[won], number[won] << np.uint64(5) | size[won]])
-            # the others try this slot again if it was only claimed now, and then move on
-            a, b, size, slot, number = a[~won], b[~won], size[~won], (slot[~won] + 1) & top, number[~won]
-
-    def number(self, spans: Spans) -> tuple[np.ndarray, list[str]]:
-        """The number of every pretoken (special ones: -1), and the new words in the order of their numbers."""
-        if self.n > self.most:
-            self.reset()
-        before, new = self.n, []
-        first, size = spans.first, spans.size
-        out = np.full(len(first), -1, np.int64)
-        plain = spans.special < 0
-        short = np.flatnonzero(plain & (size <= 16))
-        view = np.ndarray(len(spans.buffer) - 7, "<u8", spans.buffer, 0, (1,))
-        at, n = first[short], size[short]
-        a = view[at] & _BYTES[np.minimum(n, 8)]
-        b = view[at + 8] & _BYTES[np.maximum(n, 8) - 8]
-        wide = n.astype(np.uint64)
-        slot = self._slots(a, b, wide)
-        found = self._find(a, b, wide, slot)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
-            x, y, z = a[miss], b[miss], wide[miss]
-            order = np.lexsort((z, y, x))
-            x, y, z = x[order], y[order], z[order]
-            head = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
-            number = before + np.cumsum(head) - 1
-            found[miss[order]] = number
-            heads = np.flatnonzero(head)
-            while self.n + len(heads) > len(self.rows) * 3 // 4:  # a batch of many new words
-                self._grow()
-            pick = miss[order[heads]]
-            self._add(x[heads], y[heads], z[heads], self._slots(x[heads], y[heads], z[heads]), number[heads].astype(np.uint64))
-            new = spans.words(short[pick])
-            self.n += len(heads)
-        out[short] = found
-        for k in np.flatnonzero(plain & (size > 16)).tolist():
-            raw = spans.raw[first[k] : first[k] + size[k]]
-            if (i := self.long.get(raw)) is None:
-                i = self.long[raw] = self.n
-                self.n += 1
-                new.append(raw.decode())
-            out[k] = i
-        return out, new
-
-    def _grow(self) -> None:
-        rows = self.rows[self.rows[:, 2] != 0]
-        self.bits += 1
-        self.rows = np.zeros((1 << self.bits, 3), np.uint64)
-        size = rows[:, 2] & np.uint64(31)
-        self._add(rows[:, 0], rows[:, 1], size, self._slots(rows[:, 0], rows[:, 1], size), rows[:, 2] >> np.uint64(5))
+        super().__init__(whole, points, begin, np.cumsum(keep)[at[np.asarray(docs, np.int64) - 1]], keep)
+        self.special = special[keep]
 
 
 def specials_of(path: str) -> dict[str, int]:

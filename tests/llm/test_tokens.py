@@ -10,12 +10,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lodestar.llm import pieces
 from lodestar.llm.pieces import decode, encode, vocabulary
 from lodestar.llm.range_coder import decode as unpack
 from lodestar.llm.range_coder import encode as pack
 from lodestar.llm.token_counts import token_counts
 from lodestar.llm.token_store import token_store, word_ids
-from lodestar.llm.transducer import END, FRESH, Merger, Spans, WordTable, classes, merger, prefix_scan, state_maps
+from lodestar.llm.transducer import END, FRESH, Merger, Spans, classes, merger, prefix_scan, state_maps
+
+from lodestar.llm.words import WordTable
 
 from .conftest import odd_rows
 
@@ -75,6 +78,13 @@ def test_scan_equals_one_pass():
         s = NEXT[int(c) * 12 + s]
     grid = np.ascontiguousarray(code.reshape(-1, 16).T)
     assert prefix_scan(state_maps(grid)).tolist() == want
+    long = classes()[[ord(c) for c in "a'" + "  " * 200 + "'r" + "v" * 110]]  # chunks that remember their beginning
+    grid, want, s = np.ascontiguousarray(long[:512].reshape(-1, 64).T), [], FRESH
+    for i, c in enumerate(long[:512]):
+        if i % 64 == 0:
+            want.append(s)
+        s = NEXT[int(c) * 12 + s]
+    assert prefix_scan(state_maps(grid)).tolist() == want
     assert END == 11
 
 
@@ -175,7 +185,7 @@ def test_ids_as_the_library(bpe):
         want = [[*e.ids, 7] for e in bpe.encode_batch([x or "" for x in t], add_special_tokens=False)]
         assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
     small = type(words)(BPE)
-    small.table.most = 20
+    small.known.table.most = 20
     t = texts(200)
     got = [i for k in range(0, len(t), 10) for i in small.encode(t[k : k + 10], 0)[0].tolist()]
     assert got == [i for e in bpe.encode_batch([x or "" for x in t], add_special_tokens=False) for i in [*e.ids, 0]]
@@ -212,26 +222,30 @@ def test_pieces_of_nothing(none):
 
 
 def test_words_and_long_words(sp):
-    """A word of a text is encoded alone as the library encodes it there."""
+    """Words join to the text, no piece crosses a boundary, and a word of a text is encoded alone as the library encodes it there."""
     voc = vocabulary(SP)
-    for text in ("the end of it.", "a  b", " lead", "x\n\ny z", "é" * 70, "x" * 400 + "ation" * 30):
-        assert voc.words(text) and "".join(voc.words(text)) == "▁" + text.replace(" ", "▁")
-        assert np.frombuffer(voc.encode([text])[0], "<u2").tolist() == sp.encode(text)
+    beside = {p[i : i + 2] for p in voc.rank for i in range(len(p) - 1)}
+    for text in ("the end of it.", "a  b", " lead", "x\n\ny z", "é" * 70, "x" * 400 + "ation" * 30, "\U0001f600\U0001f600 a", "1,234.5"):
+        spans = voc.words([text, None, "", text])
+        words = spans.words(np.arange(len(spans.first)))
+        assert "".join(words) == ("▁" + text.replace(" ", "▁")) * 2 and spans.docs.tolist() == [len(words) // 2] * 3 + [len(words)]
+        half = words[: len(words) // 2]
+        assert all(a[-1] + b[0] not in beside for a, b in zip(half, half[1:])) and all(w[i : i + 2] in beside for w in half for i in range(len(w) - 1))
+        assert voc.encode([text])[0].tolist() == sp.encode(text)
 
 
-def test_small_word_limit(monkeypatch, sp):
-    from lodestar.llm import pieces
-
-    monkeypatch.setattr(pieces, "MAX_WORDS", 3)
+def test_small_word_limit(sp):
+    voc = pieces.Vocabulary(SP)
+    voc.known.table.most = 3
     t = [r[1] or "" for r in odd_rows()]
-    got = [np.frombuffer(x, "<u2").tolist() for k in range(0, len(t), 4) for x in vocabulary(SP).encode(t[k : k + 4])]
-    assert got == [sp.encode(x) for x in t]
+    for k in range(0, len(t), 4):
+        ids, n = voc.encode(t[k : k + 4])
+        want = [sp.encode(x) for x in t[k : k + 4]]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
 
 
-def test_other_vocabularies_are_refused(tmp_path, monkeypatch):
+def test_other_vocabularies_are_refused():
     """Where the library reads a sample differently, nothing is encoded."""
-    from lodestar.llm import pieces
-
     voc = pieces.Vocabulary(SP)
 
     class Other:
