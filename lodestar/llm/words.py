@@ -46,10 +46,14 @@ class WordTable:
         self.reset()
 
     def reset(self) -> None:
-        self.rows = np.zeros((1 << self.bits, 3), np.uint64)  # sixteen bytes, then number and size; size 0 is an empty slot
+        self._empty()
         self.long: dict[bytes, int] = {}
         self.n = 0
 
+    def _empty(self) -> None:
+        # sixteen bytes in two columns, then number and size; size 0 is an empty slot
+        self.low, self.high, self.tag = (np.zeros(1 << self.bits, np.uint64) for _ in range(3))
+
     def _slots(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         h = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) + size
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,13 +61,16 @@ class WordTable:
 
     def _find(self, a, b, size, slot) -> np.ndarray:
         """Numbers of words, -1 for those not there."""
-        out, left, top = np.full(len(a), -1, np.int64), None, len(self.rows) - 1
+        out, left, top = None, None, len(self.tag) - 1
         while True:
-            rows = self.rows.take(slot, axis=0)
-            held = rows[:, 2] & np.uint64(31)
-            same = (rows[:, 0] == a) & (rows[:, 1] == b) & (held == size)
-            where = np.flatnonzero(same)
-            out[where if left is None else left[where]] = (rows[where, 2] >> np.uint64(5)).astype(np.int64)
+            tag = self.tag.take(slot)
+            held = tag & np.uint64(31)
+            same = (self.low.take(slot) == a) & (self.high.take(slot) == b) & (held == size)
+            number = np.where(same, (tag >> np.uint64(5)).view(np.int64), -1)
+            if out is None:
+                out = number
+            else:
+                out[left] = number
             go = np.flatnonzero(~same & (held != 0))  # another word sits there
             if not len(go):
                 return out
@@ -72,15 +79,15 @@ class WordTable:
 
     def _add(self, a, b, size, slot, number) -> None:
         """Distinct words that are not there yet."""
-        top = len(self.rows) - 1
+        top = len(self.tag) - 1
         while len(a):
-            free = self.rows[slot, 2] == 0
             _, first = np.unique(slot, return_index=True)
             won = np.zeros(len(a), bool)
             won[first] = True
-            won &= free
-            self.rows[slot[won]] = np.column_stack([a[won], b[won], number[won] << np.uint64(5) | size[won]])
-            # the others try this slot again if it was only claimed now, and then move on
+            won &= self.tag[slot] == 0
+            at = slot[won]
+            self.low[at], self.high[at], self.tag[at] = a[won], b[won], number[won] << np.uint64(5) | size[won]
+            # the others move on
             a, b, size, slot, number = a[~won], b[~won], size[~won], (slot[~won] + 1) & top, number[~won]
 
     def number(self, spans: Words) -> tuple[np.ndarray, list[str]]:
@@ -108,7 +115,7 @@ class WordTable:
             number = before + np.cumsum(head) - 1
             found[miss[order]] = number
             heads = np.flatnonzero(head)
-            while self.n + len(heads) > len(self.rows) * 3 // 4:  # a batch of many new words
+            while self.n + len(heads) > len(self.tag) * 3 // 4:  # a batch of many new words
                 self._grow()
             pick = miss[order[heads]]
             self._add(x[heads], y[heads], z[heads], self._slots(x[heads], y[heads], z[heads]), number[heads].astype(np.uint64))
@@ -125,11 +132,12 @@ class WordTable:
         return out, new
 
     def _grow(self) -> None:
-        rows = self.rows[self.rows[:, 2] != 0]
+        used = np.flatnonzero(self.tag)
+        a, b, tag = self.low[used], self.high[used], self.tag[used]
         self.bits += 1
-        self.rows = np.zeros((1 << self.bits, 3), np.uint64)
-        size = rows[:, 2] & np.uint64(31)
-        self._add(rows[:, 0], rows[:, 1], size, self._slots(rows[:, 0], rows[:, 1], size), rows[:, 2] >> np.uint64(5))
+        self._empty()
+        size = tag & np.uint64(31)
+        self._add(a, b, size, self._slots(a, b, size), tag >> np.uint64(5))
 
 
 class IdTable:
