@@ -35,9 +35,8 @@ class Database:
         self._acquire()
         self._open: dict[str, StoredCollection] = {}
         try:
-            for key in self.store.list():
-                name, _, rest = key.partition("/")
-                if rest == "manifest.json" and (found := StoredCollection.open(spark, self.store, name, self.config.retain_seconds)):
+            for name in self.store.names():
+                if found := StoredCollection.open(spark, self.store, name, self.config.retain_seconds):
                     self._open[name] = found
         except BaseException:
             self._release()

@@ -63,17 +63,26 @@ def merge(log: DataFrame, snapshot: DataFrame, after: int, small: bool = False,
     return old.unionByName(puts, allowMissingColumns=True)
 
 
-def assign_ids(rows: DataFrame, next_id: int) -> DataFrame:
-    """Fill null ids of a bounded batch (ordinal, id, ...) as one write after another would.
+def assign_ids(rows: DataFrame, next_id: int, block: int = 1_000_000) -> DataFrame:
+    """Fill null ids of a batch (ordinal, id, ...) as one write after another would.
 
     A given id e lifts the counter to e + 1; a missing one takes the counter. With a = the
     number of missing ids before a row, its id is a + max(next_id, e + 1 - a') over the
-    given ids before it, a' counted at each of them: two running windows, no loop.
+    given ids before it, a' counted at each of them. Both run within blocks of ordinals; a
+    row per block carries what went before into it.
     """
-    before = W.orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    counted = rows.withColumn("a", F.coalesce(F.sum(F.col("id").isNull().cast("long")).over(before), F.lit(0)))
-    floor = F.coalesce(F.max(F.col("id") + 1 - F.col("a")).over(before), F.lit(next_id))
-    return counted.withColumn("id", F.coalesce("id", F.col("a") + F.greatest(F.lit(next_id), floor))).drop("a")
+    ahead = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    inside, blocks = ahead(W.partitionBy("block_").orderBy("ordinal")), ahead(W.orderBy("block_"))
+    missing = F.col("id").isNull().cast("long")
+    local = rows.withColumn("block_", F.floor(F.col("ordinal") / block)).withColumn("a_", F.coalesce(F.sum(missing).over(inside), F.lit(0)))
+    lifted = F.col("id") + 1 - F.col("a_")
+    sums = local.groupBy("block_").agg(F.sum(missing).alias("k"), F.max(lifted).alias("top"))
+    before = sums.select("block_", "top", F.coalesce(F.sum("k").over(blocks), F.lit(0)).alias("before_"))  # a row per block
+    before = before.select("block_", "before_", F.max(F.col("top") - F.col("before_")).over(blocks).alias("floor_"))
+    met = local.join(before, "block_")
+    here = F.max(F.col("id") + 1 - F.col("a_")).over(inside) - F.col("before_")
+    counter = F.greatest(F.lit(next_id), F.col("floor_"), here)  # nulls don't count
+    return met.withColumn("id", F.coalesce("id", F.col("before_") + F.col("a_") + counter)).drop("block_", "a_", "before_", "floor_")
 
 
 def last_of_each(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ class ObjectStore(Protocol):
     def put(self, key: str, data: bytes) -> str: ...
     def put_if_version(self, key: str, data: bytes, expected: str | None) -> str: ...
     def list(self, prefix: str = "") -> list[str]: ...
+    def names(self) -> list[str]: ...
     def delete(self, key: str) -> None: ...
 
 
@@ -93,6 +94,10 @@ class LocalStorage:
         found = (p.relative_to(self.root).as_posix() for p in self.root.rglob("*") if p.is_file() and not p.name.startswith("."))
         return sorted(k for k in found if k.startswith(prefix))
 
+    def names(self) -> list[str]:
+        """First parts of keys, without a look at what is below."""
+        return sorted(p.name for p in self.root.iterdir() if p.is_dir())
+
     def delete(self, key: str) -> None:
         self._path(key).unlink(missing_ok=True)
 
@@ -122,5 +127,8 @@ class MemoryStorage:
     def list(self, prefix: str = "") -> list[str]:
         return sorted(k for k in self._objects if k.startswith(prefix))
 
+    def names(self) -> list[str]:
+        return sorted({k.partition("/")[0] for k in self._objects if "/" in k})
+
     def delete(self, key: str) -> None:
         self._objects.pop(validate_key(key), None)
