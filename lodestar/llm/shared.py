@@ -7,6 +7,7 @@ read back; nothing is kept in executor-local storage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -90,6 +91,15 @@ def unpacked(rows: DataFrame, docs: DataFrame, text_col: str, *more: str) -> Dat
     return rows.select(*[(F.col("text") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)], *more)
 
 
+def trim() -> None:
+    """Give memory that a finished task held back to the system: workers are reused, and stages differ in what they need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches with a text column into pieces of about max_bytes, one row at least."""
     for b in batches:
@@ -100,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
                 yield b.slice(i, step)
         elif b.num_rows:
             yield b
+    trim()
 
 
 def signed(h: int) -> int:

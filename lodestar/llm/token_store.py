@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .range_coder import decode, encode
-from .shared import Scratch, documents, slices
+from .shared import Scratch, documents, slices, trim
 from .transducer import Spans, byte_alphabet, specials_of
 from .words import IdTable
 
@@ -59,7 +59,7 @@ class WordIds:
         stop = next(c for c, b in byte_alphabet().items() if b == ord(STOP))
         self.stop = whole.token_to_id(stop) if not any(stop in t and t != stop for t in whole.get_vocab()) else None
         self.specials = specials_of(path)
-        self.known = IdTable(self.ask, list(self.specials.values()), most=1_200_000)
+        self.known = IdTable(self.ask, list(self.specials.values()), most=900_000)
 
     def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has."""
@@ -123,8 +123,10 @@ def read_tokens(frames: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
 
     def run(batches):
+        word_ids.cache_clear()  # a worker that has written before needs its table no more
+        trim()
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 ids = decode(r["n_ids"], r["block_length"], r["tables"], r["blocks"], r["checksums"]).astype("<u4")
                 stops = np.cumsum([0, *r["lengths"]])
                 crcs = [zlib.crc32(ids[a:z]) for a, z in zip(stops.tolist(), stops[1:].tolist())]
