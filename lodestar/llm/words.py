@@ -140,6 +140,20 @@ class WordTable:
         self._add(a, b, size, self._slots(a, b, size), tag >> np.uint64(5))
 
 
+class Growing:
+    """An array that is appended to; room doubles, so that little is copied."""
+
+    def __init__(self, start: np.ndarray):
+        self.n, self.room = len(start), np.zeros(max(1 << 12, 2 * len(start)), start.dtype)
+        self.room[: self.n] = start
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class IdTable:
     """Ids of words, asked of `learn` (ids of all words side by side, and how many each has) once for each new word."""
 
@@ -148,8 +162,8 @@ class IdTable:
         self.forget()
 
     def forget(self) -> None:
-        self.flat = np.array(self.specials, np.uint16)
-        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = Growing(np.array(self.specials, np.uint16))
+        self.at, self.length = Growing(np.zeros(0, np.int64)), Growing(np.zeros(0, np.int64))
 
     def ids(self, spans: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, each followed by end where there is one, and the number of ids of each."""
@@ -158,16 +172,15 @@ class IdTable:
             self.forget()
         if new:
             flat, length = self.learn(new)
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, flat])
+            self.at.append(self.flat.n + np.cumsum(length) - length)
+            self.length.append(length)
+            self.flat.append(flat)
         special = np.flatnonzero(number < 0)
         number[special] = 0
-        none = np.zeros(len(number), np.int64)
-        size, source = (self.length[number], self.at[number]) if len(self.at) else (none.copy(), none)
+        size, source = self.length.room.take(number), self.at.room.take(number)
         size[special], source[special] = 1, spans.special[special]
         stop = np.cumsum(size)
-        every = self.flat[np.repeat(source - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        every = self.flat.room[np.repeat(source - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
         ends = np.concatenate([[0], stop])[spans.docs]
         counts = np.diff(np.concatenate([[0], ends]))
         return (every, counts) if end is None else (np.insert(every, ends, np.uint16(end)), counts + 1)
