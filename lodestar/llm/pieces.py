@@ -31,12 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import documents, slices
+from .shared import documents, slices, trim
 from .words import IdTable, Words
 
 MARK = "▁"
 LONGEST = 62
-MAX_WORDS = 700_000
+MAX_WORDS = 500_000
 #: Texts that normalising vocabularies change, and some that others read differently.
 PROBES = ["", " ", "  two  spaces ", "Ａ① ﬁ", "e\u0301 é", "A\tb\nc\r\n", "\u00a0x\u3000y", "the end of the nation's 1234", "\U0001f600 中文 ▁"]
 CODED = "doc_id long, ids array<int>"
@@ -107,8 +107,8 @@ class Vocabulary:
         for k, w in enumerate(new):
             if len(w) > LONGEST:
                 found[k] = self.ids_of(self.merge(list(w)))
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(short), 10_000):
+            part = short[at : at + 10_000]
             for k, ids in zip(part, encode_words(self, [new[i] for i in part])):
                 found[k] = ids
         return np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         voc = vocabulary(path)
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 2 << 20):
             ids, n = voc.encode(b.column("text").to_pylist())
             stops, values = np.cumsum([0, *n.tolist()]).astype(np.int32), ids.astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(values))], names=["doc_id", "ids"])
@@ -292,6 +292,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([voc.decode(x) for x in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
+            lists = b.column("ids")
+            flat, stops = lists.values.to_numpy(), lists.offsets.to_numpy()
+            texts = [voc.decode(flat[a:z].tolist()) for a, z in zip(stops.tolist(), stops[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+        trim()
 
     return coded.mapInArrow(run, "doc_id long, ids array<int>, text string")
