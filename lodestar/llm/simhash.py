@@ -187,9 +187,24 @@ class Union:
         return True
 
 
+def _met(batches):
+    """Rows (key, rep) in key order; those whose key another row has, too."""
+    key, rep, done = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, rep = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([rep, b.column("rep").to_numpy()])
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        last = bool(keep[-1])
+        keep[0] &= not (done and len(key) > b.num_rows)  # it has been passed on already
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
+        key, rep, done = key[-1:], rep[-1:], last
+
+
 def _buckets(radius: int, far: int | None, limit: int):
     """Rows (key, fp, rep, sketch) in key order; emits the edges of spanning forests, and the rows of buckets over the limit."""
-    names = ["key", *NODE]
+    names = ["key", *(NODE if far is not None else NODE[:2])]
 
     def edges_of(found):
         n = len(found)
@@ -197,6 +212,7 @@ def _buckets(radius: int, far: int | None, limit: int):
         return pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(5))], schema=_PAIR)
 
     def deferred(key, fp, rep, *sk):
+        sk = sk or (np.zeros(len(key), np.int64),) * 4
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), *map(pa.array, (fp, rep, key, *sk))], schema=_PAIR)
 
     def run(batches):
@@ -208,7 +224,7 @@ def _buckets(radius: int, far: int | None, limit: int):
             """Whole buckets only."""
             key, rep = cols[0], cols[2]
             # unsigned: of a negative number numpy would count the bits of the absolute value
-            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[3:]).view(np.uint64)
+            fp, sk = cols[1].view(np.uint64), np.column_stack(cols[3:] or [key]).view(np.uint64)
             start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             size = np.diff(np.concatenate([start, [len(key)]]))
             found, late = [], []
@@ -256,25 +272,30 @@ def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     blocks = max(1, -(-rows.count() // limit))
     mine, other = F.pmod(F.xxhash64("rep"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("mine", mine).withColumn("other", other)
-    return dealt.select(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *NODE)
+    return dealt.select(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *rows.columns)
 
 
 def links(nodes: DataFrame, radius: int, scratch: Scratch, far: int | None = None, limit: int = 20_000) -> DataFrame:
     """Edges (a, b) between the representatives of nodes that connect all links."""
     edges, level = None, 0
-    rows = nodes.select(F.lit(0).cast("long").alias("key"), *NODE)
+    columns = NODE if far is not None else NODE[:2]
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), *columns)
     while True:
         last = level == (MASK_LEVELS if far is None else 1)
         if last:
             # a mask can't split equal fingerprints: all pairs of the rows left, each row once
-            spread = block_pairs(scratch.write(rows.select(*NODE).distinct(), "links-rest"), limit)
+            spread = block_pairs(scratch.write(rows.select(*columns).distinct(), "links-rest"), limit)
         else:
             tables = F.array(*[F.xxhash64(F.lit(v), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for v, m in enumerate(masks(radius, level))])
-            spread = rows.select(F.explode(tables).alias("key"), *NODE)
+            if far is None:
+                spread = rows.select(F.explode(tables).alias("key"), *columns)
+            else:  # most rows meet no other in most tables: only those that do take their sketches along
+                spread = rows.select(F.explode(tables).alias("key"), "rep").repartition("key").sortWithinPartitions("key")
+                spread = scratch.write(spread.mapInArrow(_met, "key long, rep long"), "met").join(rows.select(*columns), "rep")
         out = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(radius, far, NO_LIMIT if last else limit), PAIR)
         out = scratch.write(out, f"links{level}")
         edges = out.where("edge").select("a", "b") if edges is None else edges.union(out.where("edge").select("a", "b"))
-        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *SKETCH)
+        rows = out.where("not edge").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"), *columns[2:])
         level += 1
         if last or rows.isEmpty():
             return edges
@@ -392,7 +413,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(documents(docs, id_col, text_col), shingle).select("doc_id", "fp"), "fps")
     nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = scratch.write(nodes.select("fp", F.col("fp").alias("rep"), "least", *[F.lit(0).cast("long").alias(c) for c in SKETCH]), "nodes")
+    nodes = scratch.write(nodes.select("fp", F.col("fp").alias("rep"), "least"), "nodes")
     labels = components(links(nodes, radius, scratch), scratch)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

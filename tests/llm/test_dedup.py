@@ -12,7 +12,7 @@ from lodestar.llm.components import components
 from lodestar.llm.exact_dedup import directory, exact_dedup
 from lodestar.llm.line_dedup import chunks, line_dedup
 from lodestar.llm.shared import Scratch
-from lodestar.llm.simhash import bits, links, masks, near_dedup, shingle_set, similar, simhash, sketch_of, verified, words_of
+from lodestar.llm.simhash import _met, bits, links, masks, near_dedup, shingle_set, similar, simhash, sketch_of, verified, words_of
 
 from .conftest import odd_rows
 
@@ -141,6 +141,17 @@ def test_links_against_brute_force(spark, limit):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_met_keys(size):
+    """Rows that share their key, however the batches fall."""
+    rng = np.random.default_rng(size)
+    key = np.sort(rng.integers(0, 120, 150))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(range(150), pa.int64())], names=["key", "rep"])
+    got = [tuple(r.values()) for b in _met(rows.slice(k, size) for k in range(0, 150, size)) for r in b.to_pylist()]
+    assert got == [(k, i) for i, k in enumerate(key.tolist()) if (key == k).sum() > 1]
+    assert list(_met([])) == []
+
+
 def test_links_of_one_fingerprint(spark):
     """More nodes of one fingerprint, or of near ones, than a bucket may hold: only the sketches tell them apart."""
     rng = np.random.default_rng(6)
