@@ -29,7 +29,7 @@ language column are refused.
 
 from __future__ import annotations
 
-import re
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,69 +40,111 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, slices
+from .words import Growing, Words, WordTable
 
 LONGEST = 5
 MAX_LANGS = 1000
 STEP_BACK = float(np.log(0.4))
-WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case."""
-    if not text:
-        return []
-    found = WORD.findall(text.lower())
-    if found and not "".join(found).isalpha():  # number signs that are no decimal digits count as word characters there
-        found = [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else [w])]
-    return found
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _emit(held: dict[str, Counter], name: str):
-    for lang, c in held.items():
-        cols = [pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["lang", name, "n"])
+def words_in(texts: list[str | None]) -> Words:
+    """Runs of letters of the lower-case texts."""
+    lower = [(t or "").lower() for t in texts]
+    whole = "".join(t + "\n" for t in lower)
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    is_letter = letters()[points]
+    begin = np.flatnonzero(np.concatenate([[True], is_letter[1:] != is_letter[:-1]])) if len(points) else np.zeros(0, np.int64)
+    keep = is_letter[begin]
+    stops = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1) - 1
+    return Words(whole, points, begin, np.concatenate([[0], np.cumsum(keep)])[np.searchsorted(begin, stops)], keep)
+
+
+class Named:
+    """A table of words that also gives their texts."""
+
+    def __init__(self, most: int):
+        self.table, self.names = WordTable(most=most), []
+
+    def full(self) -> bool:
+        return self.table.n > self.table.most
+
+    def number(self, spans: Words) -> tuple[np.ndarray, list[str]]:
+        if self.full():
+            self.names = []
+        number, new = self.table.number(spans)
+        self.names += new
+        return number, new
+
+    def texts(self, number: np.ndarray) -> pa.Array:
+        """Numbers, most of them repeated, as texts."""
+        some, at = np.unique(number, return_inverse=True)
+        return pa.array([self.names[i] for i in some.tolist()], pa.string()).take(pa.array(at))
 
 
-def _counted(stream, name: str, most: int = 400_000):
-    """Sum up a stream of (lang, keys) and emit the counts whenever they get many."""
-    held: dict[str, Counter] = {}
-    for lang, keys in stream:
-        held.setdefault(lang, Counter()).update(keys)
-        if sum(map(len, held.values())) > most:
-            yield from _emit(held, name)
-            held = {}
-    yield from _emit(held, name)
+def _counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    key, n = (np.concatenate(c) for c in zip(*pairs))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
+def word_counts(labelled: DataFrame, most: int = 400_000) -> DataFrame:
     """(lang, word, n) of documents (text, lang)."""
 
     def run(batches):
-        def stream():
-            for b in slices(batches):
-                by: dict[str, list[str]] = {}
-                for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                    by.setdefault(lang, []).extend(words_of(text))
-                yield from by.items()
+        known, langs, held = Named(most), {}, []
 
-        yield from _counted(stream(), "word")
+        def flush():
+            if held:
+                key, n = _counted(held)
+                held.clear()
+                names = pa.array(list(langs), pa.string()).take(pa.array(key >> 32))
+                yield pa.RecordBatch.from_arrays([names, known.texts(key & 0xFFFFFFFF), pa.array(n)], names=["lang", "word", "n"])
+
+        for b in slices(batches, 4 << 20):
+            if known.full():
+                yield from flush()
+            spans = words_in(b.column("text").to_pylist())
+            number, _ = known.number(spans)
+            lang = np.array([langs.setdefault(x, len(langs)) for x in b.column("lang").to_pylist()], np.int64)
+            key = np.repeat(lang, np.diff(np.concatenate([[0], spans.docs]))) << 32 | number
+            if len(key):
+                held.append(np.unique(key, return_counts=True))
+            if sum(len(k) for k, _ in held) > 2 * most:
+                held[:] = [_counted(held)]
+                if len(held[0][0]) > most:
+                    yield from flush()
+        yield from flush()
 
     return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _emit(held: dict[str, Counter]):
+    for lang, c in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
+
+
 def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, gram, n) over distinct words."""
 
     def run(batches):
-        def stream():
-            for b in batches:
-                by: dict[str, list[str]] = {}
-                for lang, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist()):
-                    s = f"\x02{w}\x03"
-                    by.setdefault(lang, []).extend([s[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(s) - k + 1)])
-                yield from by.items()
-
-        yield from _counted(stream(), "gram")
+        held: dict[str, Counter] = {}
+        for b in batches:
+            for lang, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist()):
+                s = f"\x02{w}\x03"
+                held.setdefault(lang, Counter()).update([s[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(s) - k + 1)])
+            if sum(map(len, held.values())) > 400_000:
+                yield from _emit(held)
+                held = {}
+        yield from _emit(held)
 
     return words.select("lang", "word").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -165,29 +207,27 @@ def _scan(sent):
 
     def run(batches):
         row, table = sent.value
+        known, at_row = Named(600_000), Growing(np.zeros(0, np.int64))
         key = TaskContext.get().partitionId() << 33
         for b in slices(batches, 4 << 20):
-            found = [words_of(t) for t in b.column("text").to_pylist()]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            at = np.fromiter((row.get(w, -1) for ws in found for w in ws), np.int64, int(size.sum()))
-            sums = np.zeros((len(found), table.shape[1]))
+            if known.full():
+                at_row = Growing(np.zeros(0, np.int64))
+            spans = words_in(b.column("text").to_pylist())
+            number, new = known.number(spans)
+            at_row.append(np.fromiter((row.get(w, -1) for w in new), np.int64, len(new)))
+            at = at_row.room.take(number)
+            size = np.diff(np.concatenate([[0], spans.docs]))
+            sums = np.zeros((len(size), table.shape[1]))
             has = size > 0
-            start = np.cumsum(size) - size
             if len(at):
-                sums[has] = np.add.reduceat(table[at], start[has], axis=0)
-            late = np.flatnonzero(at < 0)
-            doc = np.searchsorted(start[has], late, side="right") - 1
-            which = np.flatnonzero(has)[doc]
-            rare: list[Counter] = [Counter() for _ in found]
-            for d, k in zip(which.tolist(), (late - start[which]).tolist()):
-                rare[d][found[d][k]] += 1
-            keys = pa.array(range(key, key + len(found)), pa.int64())
-            key += len(found)
-            words = pa.array([w for c in rare for w in c], pa.string())
-            times = pa.array([n for c in rare for n in c.values()], pa.int64())
-            stops = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-            lists = pa.ListArray.from_arrays(stops, pa.StructArray.from_arrays([words, times], names=["word", "times"]))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * table.shape[1], pa.int32()), pa.array(sums.ravel()))
+                sums[has] = np.add.reduceat(table[at], (spans.docs - size)[has], axis=0)
+            doc = np.repeat(np.arange(len(size)), size)
+            late, times = np.unique((doc << 32 | number)[at < 0], return_counts=True)
+            stops = pa.array(np.searchsorted(late >> 32, np.arange(len(size) + 1)), pa.int32())
+            keys = pa.array(range(key, key + len(size)), pa.int64())
+            key += len(size)
+            lists = pa.ListArray.from_arrays(stops, pa.StructArray.from_arrays([known.texts(late & 0xFFFFFFFF), pa.array(times)], names=["word", "times"]))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * table.shape[1], pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([keys, b.column("doc_id"), pa.array(size), flat, lists], schema=_SCANNED)
 
     return run

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.chat_windows import TURN_TOKENS, chat_windows, read_back
 from lodestar.llm.decontaminate import PUNCT, decontaminate, leaks, masks_of
-from lodestar.llm.language_id import language_id, words_of
+from lodestar.llm.language_id import language_id, word_counts, words_in
 from lodestar.llm.quality import CONTENT, CoTrained, Logistic, _one_hot, _sure, quality
 
 from .conftest import odd_rows
@@ -43,6 +43,27 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language_id(odd, F.lit(False)).collect()} == {"und"}
 
 
+def words_of(text):
+    """Runs of letters, lower case."""
+    return [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ") if w]
+
+
+def test_words_are_runs_of_letters():
+    texts = ["One two-three", None, "", "x²y ½ a_b ٣ Ⅷ İi", "\u0301e\u0301 日本\n語", "\U00010400A!", "don't"]
+    spans = words_in(texts)
+    words, edges = spans.words(np.arange(len(spans.first))), [0, *spans.docs.tolist()]
+    assert [words[a:b] for a, b in zip(edges, edges[1:])] == [words_of(t) for t in texts]
+    assert len(words_in([]).docs) == 0
+
+
+def test_word_counts_in_small_tables(odd):
+    rows = odd.where("lang is not null and text is not null").select("text", "lang").collect()
+    want = Counter((r.lang, w) for r in rows for w in words_of(r.text))
+    for most in (3, 400_000):
+        got = word_counts(odd.where("lang is not null").select("text", "lang"), most).collect()
+        assert {(r.lang, r.word): r.n for r in got} == want
+
+
 def brute_language(train, texts):
     """Word-first backoff said plainly: (language, score) of each text."""
     langs = sorted({lang for t, lang in train if words_of(t)})
