@@ -209,13 +209,23 @@ def _sure(sent, confidence: float, most: int):
 SURE = "view int, label int, sure double, order long, same long, content array<float>, meta array<int>"
 
 
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with the smallest `order`, a uniform hash; a cut by the hash leaves little more than those to be sorted."""
+    n = rows.count()
+    if n > most:
+        share = min(1.0, (1.1 * most + 1000) / n)
+        near = rows.where(F.col("order") <= int(-(1 << 63) + ((1 << 64) - 1) * share)) if share < 1 else rows
+        rows = near if near.count() >= most else rows
+    return rows.orderBy("order", "same").limit(most)
+
+
 def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3, max_labels: int = 20_000, per_round: float = 0.1, confidence: float = 0.98) -> CoTrained | None:
     """feats (doc_id, content, meta), labels (doc_id, quality)."""
     spark = feats.sparkSession
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     pool = feats.where("doc_id is not null").join(truth, "doc_id", "left").select("y", F.xxhash64("doc_id").alias("order"), F.xxhash64("content", "meta").alias("same"), "content", "meta")
     pool = scratch.write(pool, "pool")
-    told = pool.where("y is not null").orderBy("order", "same").limit(max_labels).select("y", "order", "content", "meta").toArrow()
+    told = _first(pool.where("y is not null"), max_labels).select("y", "order", "content", "meta").toArrow()
     y = told.column("y").to_numpy().astype(float) if told.num_rows else np.zeros(0)
     if len(set(y)) < 2:
         return None
@@ -248,8 +258,11 @@ def fit(feats: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 3,
         for view in (0, 1):
             tops = []
             for label in (0, 1):
-                mine = sure.where((F.col("view") == view) & (F.col("label") == label)).groupBy("same").agg(F.min(F.struct((-F.col("sure")).alias("doubt"), "order", "content", "meta")).alias("r"))
-                tops.append(mine.orderBy("r.doubt", "r.order", "same").limit(most).select("same", "r.content" if view else "r.meta").toArrow())
+                mine = sure.where((F.col("view") == view) & (F.col("label") == label))
+                best = mine.groupBy("same").agg(F.min(F.struct((-F.col("sure")).alias("doubt"), "order")).alias("r")).orderBy("r.doubt", "r.order", "same").limit(most)
+                # `most` rows at most; their features follow by a join, so that no task sorts features
+                rows = mine.select("same", "content" if view else "meta").join(F.broadcast(best), "same").dropDuplicates(["same"])
+                tops.append(rows.orderBy("r.doubt", "r.order", "same").drop("r").toArrow())
             # both classes in the shares that the labels have, so that no class grows over the other
             whole = min(tops[1].num_rows / share, tops[0].num_rows / (1 - share))
             for label, top in enumerate(tops):
