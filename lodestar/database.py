@@ -205,8 +205,7 @@ class Database:
                 raise ParseError("rows without an id need an ordinal")
             if found["ids"] != n:
                 raise ParseError("rows with equal ids need an ordinal")
-            # which row of different ids comes first does not matter: dense numbers without a global sort
-            shaped = _numbered(shaped)
+            shaped = _numbered(shaped, n)
         top = shaped.where(put).agg(F.max("id")).first()[0]
         more = ["op"] if "op" in rows.columns else []
         c.append_frame(shaped.select("ordinal", F.col("id").cast("long").alias("id"), "vector", "metadata", *more), n, (-1 if top is None else top) + 1)
@@ -255,12 +254,16 @@ class Database:
         return self.records(name).persist()
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Dense ordinals: sizes of the partitions first, then a number within each."""
+def _numbered(rows: DataFrame, n: int, block: int = 1_000_000) -> DataFrame:
+    """Dense ordinals in the order of ids: approximate quantiles cut the ids into blocks, which are numbered one by one."""
     from pyspark.sql import Window as W
 
-    keyed = rows.repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    sizes = keyed.groupBy("part").count()
-    base = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("base"))  # a row per partition
-    within = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
-    return keyed.join(base, "part").withColumn("ordinal", (F.col("base") + within).cast("long")).drop("part", "base")
+    parts = -(-n // block)
+    cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    # blocks go by the id itself, so that both sides of the join agree on them
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
+    keyed = rows.withColumn("block_", F.size(F.filter(bounds, lambda c: c <= F.col("id"))))
+    sizes = keyed.groupBy("block_").count()
+    base = sizes.select("block_", (F.sum("count").over(W.orderBy("block_")) - F.col("count")).alias("base_"))  # a row per block
+    within = F.row_number().over(W.partitionBy("block_").orderBy("id")) - 1
+    return keyed.join(base, "block_").withColumn("ordinal", (F.col("base_") + within).cast("long")).drop("block_", "base_")

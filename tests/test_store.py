@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.config import DbConfig, SyncMode
-from lodestar.database import Database
+from lodestar.database import Database, _numbered
 from lodestar.errors import CollectionExists, CollectionNotFound, ConflictError, CorruptError, DimMismatch, EmptyVector, EncodingError, ParseError
 from lodestar.functions.checks import crc32, parse_metadata, parse_vector, validate_key, validate_name, version_of
 from lodestar.operators.replay import assign_ids, replay
@@ -337,6 +338,26 @@ def test_upsert_df(spark, root):
             db.upsert_df("c", rows.drop("id"))
 
 
+@pytest.mark.parametrize("block", [1_000_000, 100, 7])
+def test_ordinals_are_dense_and_in_order(spark, block):
+    """Whatever the blocks and partitions are, no row is lost or numbered twice."""
+    rnd = random.Random(block)
+    ids = rnd.sample(range(10**6), 500) + list(range(2 * 10**6, 2 * 10**6 + 200))
+    rnd.shuffle(ids)
+    rows = spark.createDataFrame([(i, f"m{i}") for i in ids], "id long, metadata string").repartition(6)
+    got = _numbered(rows, len(ids), block).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["id"], r["metadata"]) for r in got] == [(k, i, f"m{i}") for k, i in enumerate(sorted(ids))]
+
+
+def test_bulk_writes_of_many_partitions(spark, root):
+    """Partitions that adaptive execution merges keep all their rows."""
+    with Database(spark, root) as db:
+        db.create_collection("c", 2)
+        rows = spark.range(0, 20_000, 1, 12).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"), F.lit("{}").alias("metadata"))
+        db.upsert_df("c", rows)
+        assert db.stats("c")["records"] == 20_000
+
+
 def model(ops):
     live, pos = {}, {}
     for seq, (op, id) in enumerate(ops):
