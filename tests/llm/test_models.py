@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.chat_windows import TURN_TOKENS, chat_windows, read_back
 from lodestar.llm.decontaminate import PUNCT, decontaminate, leaks, masks_of
 from lodestar.llm.language_id import language_id, word_counts, words_in
-from lodestar.llm.quality import CONTENT, CoTrained, Logistic, _one_hot, _sure, quality
+from lodestar.llm.quality import CONTENT, CoTrained, Logistic, _first, _one_hot, _sure, quality
 
 from .conftest import odd_rows
 
@@ -168,6 +168,13 @@ def test_quality_learns_words_and_calibrates(spark):
         assert abs(np.mean([r.y for r in some]) - np.mean([r.metadata_score for r in some])) < 0.15
 
 
+def test_the_first_labelled_rows(spark):
+    """The cut by the hash gives the same rows as sorting all, for any number of them."""
+    rows = spark.range(9000).select("id", F.xxhash64("id").alias("order"), F.col("id").alias("same"))
+    for most in (1, 500, 8999, 9000, 20_000):
+        assert [r.id for r in _first(rows, most).collect()] == [r.id for r in rows.orderBy("order").limit(most).collect()]
+
+
 def test_pseudo_labels_are_distinct_and_new():
     """Of equal rows one is offered, the surest come first, and what was given is not given again."""
     rng = np.random.default_rng(3)
