@@ -113,7 +113,8 @@ class StoredCollection:
         self.version = self.store.put_if_version(f"{self.name}/manifest.json", self.manifest.dump(), self.version)
 
     def path(self, *parts: str) -> str:
-        return "/".join([str(self.store.root), self.name, *parts])
+        """For Spark: with its scheme, so that data and manifest are on one file system whatever the default is."""
+        return "/".join([f"file://{self.store.root}", self.name, *parts])
 
     def sweep(self) -> None:
         """Remove what no manifest names: the remains of writes that were not committed, and what was retired long ago."""

@@ -44,7 +44,7 @@ class LocalStorage:
     """Files under a root; a put appears whole or not at all, a conditional put holds a lock file."""
 
     def __init__(self, root: str):
-        self.root = Path(re.sub("^file:/*", "/", root))
+        self.root = Path(re.sub("^file:/*", "/", root)).absolute()
         self.root.mkdir(parents=True, exist_ok=True)
         self._mutex = threading.Lock()
 
