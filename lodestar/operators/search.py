@@ -94,7 +94,7 @@ def _top_k_block(records: DataFrame, probes: DataFrame, k: int, where: Filter |
     """The k best of each task for a block of probes."""
     given = probes.select("probe_id", "probe").toArrow()
     names = np.array(given.column("probe_id").to_pylist(), np.int64)
-    q = np.array(given.column("probe").to_pylist(), np.float64).reshape(len(names), -1)
+    q = np.array(given.column("probe").to_pylist(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
     qn = np.sqrt((q * q).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
