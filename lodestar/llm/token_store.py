@@ -59,7 +59,7 @@ class WordIds:
         stop = next(c for c, b in byte_alphabet().items() if b == ord(STOP))
         self.stop = whole.token_to_id(stop) if not any(stop in t and t != stop for t in whole.get_vocab()) else None
         self.specials = specials_of(path)
-        self.known = IdTable(self.ask, list(self.specials.values()), most=900_000)
+        self.known = IdTable(self.ask, list(self.specials.values()), most=1_400_000)
 
     def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has."""

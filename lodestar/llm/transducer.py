@@ -231,7 +231,7 @@ class Merger:
             self.rank[raw(a), raw(b)] = i
         self.stable: dict[tuple[bytes, bytes], bool] = {}
         self.max_states = max_states
-        self.table, self.counted = WordTable(most=1_200_000), np.zeros(0, np.int64)
+        self.table, self.counted = WordTable(most=1_400_000), np.zeros(0, np.int64)
         self.reset()
 
     def reset(self) -> None:

@@ -163,7 +163,7 @@ class IdTable:
 
     def forget(self) -> None:
         self.flat = Growing(np.array(self.specials, np.uint16))
-        self.at, self.length = Growing(np.zeros(0, np.int64)), Growing(np.zeros(0, np.int64))
+        self.at, self.length = Growing(np.zeros(0, np.int32)), Growing(np.zeros(0, np.int32))
 
     def ids(self, spans: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, each followed by end where there is one, and the number of ids of each."""
@@ -179,7 +179,7 @@ class IdTable:
         number[special] = 0
         size, source = self.length.room.take(number), self.at.room.take(number)
         size[special], source[special] = 1, spans.special[special]
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         every = self.flat.room[np.repeat(source - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
         ends = np.concatenate([[0], stop])[spans.docs]
         counts = np.diff(np.concatenate([[0], ends]))
