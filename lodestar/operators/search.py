@@ -22,6 +22,11 @@ from ..plans.filters import Filter
 
 DEFAULT_TOP_K = 10
 
+#: Probes and records scored at once by top_k_each.
+TILE = (256, 2048)
+#: Numbers that a task holds for a block of probes: their components, and the scores kept. A block has LEAST_PROBES in any case.
+HELD, LEAST_PROBES = 1 << 21, 100
+
 
 def variant(records: DataFrame) -> Column:
     """The stored VARIANT of the metadata, or the parsed text."""
@@ -78,45 +83,83 @@ def top_k_batched(records: DataFrame, probe: Sequence[float], k: int = DEFAULT_T
 def top_k_each(records: DataFrame, probes: DataFrame, k: int = DEFAULT_TOP_K, where: Filter | Column | str | None = None, max_probes: int = 10_000) -> DataFrame:
     """probe_id, id, score: the k best for each probe (probe_id, probe); probe ids are distinct.
 
-    The probes are stated queries. They go to the tasks in blocks of about max_probes, a pass
-    over the records each, and are scored against each Arrow batch; each task keeps k rows a
-    probe, so no row meets a row it must not.
+    The probes are stated queries. They go to the tasks in blocks of at most max_probes, fewer
+    where vectors or k are long, a pass over the records each. A task scores them in tiles and
+    keeps k rows a probe, so its memory depends neither on the number of probes nor of records,
+    and no row meets a row it must not.
     """
     k = check_top_k(k)
-    blocks = max(1, -(-probes.count() // max_probes))
-    block = F.pmod(F.xxhash64("probe_id"), F.lit(blocks))
-    parts = [_top_k_block(records, probes.where(block == i) if blocks > 1 else probes, k, where) for i in range(blocks)]
+    parts = [_top_k_block(records, *block, k, where) for block in _blocks(probes, k, max_probes)]
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).drop("rank")
 
 
-def _top_k_block(records: DataFrame, probes: DataFrame, k: int, where: Filter | Column | str | None) -> DataFrame:
+def _blocks(probes: DataFrame, k: int, max_probes: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and vectors of the probes in blocks, streamed to the driver; one empty block if there are none."""
+    names, vectors = [], []
+    for name, vector in probes.select("probe_id", "probe").repartition("probe_id").toLocalIterator():
+        if len(names) >= max_probes or len(names) >= LEAST_PROBES and len(names) * max(vectors[0].size, k) >= HELD:
+            yield names, vectors
+            names, vectors = [], []
+        names.append(name)
+        vectors.append(np.array(vector, np.float64))
+    yield names, vectors
+
+
+def _top_k_block(records: DataFrame, probe_ids: list[int], probes: list[np.ndarray], k: int, where: Filter | Column | str | None) -> DataFrame:
     """The k best of each task for a block of probes."""
-    given = probes.select("probe_id", "probe").toArrow()
-    names = np.array(given.column("probe_id").to_pylist(), np.int64)
-    q = np.array(given.column("probe").to_pylist(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
-    qn = np.sqrt((q * q).sum(axis=1))
+    names = np.array(probe_ids, np.int64)
+    q = np.array(probes, np.float64).reshape(len(names), -1) if probes else np.zeros((0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.zeros((len(names), 0), np.float32)
-        best_i = np.zeros((len(names), 0), np.int64)
+        tiles = [(names[a : a + TILE[0]], q[a : a + TILE[0]]) for a in range(0, len(names), TILE[0])]
+        none = [(np.zeros((len(n), 0), np.float32), np.zeros((len(n), 0), np.int64)) for n, _ in tiles]
+
+        def rows(best: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for (n, _), (s, i) in zip(tiles, best):
+                cols = [pa.array(np.repeat(n, i.shape[1])), pa.array(i.ravel()), pa.array(s.ravel(), pa.float32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["probe_id", "id", "score"])
+
+        best = none
         for b in batches:
-            if not b.num_rows or not len(names):
+            if not (b.num_rows and tiles and k):
                 continue
-            v = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            denom = qn[:, None] * np.sqrt((v * v).sum(axis=1))
-            with np.errstate(all="ignore"):
-                s = np.where(denom == 0, 0, q @ v.T / denom).astype(np.float32)
-            ids = np.broadcast_to(b.column("id").to_numpy(), s.shape)
-            s, ids = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, ids], axis=1)
-            keep = np.lexsort((ids, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(ids, keep, 1)
-        cols = [pa.array(np.repeat(names, best_i.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel(), pa.float32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["probe_id", "id", "score"])
+            vectors = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            ids = b.column("id").to_numpy()
+            for a in range(0, b.num_rows, TILE[1]):
+                v = vectors[a : a + TILE[1]].astype(np.float64)
+                best = [_better(held, p, v, ids[a : a + TILE[1]], k) for held, (_, p) in zip(best, tiles)]
+                # only where k passes what a block allows for: what was kept so far goes out, the ranks decide
+                if sum(i.size for _, i in best) > 2 * HELD:
+                    yield from rows(best)
+                    best = none
+        yield from rows(best)
 
     return apply_filter(records, where).select("id", "vector").mapInArrow(run, "probe_id long, id long, score float")
 
 
+def _better(held: tuple[np.ndarray, np.ndarray], q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best for each probe of those held, best first, and of more records; NaN ranks first."""
+    denom = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+    with np.errstate(all="ignore"):
+        s = np.where(denom == 0, 0, q @ v.T / denom).astype(np.float32)
+    order = lambda x: np.where(np.isnan(x), np.float32(np.inf), x)
+    rank, n = order(s), held[0].shape[1]
+    # what k others of a probe pass is not among the best
+    if n == k:
+        last = order(held[0][:, -1:])
+        hit = (rank > last) | (rank == last) & (ids < held[1][:, -1:])
+    elif len(ids) > k:
+        hit = rank >= np.partition(rank, len(ids) - k, axis=1)[:, len(ids) - k, None]
+    else:
+        hit = np.ones(rank.shape, bool)
+    p, r = np.nonzero(hit)
+    p, s, i = np.concatenate([np.repeat(np.arange(len(q)), n), p]), np.concatenate([held[0].ravel(), s[p, r]]), np.concatenate([held[1].ravel(), ids[r]])
+    by = np.lexsort((i, -order(s), p))
+    keep = by[np.searchsorted(p[by], np.arange(len(q)))[:, None] + np.arange(min(k, n + len(ids)))]
+    return s[keep], i[keep]
+
+
 class Query:
     """A hybrid query on a collection: Query("items", probe).top_k(5).filter("price < 10").run(db)."""
 
